@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ferrolith.llm import exact_dedup, licenses, mixing, sentencepiece_bpe, sharding, simhash, toxicity, url_filter
+from ferrolith.llm import exact_dedup, fingerprints, licenses, mixing, sentencepiece_bpe, sharding, simhash, toxicity, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +35,10 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_bpe.encode_documents(table(spark, sf_dir, "documents"), piece_model())
 
 
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
 def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(table(spark, sf_dir, "documents"), words=4, most_bits=4)
 
@@ -57,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": op2_exact_dedup,
     "op3_sharding": op3_sharding,
     "op4_sentencepiece": op4_sentencepiece,
+    "op5_fingerprints": op5_fingerprints,
     "op7_simhash_dedup": op7_simhash_dedup,
     "op8_toxicity": op8_toxicity,
     "op9_mixing": op9_mixing,
