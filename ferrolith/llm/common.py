@@ -50,3 +50,43 @@ def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], total: int,
     hot = rows.join(heavy, keys, "left_semi" if how == "left_semi" else "inner")
     cold = rows.join(F.broadcast(groups.filter(F.col(size) > bound).select(*keys)), keys, "left_anti").join(light, keys, how)
     return hot.unionByName(cold)
+
+
+#: A bit filter has FILTER_BITS_PER_KEY bits for each key, FILTER_MOST_BITS (8 MB) at most, in rows of FILTER_ROW_BITS.
+FILTER_BITS_PER_KEY, FILTER_MOST_BITS, FILTER_ROW_BITS = 16, 2**26, 32768
+
+
+def _filter_size(keys: DataFrame) -> int:
+    wanted, bits = keys.count() * FILTER_BITS_PER_KEY, FILTER_ROW_BITS
+    while bits < min(wanted, FILTER_MOST_BITS):
+        bits *= 2
+    return bits
+
+
+def bit_filter(keys: DataFrame, place: Column) -> DataFrame:
+    """filter_row, filter_bits: the bits at place, in rows; 8 MB at most."""
+    row, bit = F.floor(place / FILTER_ROW_BITS).cast("int"), F.pmod(place, F.lit(FILTER_ROW_BITS))
+    return keys.select(row.alias("filter_row"), bit.alias("bit")).groupBy("filter_row").agg(F.bitmap_construct_agg("bit").alias("filter_bits"))
+
+
+def maybe_in(rows: DataFrame, keys: DataFrame, column: str) -> DataFrame:
+    """rows with `maybe`: false only if the column's value is not among keys. The filter is broadcast and of bounded size."""
+    size = _filter_size(keys)
+    place = F.pmod(F.xxhash64(column), F.lit(size))
+    row, bit = F.floor(place / FILTER_ROW_BITS).cast("int"), F.pmod(place, F.lit(FILTER_ROW_BITS))
+    byte = F.conv(F.hex(F.substring(F.col("filter_bits"), F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    there = F.coalesce(F.getbit(byte, F.pmod(bit, F.lit(8)).cast("int")) == 1, F.lit(False))
+    met = rows.withColumn("filter_row", row).join(F.broadcast(bit_filter(keys, place)), "filter_row", "left")
+    return met.withColumn("maybe", there).drop("filter_row", "filter_bits")
+
+
+def filter_bits(keys: DataFrame, column: str):
+    """The same for bigint keys and numpy: a broadcast byte array of at most 8 MB, bit key & (size - 1) set, and its size."""
+    import numpy as np
+
+    size = _filter_size(keys)
+    bits = np.zeros(size // 8, np.uint8)
+    for r in bit_filter(keys, F.col(column).bitwiseAND(F.lit(size - 1).cast("bigint"))).collect():
+        at = r.filter_row * FILTER_ROW_BITS // 8
+        bits[at : at + FILTER_ROW_BITS // 8] = np.frombuffer(bytes(r.filter_bits), np.uint8)
+    return keys.sparkSession.sparkContext.broadcast(bits), size

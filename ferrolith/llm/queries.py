@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ferrolith.llm import exact_dedup, fingerprints, licenses, mixing, sentencepiece_bpe, sharding, simhash, toxicity, url_filter
+from ferrolith.llm import exact_dedup, fingerprints, licenses, mixing, sentencepiece_bpe, sharding, simhash, suffix_dedup, toxicity, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +39,10 @@ def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_documents(table(spark, sf_dir, "documents"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(table(spark, sf_dir, "documents"), words=4, most_bits=4)
 
@@ -62,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_sharding": op3_sharding,
     "op4_sentencepiece": op4_sentencepiece,
     "op5_fingerprints": op5_fingerprints,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_simhash_dedup": op7_simhash_dedup,
     "op8_toxicity": op8_toxicity,
     "op9_mixing": op9_mixing,
