@@ -45,10 +45,14 @@ def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], total: int,
     or left_semi. rows is read twice, so it should be a table. Keys mustn't be null.
     """
     bound = max(1, int(total * HEAVY_SHARE))
-    heavy = F.broadcast(groups.filter(F.col(size) > bound))
-    light = groups.filter(F.col(size) <= bound)
-    hot = rows.join(heavy, keys, "left_semi" if how == "left_semi" else "inner")
-    cold = rows.join(F.broadcast(groups.filter(F.col(size) > bound).select(*keys)), keys, "left_anti").join(light, keys, how)
+    if how == "left_semi":  # keys are unique, so an inner join with them alone; it stays where it is put in the plan
+        groups, how = groups.select(*{*keys, size}), "inner"
+        narrow = lambda df: df.drop(size)
+    else:
+        narrow = lambda df: df
+    heavy, light = groups.filter(F.col(size) > bound), groups.filter(F.col(size) <= bound)
+    hot = rows.join(F.broadcast(narrow(heavy)), keys, "inner")
+    cold = rows.join(F.broadcast(heavy.select(*keys)), keys, "left_anti").join(narrow(light), keys, how)
     return hot.unionByName(cold)
 
 

@@ -10,29 +10,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ferrolith.llm.common import join_groups, materialize, scratch_path, text_or_empty
+from ferrolith.llm.common import join_groups, materialize, maybe_in, scratch_path, text_or_empty
 
 RUN_OPTIONS = {"parquet.bloom.filter.enabled#digest": "true", "parquet.bloom.filter.expected.ndv#digest": "100000"}
 RUN_SCHEMA = "digest binary, doc_id bigint"
 
 
-#: A hit filter has FILTER_BITS_PER_HIT bits for each hit, FILTER_MOST_BITS (8 MB) at most, in rows of FILTER_ROW_BITS.
-FILTER_BITS_PER_HIT, FILTER_MOST_BITS, FILTER_ROW_BITS = 16, 2**26, 32768
-
-
-def passing(rows: DataFrame, hits: DataFrame) -> DataFrame:
-    """The rows whose digest may be among hits: a bit filter of bounded size, broadcast, so that other texts stay where they are."""
-    wanted, bits = hits.count() * FILTER_BITS_PER_HIT, FILTER_ROW_BITS
-    while bits < min(wanted, FILTER_MOST_BITS):
-        bits *= 2
-    place = F.pmod(F.xxhash64("digest"), F.lit(bits))
-    row, bit = F.floor(place / FILTER_ROW_BITS).cast("int"), F.pmod(place, F.lit(FILTER_ROW_BITS))
-    filters = hits.select(row.alias("filter_row"), bit.alias("bit")).groupBy("filter_row").agg(F.bitmap_construct_agg("bit").alias("filter_bits"))
-    byte = F.conv(F.hex(F.substring(F.col("filter_bits"), F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    there = F.getbit(byte, F.pmod(bit, F.lit(8)).cast("int")) == 1
-    return rows.withColumn("filter_row", row).join(F.broadcast(filters), "filter_row").filter(there).drop("filter_row", "filter_bits")
-
-
 def sha256_digest(text: Column) -> Column:
     return F.unhex(F.sha2(text, 256))
 
@@ -90,7 +73,7 @@ def exact_groups(docs: DataFrame, keep: str = "max", digest=sha256_digest) -> Da
     # Byte verification: the texts of hits meet as grouping keys, combined in each task before they are shuffled.
     stays = F.max("doc_id") if keep == "max" else F.min("doc_id")
     hits = level.filter("n > 1")
-    texts = join_groups(passing(docs.withColumn("digest", digest(F.col("text"))), hits), hits.select("digest", "n"), ["digest"], total, "n", "left_semi")
+    texts = join_groups(maybe_in(docs.withColumn("digest", digest(F.col("text"))), hits, "digest").filter("maybe"), hits.select("digest", "n"), ["digest"], total, "n", "left_semi")
     verified = materialize(texts.groupBy("digest", "text").agg(stays.alias("keep_id"), F.count("*").alias("group_size")).drop("text"), "verified")
     collided = verified.groupBy("digest").agg(F.count("*").alias("texts"), F.sum("group_size").alias("n")).filter("texts > 1")
     unrelated = collided.limit(1).count() == 0
