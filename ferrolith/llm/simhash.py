@@ -180,3 +180,113 @@ def one_of_each(docs: DataFrame, words: int = 5, most_bits: int = 4) -> DataFram
     """The rows of docs whose doc_id is their component's smallest, with their columns; rows with null ids stay."""
     stays = near_groups(docs, words, most_bits).filter("component_id = doc_id OR doc_id IS NULL").select(F.col("doc_id").alias("__kept_id")).distinct()
     return docs.join(stays, F.col("doc_id").cast("bigint").eqNullSafe(F.col("__kept_id")), "left_semi")
+
+
+# --- wide fingerprints: groups by similarity -----------------------------------------------------
+
+#: 64-bit words of a wide fingerprint. Its neighbouring bytes form the index's keys.
+WIDE_WORDS = 10
+#: Odd multipliers that make each word's hashes from a shingle's.
+WORD_SALTS = np.random.default_rng(20240611).integers(1, 2**63, WIDE_WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Lists hold texts whose numbers of shingles differ by less than LENGTH_STEP squared.
+LENGTH_STEP = 1.25
+
+
+def differing_share(similarity: float) -> float:
+    """The share of fingerprint bits that differ, on average, between shingle sets of a Jaccard similarity and equal size."""
+    return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+
+
+def wide_hash(hashes: np.ndarray) -> bytes:
+    """WIDE_WORDS independent fingerprints, each from the shingles' hashes mixed with a salt of its own."""
+    words = []
+    for salt in WORD_SALTS:
+        h = (hashes ^ (hashes >> np.uint64(29))) * salt
+        words.append(h ^ (h >> np.uint64(32)))
+    return np.array(fold(words), "<u8").tobytes()
+
+
+def wide_fingerprints(docs: DataFrame, words: int) -> DataFrame:
+    """doc_id, wide, shingles of every row."""
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashes = [np.array(shingle_hashes(t, words), np.uint64) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([wide_hash(h) for h in hashes], pa.binary()), pa.array([len(h) for h in hashes], pa.int64())], names=["doc_id", "wide", "shingles"])
+
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(hashed, "doc_id bigint, wide binary, shingles bigint")
+
+
+def similar_links(groups: DataFrame, similarity: float) -> DataFrame:
+    """a, b: links between the ids of wide fingerprints (id, wide, shingles) that differ in no more bits than `similarity` makes likely.
+
+    Postings are pairs of neighbouring bytes with a class of lengths. Pairs that meet tally their shared bytes; half the number that is
+    expected at `similarity` retains them; then their bits are compared. Two texts of that similarity share one of the 40 postings
+    with a probability of 95 %, more similar ones nearly always. Long lists are dealt anew by each other pair of bytes.
+    """
+    size, share = 8 * WIDE_WORDS, differing_share(similarity)
+    most_bits, least_bytes = int(64 * WIDE_WORDS * share), int(size * (1 - share) ** 8 / 2)
+    bands = size // 2
+    length = F.floor(F.log(F.greatest(F.col("shingles"), F.lit(1)).cast("double")) / F.log(F.lit(LENGTH_STEP))).cast("int")
+    two = lambda k: F.substring("wide", 2 * k + 1, F.lit(2))
+    band = F.explode(F.sequence(F.lit(0), F.lit(bands - 1))).alias("band")
+    posted = groups.select("id", "wide", length.alias("length"), band).withColumn("value", two(F.col("band")))
+    posted = posted.withColumn("length", F.explode(F.array("length", F.col("length") + 1)))
+    keys = ["band", "value", "length"]
+    long_lists = materialize(posted.groupBy(*keys).agg(F.count("*").alias("n")).filter(F.col("n") > SPLIT_LIST).select(*keys, F.lit(True).alias("long")), "long-lists")
+    others = F.transform(F.filter(F.sequence(F.lit(0), F.lit(bands - 1)), lambda k: k != F.col("band")), lambda k: F.struct(k.alias("other"), two(k).alias("also")))
+    whole = F.array(F.struct(F.lit(-1).alias("other"), F.lit(b"").alias("also")))
+    dealt = posted.join(long_lists, keys, "left").withColumn("part", F.explode(F.when(F.col("long"), others).otherwise(whole)))
+    keyed = dealt.select(F.xxhash64(*keys, "part.other", "part.also").alias("list"), "id", "wide")
+    rows = keyed.repartition("list").sortWithinPartitions("list")
+
+    def found(ids: np.ndarray, wide: np.ndarray, lists: np.ndarray) -> Iterator[pa.RecordBatch]:
+        left, right, at, step = [], [], np.arange(len(ids)), 1
+        while len(at := at[at + step < len(ids)]) and len(at := at[lists[at] == lists[at + step]]):
+            for part in np.array_split(at, len(at) // 50_000 + 1):
+                differ = wide[part] ^ wide[part + step]
+                near = (differ == 0).sum(1) >= least_bytes
+                near[near] = np.bitwise_count(differ[near]).sum(1, dtype=np.int64) <= most_bits
+                left.append(ids[part[near]])
+                right.append(ids[part[near] + step])
+            step += 1
+        if left and len(a := np.concatenate(left)):
+            a, b = forest(a, np.concatenate(right))
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, lists, wide = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, size), np.uint8)
+        for batch in batches:
+            ids = np.concatenate((ids, batch.column("id").to_numpy()))
+            lists = np.concatenate((lists, batch.column("list").to_numpy()))
+            wide = np.concatenate((wide, np.frombuffer(b"".join(batch.column("wide").to_pylist()), np.uint8).reshape(-1, size)))
+            last = int(np.searchsorted(lists, lists[-1])) if len(lists) else 0  # the last list may go on in the next batch
+            if last:
+                yield from found(ids[:last], wide[:last], lists[:last])
+                ids, lists, wide = ids[last:], lists[last:], wide[last:]
+        yield from found(ids, wide, lists)
+
+    return rows.select("list", "id", "wide").mapInArrow(linked, "a bigint, b bigint")
+
+
+def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """One row per document: doc_id, component_id: the smallest doc_id reached over links of the given similarity.
+
+    The similarity of two texts is estimated from their wide fingerprints, to about 0.04 at 0.8. Nulls, empty texts, repeated rows and
+    empty tables are treated as near_groups does.
+    """
+    prints = materialize(wide_fingerprints(docs, words).withColumn("id", F.xxhash64("wide", "shingles")), "wide-fingerprints")
+    groups = prints.groupBy("id").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n"), F.first("wide").alias("wide"), F.first("shingles").alias("shingles"))
+    groups = materialize(groups, "wide-groups")
+    total = groups.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    roots = components(similar_links(groups, similarity))
+    member = materialize(groups.select("id", "first_id", "n").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id")), "members")
+    firsts = materialize(member.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count("*").alias("prints")), "component-ids")
+    known = materialize(join_groups(member, firsts, ["root"], total, "prints", "inner").select("id", "component_id", "n"), "fingerprint-components")
+    return join_groups(prints, known, ["id"], total, "n", "inner").select("doc_id", "component_id")
+
+
+def one_of_each_similar(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of docs whose doc_id is their component's smallest, with their columns; rows with null ids stay."""
+    stays = similar_groups(docs, words, similarity).filter("component_id = doc_id OR doc_id IS NULL").select(F.col("doc_id").alias("__kept_id")).distinct()
+    return docs.join(stays, F.col("doc_id").cast("bigint").eqNullSafe(F.col("__kept_id")), "left_semi")

@@ -134,6 +134,28 @@ def test_planted_links_of_four_bits(spark):
     assert sorted(map(sorted, groups.values())) == sorted(sorted(k for k in rows if wanted[k] == w) for w in set(wanted.values()))
 
 
+@pytest.mark.parametrize("split", [3, 2000])
+def test_similar_groups(spark, monkeypatch, split):
+    monkeypatch.setattr(simhash, "SPLIT_LIST", split)
+    rnd = random.Random(5)
+    word = lambda: "".join(rnd.choice("abcdefg") for _ in range(4))
+    texts, family = ["", None, "one", "one"], [0, 0, 1, 1]
+    for f in range(2, 12):
+        w = [word() for _ in range(400)]
+        for _ in range(4):
+            v = list(w)
+            for at in rnd.sample(range(400), 4):
+                v[at] = word()
+            texts.append(" ".join(v))
+            family.append(f)
+    rows = list(enumerate(texts))
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(frame(spark, rows)).collect()}
+    assert got == {i: family.index(f) for i, f in enumerate(family)}
+    kept = simhash.one_of_each_similar(frame(spark, rows + [(None, "lone")]))
+    assert sorted(-1 if r.doc_id is None else r.doc_id for r in kept.collect()) == sorted({-1, *got.values()})
+    assert simhash.similar_groups(frame(spark, [])).count() == 0
+
+
 def test_simhash_of_nothing(spark):
     assert simhash.near_groups(frame(spark, [])).count() == 0
     got = simhash.near_groups(frame(spark, [(None, "x"), (3, "x"), (3, "x"), (None, "y")])).collect()

@@ -103,16 +103,15 @@ def test_pipeline_stage_by_stage(spark, tmp_path):
     for k in sorted(clean):
         last[text[k]] = k
     assert set(ids["exact_dedup"]) == set(last.values())
-    prints = {k: simhash.simhash(text[k], 5) for k in last.values()}
-    u = np.array(sorted(set(prints.values())), np.uint64)
-    a, b = np.nonzero(np.bitwise_count(u[:, None] ^ u[None, :]) <= 4)
-    nodes, roots = simhash.forest(u[a], u[b]) if (a != b).any() else ([], [])
-    root = dict(zip(map(int, nodes), map(int, roots)))
-    least = {}
-    for k, f in prints.items():
-        least[root.get(f, f)] = min(k, least.get(root.get(f, f), k))
-    assert set(ids["simhash_dedup"]) == set(least.values())
-    assert set(ids["mixing"]) <= set(least.values()) and max(ids["mixing"].values()) <= 3
+    shingles = {k: set(simhash.shingle_hashes(text[k], 5)) for k in last.values()}
+    wide = {k: np.frombuffer(simhash.wide_hash(np.array(simhash.shingle_hashes(text[k], 5), np.uint64)), np.uint8) for k in last.values()}
+    kept, least = set(ids["simhash_dedup"]), int(640 * simhash.differing_share(0.8))
+    assert kept <= set(last.values())
+    for k in set(last.values()) - kept:  # what goes is linked with another text
+        assert any(np.bitwise_count(wide[k] ^ wide[o]).sum() <= least for o in wide if o != k)
+    for k in kept:  # no two very similar ones stay
+        assert not any(o < k and len(shingles[k] & shingles[o]) >= 0.88 * len(shingles[k] | shingles[o]) > 0 for o in kept)
+    assert set(ids["mixing"]) <= kept and max(ids["mixing"].values()) <= 3
     sp = sentencepiece_bpe.load_model(queries.piece_model()).library
     assert ids["sentencepiece"] == ids["mixing"]
     for r in frames["sentencepiece"].limit(60).collect():
