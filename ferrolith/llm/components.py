@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ferrolith.llm.common import materialize
+from ferrolith.llm.common import join_groups, materialize
 
 
 def _stars(links: DataFrame, large: bool) -> DataFrame:
     """One step: every node's larger (large) or smaller neighbours and itself are linked to the smallest of them all."""
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-    joined = both.join(least, "a")
+    least = materialize(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n")), "least")
+    total = least.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    joined = join_groups(both, least, ["a"], total, "n", "inner")  # a star's centre may hold most links
     if large:
         out = joined.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
