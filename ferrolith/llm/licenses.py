@@ -1,7 +1,7 @@
 """License scans by a positional index of rare template words (DataFrame operations only).
 
-Each template is indexed under its words of highest inverse document frequency, with their positions. A file looks up its
-own rarest licence words; every occurrence votes for the place where a template would begin. A place with votes from
+Each template is indexed under its words of highest inverse document frequency, with their positions. A file looks up every
+index word that it holds; each occurrence votes for the place where a template would begin. A place with votes from
 enough different words is a candidate, which holds if the template's mandatory phrase stands where it should.
 """
 
@@ -50,8 +50,8 @@ TEMPLATES = (
     Template("bsd", "redistribution and use in source and binary forms with or without modification are permitted", "redistribution and use in source and binary forms"),
     Template("mpl", "this source code form is subject to the terms of the mozilla public license version 2 0", "mozilla public license"),
 )
-#: Index words of a template; words that a file looks up; votes (different words) that make a candidate, as a share of a template's index words.
-INDEX_WORDS, LOOKUP_WORDS, VOTE_SHARE = 5, 12, 0.6
+#: Index words of a template; votes (different words) that make a candidate, as a share of a template's index words.
+INDEX_WORDS, VOTE_SHARE = 5, 0.6
 #: A vote packs the template, the place plus PLACE_BASE, and the index word's number.
 PLACE_BASE, WORD_BITS, PLACE_BITS = 1024, 8, 40
 
@@ -131,7 +131,7 @@ def scan(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
     starts = F.filter(F.transform("words", ends), lambda x: x.isNotNull())
     spaced = F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" "))
     base = F.array_compact(F.array(*[F.when(spaced.contains(f" {' '.join(p)} "), F.lit(name)) for name, p in PHRASES]))
-    held = F.slice(F.filter(text_array(by_idf), lambda w: F.array_contains("words", w)), 1, LOOKUP_WORDS)
+    held = F.array_intersect(text_array(by_idf), F.col("words"))
     looked = words.select("doc_id", "n_words", "words", F.when(F.array_contains("words", "license"), starts).otherwise(F.array().cast("array<int>")).alias("starts"), base.alias("base"), F.when(F.size("words") > 0, held).otherwise(empty).alias("held"))
 
     # Votes of one place stand together once sorted; a place that reaches its template's number is noted.

@@ -219,3 +219,11 @@ def test_license_scan(spark):
         assert set(filter(None, labels.split(","))) <= set(r.labels.split(",")) and 0 <= r.score <= 1
     assert got[2].labels == "cc-by-nc" and got[8].labels == "bsd" and got[10].labels == "mit" and got[6].labels == "" and got[13].labels == ""
     assert licenses.scan(frame(spark, [])).count() == 0
+
+
+def test_files_with_many_notices(spark):
+    notices = {t.text: t.label for t in licenses.TEMPLATES}
+    texts = [" x ".join(notices), " ".join(t.text for t in licenses.TEMPLATES if t.label in ("bsd", "mpl", "cc-by", "cc-by-sa", "mit"))]
+    rows = list(enumerate([*texts, *notices, *["use of the source form is free under the terms of this work"] * 30]))
+    got = {r.doc_id: r.labels for r in licenses.scan(frame(spark, rows)).collect()}
+    assert got[0] == ",".join(sorted(set(notices.values()))) and got[1] == "bsd,cc-by,cc-by-sa,mit,mpl"
