@@ -15,7 +15,7 @@ from ferrolith.llm.common import materialize
 
 #: Paragraphs end at line breaks; within a line, at the end of a sentence.
 PARAGRAPH_ENDS = r"[\r\n]+|(?<=[.!?])\s+"
-DENSE, DENSE_HEX, LEVELS, SLOTS, SPARSE_HEX = 8, 8, 8, 16, 3
+DENSE, DENSE_HEX, LEVELS, SLOTS, SPARSE_HEX = 8, 8, 20, 16, 3
 SPARSE_AT = DENSE_HEX * (DENSE + 1)
 #: Stands for a null doc_id in joins; as the least bigint it comes last in descending order, as nulls do.
 NULL_KEY = -(2**63)
@@ -59,22 +59,19 @@ def fingerprint(text: Column) -> Column:
     return F.transform(F.array(digests), lanes)[0]
 
 
-def _lanes() -> list[tuple[int, int]]:
-    """(first digit from 1, digits) of each lane."""
-    wide = [(1 + i * DENSE_HEX, DENSE_HEX) for i in range(DENSE + 1)]
-    return wide + [(1 + SPARSE_AT + i * SPARSE_HEX, SPARSE_HEX) for i in range(LEVELS * SLOTS)]
-
-
 def combine(a: Column, b: Column, sign: int = 1) -> Column:
     """The fingerprint of a's paragraphs with b's added (sign 1) or taken out (sign -1)."""
-    number = lambda c, at, n: F.conv(F.substring(c, at, n), 16, 10).cast("bigint")
-    return F.concat(*[_hex(number(a, at, n) + F.lit(sign) * number(b, at, n), n) for at, n in _lanes()])
+    number = lambda c, at, n: F.conv(F.substring(c, at, F.lit(n)), 16, 10).cast("bigint")
+    lanes = lambda p, n, first, count: F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda i: _hex(number(p["a"], i * n + F.lit(first), n) + F.lit(sign) * number(p["b"], i * n + F.lit(first), n), n))
+    joined = lambda p: F.array_join(F.concat(lanes(p, DENSE_HEX, 1, DENSE + 1), lanes(p, SPARSE_HEX, 1 + SPARSE_AT, LEVELS * SLOTS)), "")
+    return F.transform(F.array(F.struct(a.alias("a"), b.alias("b"))), joined)[0]
 
 
 def likeness(a: Column, b: Column) -> Column:
     """From 0 to 1: 1 - (paragraphs in one of the texts alone) / (paragraphs of both), estimated; 1 for equal fingerprints.
 
-    The estimate counts differing lanes from the densest level on that isn't saturated.
+    The estimate counts differing lanes from the densest level on that isn't saturated; from the
+    last one if all are, which takes some ten million differing paragraphs.
     """
     # A level's digits are cut out first: substring walks from the start of its text.
     part = lambda c, k: F.substring(c, k * (SLOTS * SPARSE_HEX) + F.lit(1 + SPARSE_AT), F.lit(SLOTS * SPARSE_HEX))
@@ -86,7 +83,7 @@ def likeness(a: Column, b: Column) -> Column:
     items = F.transform(differing, lambda d: F.lit(-float(SLOTS)) * F.log(1 - F.least(d, F.lit(SLOTS - 0.5)) / SLOTS))
     first = F.array_position(F.transform(differing, lambda d: d <= F.lit(0.75 * SLOTS)), F.lit(True)).cast("int")
     sampled = F.aggregate(F.slice(items, F.greatest(first, F.lit(1)), F.lit(LEVELS)), F.lit(0.0), lambda x, y: x + y)
-    estimate = F.when(first == 0, F.lit(float("inf"))).otherwise(sampled * F.pow(F.lit(2.0), (first - 1).cast("double")))
+    estimate = F.when(first == 0, F.get(items, F.lit(LEVELS - 1)) * 2.0 ** (LEVELS - 1)).otherwise(sampled * F.pow(F.lit(2.0), (first - 1).cast("double")))
     count = lambda c: F.conv(F.substring(c, 1, DENSE_HEX), 16, 10).cast("double")
     both = count(a) + count(b)
     return F.when(a == b, 1.0).when(both == 0, 1.0).otherwise(F.greatest(F.lit(0.0), 1 - estimate / both))

@@ -227,3 +227,11 @@ def test_files_with_many_notices(spark):
     rows = list(enumerate([*texts, *notices, *["use of the source form is free under the terms of this work"] * 30]))
     got = {r.doc_id: r.labels for r in licenses.scan(frame(spark, rows)).collect()}
     assert got[0] == ",".join(sorted(set(notices.values()))) and got[1] == "bsd,cc-by,cc-by-sa,mit,mpl"
+
+
+def test_likeness_of_long_texts(spark):
+    sentence = lambda i: f"sentence {i}."
+    rows = [(n, " ".join(map(sentence, range(n))), " ".join(map(sentence, range(n // 2, n + n // 2)))) for n in (100, 6000, 40000)]
+    df = spark.createDataFrame(rows, "n long, a string, b string").select("n", *[fingerprints.fingerprint(F.col(c)).alias(c) for c in "ab"])
+    for r in df.select("n", fingerprints.likeness(F.col("a"), F.col("b")).alias("near")).collect():
+        assert 0.2 < r.near < 0.8, r  # half of the sentences are shared
