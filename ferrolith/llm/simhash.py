@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ferrolith.llm.common import join_groups, materialize
+from ferrolith.llm.common import filter_bits, join_groups, materialize
 from ferrolith.llm.components import components
 
 BYTES, SEED = 8, 42
@@ -182,14 +182,12 @@ def one_of_each(docs: DataFrame, words: int = 5, most_bits: int = 4) -> DataFram
     return docs.join(stays, F.col("doc_id").cast("bigint").eqNullSafe(F.col("__kept_id")), "left_semi")
 
 
-# --- wide fingerprints: groups by similarity -----------------------------------------------------
+# --- groups by similarity ------------------------------------------------------------------------
 
-#: 64-bit words of a wide fingerprint. Its neighbouring bytes form the index's keys.
+#: 64-bit words of a wide fingerprint, an estimate of similarity that tests hold the groups against.
 WIDE_WORDS = 10
 #: Odd multipliers that make each word's hashes from a shingle's.
 WORD_SALTS = np.random.default_rng(20240611).integers(1, 2**63, WIDE_WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-#: Lists hold texts whose numbers of shingles differ by less than LENGTH_STEP squared.
-LENGTH_STEP = 1.25
 
 
 def differing_share(similarity: float) -> float:
@@ -206,80 +204,115 @@ def wide_hash(hashes: np.ndarray) -> bytes:
     return np.array(fold(words), "<u8").tobytes()
 
 
-def wide_fingerprints(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, wide, shingles of every row."""
+#: A text stands in BANDS lists, each under BAND_ROWS minima of its shingles' hashes. Two texts of similarity s share one list at
+#: least with a probability of 1 - (1 - s**BAND_ROWS)**BANDS: all but three in a million at 0.8.
+BANDS, BAND_ROWS = 32, 5
+#: Odd multipliers and summands of the hashes whose minima are taken.
+FACTORS, SUMMANDS = np.random.default_rng(20240611).integers(0, 2**63, (2, BANDS * BAND_ROWS, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Shingles whose hashes are mixed at a time.
+MIX_HASHES = 2000
+
+
+def shingle_set(text: str | None, words: int) -> np.ndarray:
+    """The different shingles' hashes, ascending."""
+    return np.unique(np.array(shingle_hashes(text or "", words), np.uint64))
+
+
+def set_id(hashes: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(hashes.astype("<u8").tobytes(), SEED) - 2**63
+
+
+def list_keys(hashes: np.ndarray) -> np.ndarray:
+    """The key of the text's list in each band."""
+    least = np.full(BANDS * BAND_ROWS, 2**64 - 1, np.uint64)
+    for i in range(0, len(hashes), MIX_HASHES):
+        least = np.minimum(least, (hashes[None, i : i + MIX_HASHES] * FACTORS + SUMMANDS).min(1))
+    key = np.arange(BANDS, dtype=np.uint64)
+    for minimum in least.reshape(BANDS, BAND_ROWS).T:
+        key = (key ^ minimum) * FACTORS[0]
+        key ^= key >> np.uint64(31)
+    return key.view(np.int64)
+
+
+def set_prints(docs: DataFrame, words: int) -> DataFrame:
+    """doc_id, id (of the set of shingles), shingles (their number), keys of every row."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hashes = [np.array(shingle_hashes(t, words), np.uint64) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([wide_hash(h) for h in hashes], pa.binary()), pa.array([len(h) for h in hashes], pa.int64())], names=["doc_id", "wide", "shingles"])
+            sets = [shingle_set(t, words) for t in batch.column("text").to_pylist()]
+            keys = pa.array([list_keys(h) for h in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([set_id(h) for h in sets], pa.int64()), pa.array([len(h) for h in sets], pa.int64()), keys], names=["doc_id", "id", "shingles", "keys"])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(hashed, "doc_id bigint, wide binary, shingles bigint")
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(hashed, "doc_id bigint, id bigint, shingles bigint, keys array<bigint>")
 
 
-def similar_links(groups: DataFrame, similarity: float) -> DataFrame:
-    """a, b: links between the ids of wide fingerprints (id, wide, shingles) that differ in no more bits than `similarity` makes likely.
-
-    Postings are pairs of neighbouring bytes with a class of lengths. Pairs that meet tally their shared bytes; half the number that is
-    expected at `similarity` retains them; then their bits are compared. Two texts of that similarity share one of the 40 postings
-    with a probability of 95 %, more similar ones nearly always. Long lists are dealt anew by each other pair of bytes.
-    """
-    size, share = 8 * WIDE_WORDS, differing_share(similarity)
-    most_bits, least_bytes = int(64 * WIDE_WORDS * share), int(size * (1 - share) ** 8 / 2)
-    bands = size // 2
-    length = F.floor(F.log(F.greatest(F.col("shingles"), F.lit(1)).cast("double")) / F.log(F.lit(LENGTH_STEP))).cast("int")
-    two = lambda k: F.substring("wide", 2 * k + 1, F.lit(2))
-    band = F.explode(F.sequence(F.lit(0), F.lit(bands - 1))).alias("band")
-    posted = groups.select("id", "wide", length.alias("length"), band).withColumn("value", two(F.col("band")))
-    posted = posted.withColumn("length", F.explode(F.array("length", F.col("length") + 1)))
-    keys = ["band", "value", "length"]
-    long_lists = materialize(posted.groupBy(*keys).agg(F.count("*").alias("n")).filter(F.col("n") > SPLIT_LIST).select(*keys, F.lit(True).alias("long")), "long-lists")
-    others = F.transform(F.filter(F.sequence(F.lit(0), F.lit(bands - 1)), lambda k: k != F.col("band")), lambda k: F.struct(k.alias("other"), two(k).alias("also")))
-    whole = F.array(F.struct(F.lit(-1).alias("other"), F.lit(b"").alias("also")))
-    dealt = posted.join(long_lists, keys, "left").withColumn("part", F.explode(F.when(F.col("long"), others).otherwise(whole)))
-    keyed = dealt.select(F.xxhash64(*keys, "part.other", "part.also").alias("list"), "id", "wide")
-    rows = keyed.repartition("list").sortWithinPartitions("list")
-
-    def found(ids: np.ndarray, wide: np.ndarray, lists: np.ndarray) -> Iterator[pa.RecordBatch]:
-        left, right, at, step = [], [], np.arange(len(ids)), 1
-        while len(at := at[at + step < len(ids)]) and len(at := at[lists[at] == lists[at + step]]):
-            for part in np.array_split(at, len(at) // 50_000 + 1):
-                differ = wide[part] ^ wide[part + step]
-                near = (differ == 0).sum(1) >= least_bytes
-                near[near] = np.bitwise_count(differ[near]).sum(1, dtype=np.int64) <= most_bits
-                left.append(ids[part[near]])
-                right.append(ids[part[near] + step])
-            step += 1
-        if left and len(a := np.concatenate(left)):
-            a, b = forest(a, np.concatenate(right))
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+def shingle_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """id, hashes: the sets of shingles with an id of `wanted` (distinct id), each once. The others are hashed again but not moved."""
+    bits, size = filter_bits(wanted, "id")
 
-    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, lists, wide = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, size), np.uint8)
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = np.concatenate((ids, batch.column("id").to_numpy()))
-            lists = np.concatenate((lists, batch.column("list").to_numpy()))
-            wide = np.concatenate((wide, np.frombuffer(b"".join(batch.column("wide").to_pylist()), np.uint8).reshape(-1, size)))
-            last = int(np.searchsorted(lists, lists[-1])) if len(lists) else 0  # the last list may go on in the next batch
-            if last:
-                yield from found(ids[:last], wide[:last], lists[:last])
-                ids, lists, wide = ids[last:], lists[last:], wide[last:]
-        yield from found(ids, wide, lists)
+            sets = [shingle_set(t, words) for t in batch.column("text").to_pylist()]
+            ids = np.array([set_id(h) for h in sets], np.int64)
+            at = ids & (size - 1)
+            there = np.flatnonzero(bits.value[at >> 3] >> (at & 7).astype(np.uint8) & 1)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[there]), pa.array([sets[i].view(np.int64) for i in there], pa.list_(pa.int64()))], names=["id", "hashes"])
+
+    found = docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(hashed, "id bigint, hashes array<bigint>")
+    return found.groupBy("id").agg(F.first("hashes").alias("hashes")).join(wanted, "id", "left_semi")
+
 
-    return rows.select("list", "id", "wide").mapInArrow(linked, "a bigint, b bigint")
+def alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs a, b whose sets of shingles have a Jaccard similarity of `similarity` or more."""
+    pairs = materialize(pairs.distinct(), "pairs")
+    total = pairs.count()
+    met = pairs
+    for side in ("a", "b"):
+        own = pairs.groupBy(side).agg(F.count("*").alias("n")).join(sets.select(F.col("id").alias(side), F.col("hashes").alias(f"{side}_set")), side)
+        met = join_groups(met, materialize(own, "pair-sets"), [side], total, "n", "inner").drop("n")
+    both = F.size(F.array_intersect("a_set", "b_set"))
+    return materialize(met.filter(both >= similarity * (F.size("a_set") + F.size("b_set") - both) - 1e-9).select("a", "b"), "alike")
+
+
+def similar_links(docs: DataFrame, groups: DataFrame, words: int, similarity: float) -> DataFrame:
+    """a, b: links whose components are those of all pairs of groups (id, shingles, keys) that share a list and are alike.
+
+    Every member of a list is compared with the list's first and last one, which connects large groups by few pairs. Then all
+    pairs in a list that aren't connected yet are compared.
+    """
+    able = lambda x, y: F.least(x, y) >= similarity * F.greatest(x, y) - 1e-9  # noqa: E731  sets of other sizes can't be alike
+    pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
+    posted = groups.select("id", "shingles", F.explode("keys").alias("key"))
+    ends = F.array(F.min(F.struct("id", "shingles")), F.max(F.struct("id", "shingles"))).alias("ends")
+    lists = materialize(posted.groupBy("key").agg(F.count("*").alias("n"), ends).filter("n > 1"), "lists")
+    total = lists.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    listed = materialize(join_groups(posted, lists, ["key"], total, "n", "inner"), "listed")
+    sets = materialize(shingle_sets(docs, listed.select("id").distinct(), words), "shingle-sets")
+
+    to_ends = listed.select("id", "shingles", F.explode("ends").alias("end")).filter(F.col("id") != F.col("end.id"))
+    first = alike(to_ends.filter(able(F.col("shingles"), F.col("end.shingles"))).select(*pair("id", "end.id")), sets, similarity)
+    roots = materialize(components(first), "roots")
+    labelled = listed.select("key", "id", "shingles").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    labelled = materialize(labelled, "labelled")
+    apart = materialize(labelled.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key", "n"), "apart")
+    mixed = materialize(join_groups(labelled, apart, ["key"], total, "n", "inner"), "mixed")
+    right = mixed.select("key", F.col("id").alias("other"), F.col("shingles").alias("other_shingles"), F.col("root").alias("other_root"))
+    met = mixed.join(right, "key").filter((F.col("root") < F.col("other_root")) & able(F.col("shingles"), F.col("other_shingles")))
+    rest = alike(met.select(*pair("id", "other")), sets, similarity)
+    return roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(rest)
 
 
 def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """One row per document: doc_id, component_id: the smallest doc_id reached over links of the given similarity.
 
-    The similarity of two texts is estimated from their wide fingerprints, to about 0.04 at 0.8. Nulls, empty texts, repeated rows and
+    The similarity of two texts is the Jaccard similarity of their sets of shingles. Nulls, empty texts, repeated rows and
     empty tables are treated as near_groups does.
     """
-    prints = materialize(wide_fingerprints(docs, words).withColumn("id", F.xxhash64("wide", "shingles")), "wide-fingerprints")
-    groups = prints.groupBy("id").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n"), F.first("wide").alias("wide"), F.first("shingles").alias("shingles"))
-    groups = materialize(groups, "wide-groups")
+    prints = materialize(set_prints(docs, words), "set-prints")
+    groups = prints.groupBy("id").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n"), F.first("shingles").alias("shingles"), F.first("keys").alias("keys"))
+    groups = materialize(groups, "set-groups")
     total = groups.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    roots = components(similar_links(groups, similarity))
+    roots = components(similar_links(docs, groups, words, similarity))
     member = materialize(groups.select("id", "first_id", "n").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id")), "members")
     firsts = materialize(member.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count("*").alias("prints")), "component-ids")
     known = materialize(join_groups(member, firsts, ["root"], total, "prints", "inner").select("id", "component_id", "n"), "fingerprint-components")

@@ -156,6 +156,41 @@ def test_similar_groups(spark, monkeypatch, split):
     assert simhash.similar_groups(frame(spark, [])).count() == 0
 
 
+def planted_pairs(similarity, n, shingles=300):
+    """n pairs of texts whose sets of five-word shingles have at least this Jaccard similarity, and hardly more."""
+    rnd = random.Random(similarity)
+    words = iter(range(10**9))
+    fresh = lambda k: [f"w{next(words)}" for _ in range(k)]
+    only = int(shingles * (1 - similarity) / (2 * similarity))  # shingles of one text alone, for each
+    pairs = []
+    for _ in range(n):
+        common = fresh(shingles + 4)
+        pairs.append((" ".join(common + fresh(only)), " ".join(fresh(only) + common) if rnd.random() < 0.5 else " ".join(common + fresh(only))))
+    return pairs
+
+
+def jaccard(a, b):
+    a, b = (set(simhash.shingle_hashes(t, 5)) for t in (a, b))
+    return len(a & b) / len(a | b)
+
+
+@pytest.mark.parametrize("similarity", [0.8, 0.82, 0.9])
+def test_pairs_from_the_bound_up_are_linked(spark, similarity):
+    pairs = planted_pairs(similarity, 60)
+    assert all(similarity <= jaccard(a, b) < similarity + 0.01 for a, b in pairs)
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(frame(spark, list(enumerate(t for p in pairs for t in p)))).collect()}
+    assert all(got[2 * i] == got[2 * i + 1] == 2 * i for i in range(60))
+
+
+def test_pairs_below_the_bound_are_not_linked(spark):
+    pairs = planted_pairs(0.78, 60)
+    shared = " ".join(f"s{i}" for i in range(14))  # ten shingles that repeat, in texts that are otherwise different
+    pairs += [tuple(" ".join([*(f"{side}{i}x{k}" for k in range(300)), *[shared] * 30]) for side in "ab") for i in range(5)]
+    assert all(jaccard(a, b) < 0.8 for a, b in pairs)
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(frame(spark, list(enumerate(t for p in pairs for t in p)))).collect()}
+    assert all(k == c for k, c in got.items())
+
+
 def test_simhash_of_nothing(spark):
     assert simhash.near_groups(frame(spark, [])).count() == 0
     got = simhash.near_groups(frame(spark, [(None, "x"), (3, "x"), (3, "x"), (None, "y")])).collect()
