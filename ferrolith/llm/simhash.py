@@ -209,6 +209,8 @@ def wide_hash(hashes: np.ndarray) -> bytes:
 BANDS, BAND_ROWS = 32, 5
 #: Odd multipliers and summands of the hashes whose minima are taken.
 FACTORS, SUMMANDS = np.random.default_rng(20240611).integers(0, 2**63, (2, BANDS * BAND_ROWS, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Rows of a list that one task compares with as many others: a longer list is dealt out by pairs of blocks, without loss.
+BLOCK = 500
 #: Shingles whose hashes are mixed at a time.
 MIX_HASHES = 2000
 
@@ -296,8 +298,11 @@ def similar_links(docs: DataFrame, groups: DataFrame, words: int, similarity: fl
     labelled = materialize(labelled, "labelled")
     apart = materialize(labelled.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key", "n"), "apart")
     mixed = materialize(join_groups(labelled, apart, ["key"], total, "n", "inner"), "mixed")
-    right = mixed.select("key", F.col("id").alias("other"), F.col("shingles").alias("other_shingles"), F.col("root").alias("other_root"))
-    met = mixed.join(right, "key").filter((F.col("root") < F.col("other_root")) & able(F.col("shingles"), F.col("other_shingles")))
+    blocks = F.ceil(F.col("n") / BLOCK)
+    own, each = F.pmod(F.xxhash64("id"), blocks), F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1))
+    left = mixed.select("key", own.alias("block"), each.alias("other_block"), "id", "shingles", "root")
+    right = mixed.select("key", each.alias("block"), own.alias("other_block"), F.col("id").alias("other"), F.col("shingles").alias("other_shingles"), F.col("root").alias("other_root"))
+    met = left.join(right, ["key", "block", "other_block"]).filter((F.col("root") < F.col("other_root")) & able(F.col("shingles"), F.col("other_shingles")))
     rest = alike(met.select(*pair("id", "other")), sets, similarity)
     return roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(rest)
 

@@ -190,6 +190,16 @@ def test_pairs_below_the_bound_are_not_linked(spark):
     got = {r.doc_id: r.component_id for r in simhash.similar_groups(frame(spark, list(enumerate(t for p in pairs for t in p)))).collect()}
     assert all(k == c for k, c in got.items())
 
+def test_long_lists_lose_no_pair(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "SPLIT_LIST", 1)
+    monkeypatch.setattr(simhash, "BLOCK", 1)
+    pairs = planted_pairs(0.82, 60)
+    group = " ".join(f"g{i}" for i in range(300))
+    texts = [t for p in pairs for t in p] + [f"{group} h{i} i{i} j{i}" for i in range(20)]
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(frame(spark, list(enumerate(texts)))).collect()}
+    assert got == {k: k - k % 2 if k < 120 else 120 for k in got}
+
+
 
 def test_simhash_of_nothing(spark):
     assert simhash.near_groups(frame(spark, [])).count() == 0
