@@ -3,34 +3,66 @@
 from __future__ import annotations
 
 import uuid
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A key is heavy if it holds more than this share of the rows; so at most 1 / HEAVY_SHARE keys are heavy.
 HEAVY_SHARE = 1 / 1000
+#: Used by local sessions alone, where the driver and the executors are one process.
 LOCAL_CHECKPOINT_DIR = "/tmp/checkpoints"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that every executor sees. Only where the session names none (tests), one of our own is set."""
+    """The folder that every executor sees. A cluster must name it; a local session that names none gets one of our own."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(LOCAL_CHECKPOINT_DIR)
         named = LOCAL_CHECKPOINT_DIR
     return named.rstrip("/")
 
 
+def scratch_root(spark: SparkSession) -> str:
+    """All scratch tables of this application."""
+    return f"{shared_dir(spark)}/ferrolith/{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/ferrolith/{name}-{uuid.uuid4().hex}"
+    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+
+
+def discard_scratch(spark: SparkSession) -> None:
+    """Remove every scratch table of this application. Results that aren't written yet can't be read any more."""
+    remove_path(spark, scratch_root(spark))
 
 
 def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back: lineage ends there and lost executors cost no recomputation."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
+    return write_table(df, scratch_path(df.sparkSession, name), **options)
+
+
+def write_table(df: DataFrame, path: str, **options: str) -> DataFrame:
     df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def numbered(docs: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """docs as a table with one more column, a number that no two rows share, and that column's name.
+
+    Decisions about rows go by this number, so that rows with null or repeated ids are told apart.
+    """
+    taken, row = {c.lower() for c in docs.columns}, "row_number_"
+    while row in taken:
+        row += "_"
+    return materialize(docs.withColumn(row, F.monotonically_increasing_id()), name), row
 
 
 def text_or_empty(column: str = "text") -> Column:
@@ -73,15 +105,40 @@ def bit_filter(keys: DataFrame, place: Column) -> DataFrame:
     return keys.select(row.alias("filter_row"), bit.alias("bit")).groupBy("filter_row").agg(F.bitmap_construct_agg("bit").alias("filter_bits"))
 
 
-def maybe_in(rows: DataFrame, keys: DataFrame, column: str) -> DataFrame:
-    """rows with `maybe`: false only if the column's value is not among keys. The filter is broadcast and of bounded size."""
+@dataclass(frozen=True)
+class BitFilter:
+    """The bits of a column's values as a table in the shared folder, 8 MB at most."""
+
+    bits: DataFrame
+    size: int
+    column: str
+
+    def mark(self, rows: DataFrame, flag: str = "maybe") -> DataFrame:
+        """rows with the boolean `flag`: false only if the column's value is not among the keys. Broadcasts the bits."""
+        place = F.pmod(F.xxhash64(self.column), F.lit(self.size))
+        row, bit = F.floor(place / FILTER_ROW_BITS).cast("int"), F.pmod(place, F.lit(FILTER_ROW_BITS))
+        byte = F.conv(F.hex(F.substring(F.col("filter_bits_"), F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+        there = F.coalesce(F.getbit(byte, F.pmod(bit, F.lit(8)).cast("int")) == 1, F.lit(False))
+        bits = self.bits.select(F.col("filter_row").alias("filter_row_"), F.col("filter_bits").alias("filter_bits_"))
+        met = rows.withColumn("filter_row_", row).join(F.broadcast(bits), "filter_row_", "left")
+        return met.withColumn(flag, there).drop("filter_row_", "filter_bits_")
+
+
+def build_filter(keys: DataFrame, column: str) -> BitFilter:
     size = _filter_size(keys)
-    place = F.pmod(F.xxhash64(column), F.lit(size))
-    row, bit = F.floor(place / FILTER_ROW_BITS).cast("int"), F.pmod(place, F.lit(FILTER_ROW_BITS))
-    byte = F.conv(F.hex(F.substring(F.col("filter_bits"), F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    there = F.coalesce(F.getbit(byte, F.pmod(bit, F.lit(8)).cast("int")) == 1, F.lit(False))
-    met = rows.withColumn("filter_row", row).join(F.broadcast(bit_filter(keys, place)), "filter_row", "left")
-    return met.withColumn("maybe", there).drop("filter_row", "filter_bits")
+    return BitFilter(materialize(bit_filter(keys, F.pmod(F.xxhash64(column), F.lit(size))), "bit-filter"), size, column)
+
+
+def maybe_in(rows: DataFrame, keys: DataFrame, column: str) -> DataFrame:
+    """rows with `maybe`: false only if the column's value is not among keys."""
+    return build_filter(keys, column).mark(rows)
+
+
+def without(rows: DataFrame, gone: DataFrame, row: str) -> DataFrame:
+    """The rows whose number `row` is not in gone. Rows that a filter clears aren't moved; numbers are unique, so no key is hot."""
+    marked = build_filter(gone, row).mark(rows, "maybe_gone_")
+    cleared, rest = marked.filter("NOT maybe_gone_"), marked.filter("maybe_gone_").join(gone.select(row), row, "left_anti")
+    return cleared.select(*rows.columns).unionByName(rest.select(*rows.columns)).drop(row)
 
 
 def filter_bits(keys: DataFrame, column: str):

@@ -1,104 +1,150 @@
 """Exact duplicates by a log-structured merge index over text digests (DataFrame operations only).
 
-Every input partition is a memtable. It is flushed as a sorted run of (digest, doc_id) whose Parquet files carry Bloom
-filters on the digest. Compaction merges runs into one sorted level that keeps, per digest, the identifier that stays and
-the number of rows. Digests with several rows are hits; their texts are compared byte by byte before rows count as equal.
+Every task of a flush is a memtable, written as one file of a run that is sorted by digest. Runs and the compacted level
+carry a bit filter of their digests. A lookup asks the filters first and reads only what they pass; compaction merges
+the level with the runs since the last one, entries that the level's filter doesn't know being added without meeting
+it, and keeps the identifier that stays and the number of rows of each digest. Digests with several rows are hits; their
+texts are compared byte by byte before rows count as equal.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ferrolith.llm.common import join_groups, materialize, maybe_in, scratch_path, text_or_empty
+from ferrolith.llm.common import BitFilter, build_filter, join_groups, materialize, numbered, scratch_path, text_or_empty, without, write_table
 
-RUN_OPTIONS = {"parquet.bloom.filter.enabled#digest": "true", "parquet.bloom.filter.expected.ndv#digest": "100000"}
-RUN_SCHEMA = "digest binary, doc_id bigint"
+ENTRY_SCHEMA = "digest binary, doc_id bigint, run int, row bigint, n bigint"
 
 
 def sha256_digest(text: Column) -> Column:
     return F.unhex(F.sha2(text, 256))
 
 
+@dataclass(frozen=True)
+class Sorted:
+    """A run or the level: entries sorted by digest within files, and their filter."""
+
+    path: str
+    entries: DataFrame
+    filter: BitFilter
+
+
 class DigestIndex:
-    """Runs and the compacted level under one shared folder. keep: `max` or `min` of the doc_id stays."""
+    """Runs and the compacted level under one shared folder. keep: `max` or `min` of the doc_id stays, null ids last.
+
+    Entries are digest, doc_id, run, row, n: the row that stays, by the number of its flush and its own number there, and how many rows there are.
+    """
 
     def __init__(self, spark: SparkSession, keep: str = "max", digest=sha256_digest, path: str | None = None):
         if keep not in ("max", "min"):
             raise ValueError(f"keep must be max or min, not {keep!r}")
         self.spark, self.keep, self.digest = spark, keep, digest
         self.path = path or scratch_path(spark, "lsm")
-        self.runs: list[str] = []
-        self.level: str | None = None
-
-    def flush(self, docs: DataFrame) -> None:
-        """Write one more sorted run; no shuffle."""
-        run = f"{self.path}/run-{len(self.runs):05d}"
-        entries = docs.select(self.digest(text_or_empty()).alias("digest"), F.col("doc_id").cast("bigint").alias("doc_id"))
-        entries.sortWithinPartitions("digest").write.options(**RUN_OPTIONS).parquet(run)
-        self.runs.append(run)
-
-    def rows(self) -> DataFrame:
-        """(digest, doc_id) of every row flushed so far."""
-        if not self.runs:
-            return self.spark.createDataFrame([], RUN_SCHEMA)
-        return self.spark.read.schema(RUN_SCHEMA).parquet(*self.runs)
+        self.flushes = self.compactions = 0
+        self.runs: list[Sorted] = []
+        self.level: Sorted | None = None
+        #: Paths of the runs and levels that the last lookup had to read.
+        self.read: list[str] = []
+
+    def merge(self, entries: DataFrame) -> DataFrame:
+        """One entry for each digest. Entries are combined within each task before they are shuffled."""
+        known = F.col("doc_id").isNotNull()
+        order = F.struct((known if self.keep == "max" else ~known).alias("rank"), "doc_id", "run", "row")
+        stays = F.max(order) if self.keep == "max" else F.min(order)
+        return entries.groupBy("digest").agg(stays.alias("stays"), F.sum("n").alias("n")).select("digest", "stays.doc_id", "stays.run", "stays.row", "n")
+
+    def _write(self, entries: DataFrame, name: str) -> Sorted:
+        path = f"{self.path}/{name}"
+        table = write_table(entries.sortWithinPartitions("digest"), path)
+        return Sorted(path, table, build_filter(table, "digest"))
+
+    def flush(self, docs: DataFrame, row: str | None = None) -> Sorted:
+        """Write one more run; no shuffle. row: a column that numbers the rows; by default the run has numbers of its own."""
+        number = F.col(row) if row else F.monotonically_increasing_id()
+        entries = docs.select(
+            self.digest(text_or_empty()).alias("digest"), F.col("doc_id").cast("bigint").alias("doc_id"),
+            F.lit(self.flushes).alias("run"), number.cast("bigint").alias("row"), F.lit(1).cast("bigint").alias("n"),
+        )
+        self.runs.append(self._write(entries, f"run-{self.flushes:05d}"))
+        self.flushes += 1
+        return self.runs[-1]
 
     def compact(self) -> DataFrame:
-        """Merge all runs: (digest, keep_id, n), one row per digest, sorted within files."""
-        stays = F.max("doc_id") if self.keep == "max" else F.min("doc_id")
-        merged = self.rows().groupBy("digest").agg(stays.alias("keep_id"), F.count("*").alias("n")).sortWithinPartitions("digest")
-        level = scratch_path(self.spark, "lsm-level")
-        merged.write.options(**RUN_OPTIONS).parquet(level)
-        self.level = level
-        return self.spark.read.schema(merged.schema).parquet(level)
-
-
-def exact_groups(docs: DataFrame, keep: str = "max", digest=sha256_digest) -> DataFrame:
-    """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
-
-    Null texts count as empty. Equal texts form a group; the row with the largest (keep="min": smallest) doc_id stays.
-    Null doc_ids never win over others; a group with null doc_ids alone has a null keep_id and keeps them. Rows that
-    repeat a doc_id and a text are the same document: each counts in group_size and all share its decision. An empty table gives
-    an empty result. Columns other than doc_id and text are not read. text_sha256 is the index's digest
-    in hex, SHA-256 unless another digest is given.
+        """Merge the runs since the last compaction into the level; one entry for each digest."""
+        if not self.runs:
+            return self.level.entries if self.level else self.spark.createDataFrame([], ENTRY_SCHEMA)
+        fresh = self.runs[0].entries
+        for run in self.runs[1:]:
+            fresh = fresh.unionByName(run.entries)
+        merged = self.merge(fresh)
+        if self.level:
+            marked = self.level.filter.mark(materialize(merged, "lsm-merged"))
+            meet = marked.filter("maybe").drop("maybe").unionByName(self.level.entries)
+            merged = self.merge(meet).unionByName(marked.filter("NOT maybe").drop("maybe"))
+        self.level = self._write(merged, f"level-{self.compactions:05d}")
+        self.compactions += 1
+        self.runs = []
+        return self.level.entries
+
+    def lookup(self, digests: DataFrame) -> DataFrame:
+        """The entries of these digests (column digest) over the level and all runs. A table whose filter passes none isn't read."""
+        wanted = materialize(digests.select("digest").distinct(), "lsm-wanted")
+        self.read, found = [], self.spark.createDataFrame([], ENTRY_SCHEMA)
+        for table in [*([self.level] if self.level else []), *self.runs]:
+            passed = materialize(table.filter.mark(wanted).filter("maybe").select("digest"), "lsm-passed")
+            if passed.limit(1).count():
+                self.read.append(table.path)
+                found = found.unionByName(self.merge(table.entries).join(passed, "digest", "left_semi"))
+        return self.merge(found)
+
+
+def exact_groups(docs: DataFrame, keep: str = "max", digest=sha256_digest, row: str | None = None) -> DataFrame:
+    """One row per document: doc_id, keep_id, group_size, kept, text_sha256, and with `row` that column, which numbers the rows.
+
+    Null texts count as empty. Equal texts form a group, of which exactly one row is kept: the one with the largest
+    (keep="min": smallest) doc_id, of several such rows any one. Null doc_ids never win over others; a group with null doc_ids alone has a
+    null keep_id. An empty table gives an empty result. Columns other than doc_id and text are not read. text_sha256 is
+    the index's digest in hex, SHA-256 unless another digest is given.
     """
-    spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty().alias("text"))
-    index = DigestIndex(spark, keep, digest)
-    index.flush(docs)
+    index = DigestIndex(docs.sparkSession, keep, digest)
+    rows = index.flush(docs, row).entries
     level = index.compact()
     total = level.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
     # Byte verification: the texts of hits meet as grouping keys, combined in each task before they are shuffled.
-    stays = F.max("doc_id") if keep == "max" else F.min("doc_id")
     hits = level.filter("n > 1")
-    texts = join_groups(maybe_in(docs.withColumn("digest", digest(F.col("text"))), hits, "digest").filter("maybe"), hits.select("digest", "n"), ["digest"], total, "n", "left_semi")
-    verified = materialize(texts.groupBy("digest", "text").agg(stays.alias("keep_id"), F.count("*").alias("group_size")).drop("text"), "verified")
-    collided = verified.groupBy("digest").agg(F.count("*").alias("texts"), F.sum("group_size").alias("n")).filter("texts > 1")
-    unrelated = collided.limit(1).count() == 0
-
-    rows = index.rows()
-    if unrelated:
-        found = join_groups(rows, verified, ["digest"], total, "group_size").select("doc_id", "digest", "keep_id", "group_size")
-    else:
-        collided = materialize(collided.select("digest", "n"), "collided")
-        single = join_groups(rows.join(collided, "digest", "left_anti"), verified.join(collided, "digest", "left_anti"), ["digest"], total, "group_size")
-        clashing = docs.withColumn("digest", digest(F.col("text"))).join(collided.select("digest"), "digest", "left_semi")
-        by_text = clashing.groupBy("text").agg(stays.alias("keep_id"), F.count("*").alias("group_size"))
-        several = join_groups(clashing, by_text, ["text"], total, "group_size")
-        found = single.select("doc_id", "digest", "keep_id", "group_size").unionByName(several.select("doc_id", "digest", "keep_id", "group_size"))
-    alone = F.col("group_size").isNull()
-    return found.select(
+    hit_filter = build_filter(hits, "digest")
+    texts = docs.select(*({"doc_id", row} - {None}), text_or_empty().alias("text")).withColumn("digest", digest(F.col("text")))
+    texts = join_groups(hit_filter.mark(texts).filter("maybe").drop("maybe"), hits.select("digest", "n"), ["digest"], total, "n", "left_semi")
+    clashes = texts.groupBy("digest", "text").agg(F.lit(1).alias("one")).groupBy("digest").agg(F.count("*").alias("texts")).filter("texts > 1")
+    clashes = materialize(clashes.select("digest"), "clashes")
+
+    marked = hit_filter.mark(rows)
+    alone = marked.filter("NOT maybe").select("digest", "doc_id", "row", F.lit(None).cast("bigint").alias("keep_id"), F.lit(None).cast("bigint").alias("keep_row"), F.lit(None).cast("bigint").alias("n"))
+    groups = hits.select("digest", F.col("doc_id").alias("keep_id"), F.col("row").alias("keep_row"), "n")
+    met = marked.filter("maybe").select("digest", "doc_id", "row")
+    if clashes.limit(1).count():  # different texts under one digest: their rows are grouped by the text itself
+        apart, name = numbered(texts.join(clashes, "digest", "left_semi"), "clashing")
+        apart = apart.withColumn("row", F.col(row or name)).withColumn("run", F.lit(0)).withColumn("n", F.lit(1).cast("bigint"))
+        by_text = index.merge(apart.select(F.col("text").alias("digest"), "doc_id", "run", "row", "n")).select(F.col("digest").alias("text"), F.col("doc_id").alias("keep_id"), F.col("row").alias("keep_row"), "n")
+        met, groups = met.join(clashes, "digest", "left_anti"), groups.join(clashes, "digest", "left_anti")
+        alone = alone.unionByName(join_groups(apart.select("digest", "text", "doc_id", "row"), by_text, ["text"], total, "n").drop("text"))
+    found = alone.unionByName(join_groups(met, groups, ["digest"], total, "n"))
+    single = F.col("n").isNull()
+    columns = [
         "doc_id",
-        F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
-        F.coalesce("group_size", F.lit(1)).cast("bigint").alias("group_size"),
-        (alone | F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("kept"),
+        F.when(single, F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
+        F.coalesce("n", F.lit(1)).cast("bigint").alias("group_size"),
+        (single | (F.col("row") == F.col("keep_row"))).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
-    )
+    ]
+    return found.select(*columns, *([F.col("row").alias(row)] if row else []))
 
 
 def drop_exact_copies(docs: DataFrame, keep: str = "max") -> DataFrame:
-    """The rows of docs that stay, with all their columns."""
-    stays = exact_groups(docs, keep).filter("kept").select(F.col("doc_id").alias("__kept_id")).distinct()
-    return docs.join(stays, F.col("doc_id").cast("bigint").eqNullSafe(F.col("__kept_id")), "left_semi")
+    """The rows of docs that stay, with all their columns: exactly one of each group of equal texts."""
+    rows, row = numbered(docs, "exact-rows")
+    return without(rows, materialize(exact_groups(rows, keep, row=row).filter("NOT kept").select(row), "exact-dropped"), row)

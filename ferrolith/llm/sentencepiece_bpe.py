@@ -10,6 +10,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
+import warnings
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -26,8 +27,8 @@ LONG_SEGMENT = 64
 NO_MERGE = 1 << 60
 
 
-class PieceMismatch(ValueError):
-    """The agenda and the library disagree on a segment."""
+class PieceMismatch(UserWarning):
+    """The agenda and the library disagree on a segment; the library's ids are taken."""
 
 
 class BpeModel:
@@ -147,15 +148,16 @@ class BpeModel:
         text = self.decode_raw(ids)
         return text[1:] if text.startswith(" ") else text
 
-    def check(self, segments: list[str], found: list[list[int]]) -> None:
-        """Compare with the library: each segment after the shield, whose ids are then cut off."""
+    def checked(self, segments: list[str], found: list[list[int]]) -> list[list[int]]:
+        """The segments' ids after a comparison with the library: each segment stands after the shield, whose ids are cut off."""
         if self.shield is None:
             asked = self.library.encode([s.replace(SPACE, " ")[1:] if s.startswith(SPACE) else s for s in segments], num_threads=1)
         else:
             asked = [x[self.shield_ids :] for x in self.library.encode([self.shield + s for s in segments], num_threads=1)]
         for segment, ours, theirs in zip(segments, found, asked):
             if ours != theirs:
-                raise PieceMismatch(f"{segment!r}: agenda {ours}, library {theirs}")
+                warnings.warn(f"{segment!r}: agenda {ours}, library {theirs}", PieceMismatch, stacklevel=2)
+        return [list(ids) for ids in asked]
 
 
 @lru_cache(maxsize=2)
@@ -170,8 +172,7 @@ class SegmentCache:
         self.model, self.young, self.old = model, {}, {}
 
     def learn(self, missing: list[str]) -> dict[str, tuple[int, str, str]]:
-        found = [self.model.segment_ids(s) for s in missing]
-        self.model.check(missing, found)
+        found = self.model.checked(missing, [self.model.segment_ids(s) for s in missing])
         return {s: (len(ids), ",".join(map(str, ids)), self.model.decode_raw(ids)) for s, ids in zip(missing, found)}
 
     def encode_batch(self, texts: list[str]) -> list[tuple[int, str, str]]:

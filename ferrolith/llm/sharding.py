@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ferrolith.llm.common import text_or_empty
+from ferrolith.llm.common import materialize, text_or_empty
 
 #: Buckets that number a shard's rows: slots are counted within a bucket, after the rows of the buckets before it.
 SLOT_BUCKETS = 1024
@@ -81,7 +81,6 @@ def assign(docs: DataFrame, tree: Node, grown: Node | None = None) -> DataFrame:
     promised order. An empty table gives an empty result; columns other than doc_id and text are not read.
     """
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-    bucket = F.pmod(F.xxhash64(key, F.lit("slot")), F.lit(SLOT_BUCKETS)).cast("int")
     text = F.encode(text_or_empty(), "UTF-8")
     placed = docs.select(
         F.col("doc_id"),
@@ -89,10 +88,11 @@ def assign(docs: DataFrame, tree: Node, grown: Node | None = None) -> DataFrame:
         F.crc32(text).alias("text_crc32"),
         descend(key, tree).cast("int").alias("shard"),
         (descend(key, grown) if grown else F.lit(None)).cast("int").alias("grown_shard"),
-        bucket.alias("bucket"),
+        # A row's place in its task deals out rows that repeat an id; the table below makes it lasting.
+        F.pmod(F.xxhash64(key, F.lit("slot"), F.monotonically_increasing_id()), F.lit(SLOT_BUCKETS)).cast("int").alias("bucket"),
     )
-    # At most shards x SLOT_BUCKETS counts, read from doc_id alone.
-    counts = docs.select(descend(key, tree).cast("int").alias("shard"), bucket.alias("bucket")).groupBy("shard", "bucket").agg(F.count("*").alias("n"))
+    placed = materialize(placed, "placed")
+    counts = placed.groupBy("shard", "bucket").agg(F.count("*").alias("n"))  # at most shards x SLOT_BUCKETS
     before = F.sum("n").over(Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
     offsets = counts.select("shard", "bucket", F.coalesce(before, F.lit(0)).alias("first_slot"))
     within = F.row_number().over(Window.partitionBy("shard", "bucket").orderBy("doc_id", "text_crc32"))

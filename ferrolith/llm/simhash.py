@@ -1,9 +1,9 @@
 """Near duplicates by SimHash fingerprints and an inverted index of byte positions.
 
-Two 64-bit fingerprints that differ in at most 4 bits share at least 4 of their 8 bytes in place. The index's postings are
-therefore sets of four positional bytes: each qualifying pair meets under one at least. Pairs that meet tally their
-shared bytes, those that reach the guaranteed minimum are verified bit by bit, and each posting list gives only a
-spanning forest of its links.
+Two 64-bit fingerprints that differ in at most 4 bits share at least 4 of their 8 bytes in place. The index posts a fingerprint
+under sets of three positional bytes, chosen so that any four positions hold one of the sets: each qualifying pair meets,
+and few others do. Pairs that meet tally the positional bytes they share; count filtering retains those that reach the
+guaranteed minimum of four, which are verified bit by bit. Each posting list gives only a spanning forest of its links.
 """
 
 from __future__ import annotations
@@ -17,12 +17,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ferrolith.llm.common import filter_bits, join_groups, materialize
+from ferrolith.llm.common import filter_bits, join_groups, materialize, numbered, without
 from ferrolith.llm.components import components
 
 BYTES, SEED = 8, 42
-#: A posting list with more fingerprints is dealt out anew, by slices of the bytes that its key leaves open.
+#: A posting list with more fingerprints is dealt out anew, by slices of the bytes that its key leaves open; a slice
+#: with more is compared in pairs of blocks of about that size, in a task for each pair. Neither loses a pair.
 SPLIT_LIST = 2000
+#: Longer lists are settled from fingerprint to fingerprint in place of walking all distances.
+WALK_LIST = 256
 #: Texts hashed before their bits are counted.
 COUNT_HASHES = 200_000
 
@@ -57,21 +60,41 @@ def simhash(text: str | None, words: int = 4) -> int:
     return fold([np.array(shingle_hashes(text or "", words), np.uint64)])[0]
 
 
-def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
-    """doc_id, fp (the 64 bits as a signed number) of every row."""
+def fingerprints(docs: DataFrame, words: int = 4, row: str | None = None) -> DataFrame:
+    """doc_id, fp (the 64 bits as a signed number), and the column `row` if one is named, of every row."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [simhash(t, words) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.array(found, np.uint64).view(np.int64))], names=["doc_id", "fp"])
+            found = pa.array(np.array([simhash(t, words) for t in batch.column(0).to_pylist()], np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], found], names=[*batch.schema.names[1:], "fp"])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(hashed, "doc_id bigint, fp bigint")
+    chosen = docs.select(F.coalesce("text", F.lit("")).alias("text"), F.col("doc_id").cast("bigint").alias("doc_id"), *([row] if row else []))
+    return chosen.mapInArrow(hashed, "doc_id bigint, " + (f"`{row}` bigint, " if row else "") + "fp bigint")
+
+
+def posted_places(shared: int) -> list[tuple[int, ...]]:
+    """Sets of shared - 1 positions (one at least) such that any `shared` positions hold one of the sets.
+
+    For sets of three, positions fall in three classes in turn, and a set lies in one class or has two positions in a class and
+    one in the next (Turan's construction: 20 sets). Else sets are picked greedily, the most useful first.
+    """
+    size = max(1, shared - 1)
+    sets = list(combinations(range(BYTES), size))
+    if size == 3:
+        held = lambda c: [sum(p % 3 == k for p in c) for k in range(3)]
+        return [c for c in sets if max(n := held(c)) == 3 or (max(n) == 2 and n[(n.index(2) + 1) % 3] == 1)]
+    open_ = set(combinations(range(BYTES), shared))
+    chosen = []
+    while open_:
+        best = max(sets, key=lambda c: sum(set(c) <= set(o) for o in open_))
+        chosen.append(best)
+        open_ = {o for o in open_ if not set(best) <= set(o)}
+    return chosen
 
 
 def postings(prints: DataFrame, most_bits: int) -> DataFrame:
-    """chosen, key, fp: each fingerprint under every set of positional bytes that a qualifying pair is sure to share."""
-    shared = BYTES - most_bits
-    masks = [sum(0xFF << 8 * i for i in places) for places in combinations(range(BYTES), shared)]
+    """chosen, key, fp: each fingerprint under every posted set of positional bytes."""
+    masks = [sum(0xFF << 8 * i for i in places) for places in posted_places(BYTES - most_bits)]
     signed = [m - 2**64 if m >= 2**63 else m for m in masks]
     chosen = F.posexplode(F.array(*[F.lit(m).cast("bigint") for m in signed])).alias("chosen", "mask")
     return prints.select("fp", chosen).select("chosen", F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp", "mask")
@@ -107,45 +130,96 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[apart], nodes[label[apart]]
 
 
+def count_filter(differ: np.ndarray, most_bits: int) -> np.ndarray:
+    """Which pairs, given by their exclusive or, share the positional bytes that a qualifying pair is sure to share."""
+    return (np.ascontiguousarray(differ).view(np.uint8).reshape(-1, BYTES) == 0).sum(1) >= BYTES - most_bits
+
+
 def near_pairs(fp: np.ndarray, list_id: np.ndarray, most_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links among fingerprints of the same posting list; rows are sorted by list. Walks distance after distance."""
+    """Links among fingerprints of the same posting list; rows are sorted by list. Walks distance after distance.
+
+    Long lists are settled one by one: from a fingerprint on, those linked with it are reached and left out of later comparisons.
+    """
     left, right = [], []
-    at, step = np.arange(len(fp)), 1
+    starts = np.flatnonzero(np.concatenate(([True], list_id[1:] != list_id[:-1])))
+    sizes = np.diff(np.concatenate((starts, [len(fp)])))
+    for start, size in zip(starts[sizes > WALK_LIST].tolist(), sizes[sizes > WALK_LIST].tolist()):
+        a, b = reached(fp[start : start + size], most_bits)
+        left.append(a)
+        right.append(b)
+    short = np.repeat(sizes <= WALK_LIST, sizes)
+    fp, list_id, step = fp[short], list_id[short], 1
+    at = np.arange(len(fp))
     while len(at := at[at + step < len(fp)]) and len(at := at[list_id[at] == list_id[at + step]]):
         differ = fp[at] ^ fp[at + step]
-        tally = (differ.view(np.uint8).reshape(-1, BYTES) == 0).sum(1)
-        near = (tally >= BYTES - most_bits) & (np.bitwise_count(differ) <= most_bits)
-        left.append(fp[at[near]])
-        right.append(fp[at[near] + step])
+        tallied = np.flatnonzero(count_filter(differ, most_bits))
+        near = at[tallied[np.bitwise_count(differ[tallied]) <= most_bits]]
+        left.append(fp[near])
+        right.append(fp[near + step])
         step += 1
     return (np.concatenate(left), np.concatenate(right)) if left else (fp[:0], fp[:0])
 
 
+def reached(fp: np.ndarray, most_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links that connect what all links within the list connect."""
+    left, right = [], []
+    open_, frontier = fp[1:], [fp[0]]
+    while len(open_):
+        if not frontier:
+            frontier, open_ = [open_[0]], open_[1:]
+            continue
+        here = frontier.pop()
+        differ = open_ ^ here
+        met = np.zeros(len(open_), bool)
+        tallied = np.flatnonzero(count_filter(differ, most_bits))
+        met[tallied[np.bitwise_count(differ[tallied]) <= most_bits]] = True
+        if met.any():
+            found = open_[met]
+            left.append(np.full(len(found), here))
+            right.append(found)
+            frontier.extend(found)
+            open_ = open_[~met]
+    return (np.concatenate(left), np.concatenate(right)) if left else (fp[:0], fp[:0])
+
+
 def links(prints: DataFrame, most_bits: int = 4) -> DataFrame:
     """a, b: links whose components are those of all pairs of fingerprints within most_bits bits. prints: distinct fp."""
     if not 0 <= most_bits < BYTES:
         raise ValueError("most_bits must leave a byte that both fingerprints share")
     posted = postings(prints, most_bits)
-    sizes = posted.groupBy("chosen", "key").agg(F.count("*").alias("n"))
-    long_lists = materialize(sizes.filter(F.col("n") > SPLIT_LIST).select("chosen", "key", F.lit(True).alias("long")), "long-lists")
-    dealt = posted.join(long_lists, ["chosen", "key"], "left")
-    whole = F.array(F.struct(F.lit(0).alias("slice"), F.lit(0).cast("bigint").alias("value")))
-    part = F.when(F.col("long"), slices(F.col("fp"), F.col("mask"), most_bits)).otherwise(whole)
-    dealt = dealt.select("chosen", "key", "fp", F.explode(part).alias("part")).select("chosen", "key", "part.slice", "part.value", "fp")
+    whole = F.struct(F.lit(0).alias("slice"), F.lit(0).cast("bigint").alias("value"))
+    long_lists = posted.groupBy("chosen", "key").agg(F.count("*").alias("n")).filter(F.col("n") > SPLIT_LIST)
+    long_lists = materialize(long_lists.select("chosen", "key", F.lit(True).alias("long")), "long-lists")
+    if long_lists.limit(1).count():
+        dealt = posted.join(long_lists, ["chosen", "key"], "left")
+        part = F.when(F.col("long"), slices(F.col("fp"), F.col("mask"), most_bits)).otherwise(F.array(whole))
+        dealt = dealt.select("chosen", "key", "fp", F.explode(part).alias("part")).select("chosen", "key", "part.slice", "part.value", "fp")
+    else:
+        dealt = posted.select("chosen", "key", "fp", whole.alias("part")).select("chosen", "key", "part.slice", "part.value", "fp")
     keys = ["chosen", "slice", "key", "value"]
-    rows = dealt.repartition(*keys).sortWithinPartitions(*keys)
+    long_slices = dealt.filter("slice > 0").groupBy(*keys).agg(F.count("*").alias("n")).filter(F.col("n") > SPLIT_LIST)
+    long_slices = materialize(long_slices.select(*keys, F.ceil(F.col("n") / SPLIT_LIST).cast("int").alias("blocks")), "long-slices")
+    if long_slices.limit(1).count():
+        dealt = dealt.join(long_slices, keys, "left")
+        own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
+        pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.least(own, o) * F.col("blocks") + F.greatest(own, o))
+        dealt = dealt.select(*keys, "fp", F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(pairs)).alias("block"))
+    else:
+        dealt = dealt.select(*keys, "fp", F.lit(0).alias("block"))
+    keys.append("block")
+    rows = dealt.select(*keys, "fp").repartition(*keys).sortWithinPartitions(*keys)
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = [np.zeros(0, np.int64)] * 5
+        kept = [np.zeros(0, np.int64)] * 6
         for batch in batches:
             kept = [np.concatenate((k, batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64))) for i, k in enumerate(kept)]
-            new = np.concatenate(([True], np.any([k[1:] != k[:-1] for k in kept[:4]], axis=0))) if len(kept[4]) else np.zeros(0, bool)
+            new = np.concatenate(([True], np.any([k[1:] != k[:-1] for k in kept[:5]], axis=0))) if len(kept[5]) else np.zeros(0, bool)
             last = int(np.flatnonzero(new)[-1]) if len(new) else 0  # the last list may go on in the next batch
             if last:
-                yield from found(kept[4][:last], np.cumsum(new[:last]))
+                yield from found(kept[5][:last], np.cumsum(new[:last]))
                 kept = [k[last:] for k in kept]
-        if len(kept[4]):
-            yield from found(kept[4], np.zeros(len(kept[4]), np.int64))
+        if len(kept[5]):
+            yield from found(kept[5], np.zeros(len(kept[5]), np.int64))
 
     def found(fp: np.ndarray, list_id: np.ndarray) -> Iterator[pa.RecordBatch]:
         a, b = near_pairs(fp.view(np.uint64), list_id, most_bits)
@@ -156,30 +230,40 @@ def links(prints: DataFrame, most_bits: int = 4) -> DataFrame:
     return rows.mapInArrow(linked, "a bigint, b bigint")
 
 
-def near_groups(docs: DataFrame, words: int = 4, most_bits: int = 4) -> DataFrame:
-    """One row per document: doc_id, fingerprint, component_id.
+def first_row(row: str | None):
+    """What orders a group's rows: the smallest doc_id, null ids last, then the row's number."""
+    return F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", (F.col(row) if row else F.lit(0).cast("bigint")).alias("row"))
+
+
+def reach_groups(prints: DataFrame, groups: DataFrame, roots: DataFrame, key: str, total: int) -> DataFrame:
+    """prints with component_id and first (the component's first row). groups: key, first, n; roots: node, root of linked keys."""
+    member = groups.select(key, "first", "n").join(roots.withColumnRenamed("node", key), key, "left").withColumn("root", F.coalesce("root", key))
+    member = materialize(member, "members")
+    firsts = materialize(member.groupBy("root").agg(F.min("first").alias("whole"), F.count("*").alias("prints")), "component-ids")
+    known = join_groups(member, firsts, ["root"], total, "prints", "inner").select(key, F.col("whole.doc_id").alias("component_id"), F.col("whole.row").alias("first"), "n")
+    return join_groups(prints, materialize(known, "fingerprint-components"), [key], total, "n", "inner").drop("n")
+
+
+def near_groups(docs: DataFrame, words: int = 4, most_bits: int = 4, row: str | None = None) -> DataFrame:
+    """One row per document: doc_id, fingerprint, component_id, and with `row` (a column that numbers the rows) that column and kept.
 
     Null texts count as empty; texts without words have the fingerprint zero and link like any other. component_id is the
-    smallest doc_id that can be reached over links (null if all reached ids are null). Every row is returned, repeated
+    smallest doc_id that can be reached over links (null if all reached ids are null). kept is true for one row of each
+    component: that with the smallest doc_id, null ids last, of several such rows the first. Every row is returned, repeated
     ones too; an empty table gives an empty result; columns other than doc_id and text are not read.
     """
-    prints = materialize(fingerprints(docs, words), "fingerprints")
-    groups = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")), "fingerprint-groups")
+    prints = materialize(fingerprints(docs, words, row), "fingerprints")
+    groups = materialize(prints.groupBy("fp").agg(F.min(first_row(row)).alias("first"), F.count("*").alias("n")), "fingerprint-groups")
     total = groups.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    roots = components(links(groups.select("fp"), most_bits))
-    member = groups.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first_id", "n", F.coalesce("root", "fp").alias("root"))
-    member = materialize(member, "members")
-    firsts = member.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count("*").alias("prints"))
-    firsts = materialize(firsts, "component-ids")
-    known = join_groups(member, firsts, ["root"], total, "prints", "inner").select("fp", "component_id", "n")
-    known = materialize(known, "fingerprint-components")
-    return join_groups(prints, known, ["fp"], total, "n", "inner").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    found = reach_groups(prints, groups, components(links(groups.select("fp"), most_bits)), "fp", total)
+    more = [row, (F.col(row) == F.col("first")).alias("kept")] if row else []
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", *more)
 
 
 def one_of_each(docs: DataFrame, words: int = 5, most_bits: int = 4) -> DataFrame:
-    """The rows of docs whose doc_id is their component's smallest, with their columns; rows with null ids stay."""
-    stays = near_groups(docs, words, most_bits).filter("component_id = doc_id OR doc_id IS NULL").select(F.col("doc_id").alias("__kept_id")).distinct()
-    return docs.join(stays, F.col("doc_id").cast("bigint").eqNullSafe(F.col("__kept_id")), "left_semi")
+    """One row of docs for each component, that with the smallest doc_id (null ids last), with its columns."""
+    rows, row = numbered(docs, "near-rows")
+    return without(rows, materialize(near_groups(rows, words, most_bits, row).filter("NOT kept").select(row), "near-dropped"), row)
 
 
 # --- groups by similarity ------------------------------------------------------------------------
@@ -236,16 +320,18 @@ def list_keys(hashes: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-def set_prints(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, id (of the set of shingles), shingles (their number), keys of every row."""
+def set_prints(docs: DataFrame, words: int, row: str | None = None) -> DataFrame:
+    """doc_id, the column `row` if one is named, id (of the set of shingles), shingles (their number), keys of every row."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_set(t, words) for t in batch.column("text").to_pylist()]
+            sets = [shingle_set(t, words) for t in batch.column(0).to_pylist()]
             keys = pa.array([list_keys(h) for h in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([set_id(h) for h in sets], pa.int64()), pa.array([len(h) for h in sets], pa.int64()), keys], names=["doc_id", "id", "shingles", "keys"])
+            columns = [*batch.columns[1:], pa.array([set_id(h) for h in sets], pa.int64()), pa.array([len(h) for h in sets], pa.int64()), keys]
+            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[1:], "id", "shingles", "keys"])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(hashed, "doc_id bigint, id bigint, shingles bigint, keys array<bigint>")
+    chosen = docs.select(F.coalesce("text", F.lit("")).alias("text"), F.col("doc_id").cast("bigint").alias("doc_id"), *([row] if row else []))
+    return chosen.mapInArrow(hashed, "doc_id bigint, " + (f"`{row}` bigint, " if row else "") + "id bigint, shingles bigint, keys array<bigint>")
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
@@ -307,24 +393,21 @@ def similar_links(docs: DataFrame, groups: DataFrame, words: int, similarity: fl
     return roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(rest)
 
 
-def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """One row per document: doc_id, component_id: the smallest doc_id reached over links of the given similarity.
+def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, row: str | None = None) -> DataFrame:
+    """One row per document: doc_id, component_id: the smallest doc_id reached over links of the given similarity; `row` and kept as near_groups.
 
     The similarity of two texts is the Jaccard similarity of their sets of shingles. Nulls, empty texts, repeated rows and
     empty tables are treated as near_groups does.
     """
-    prints = materialize(set_prints(docs, words), "set-prints")
-    groups = prints.groupBy("id").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n"), F.first("shingles").alias("shingles"), F.first("keys").alias("keys"))
+    prints = materialize(set_prints(docs, words, row), "set-prints")
+    groups = prints.groupBy("id").agg(F.min(first_row(row)).alias("first"), F.count("*").alias("n"), F.first("shingles").alias("shingles"), F.first("keys").alias("keys"))
     groups = materialize(groups, "set-groups")
     total = groups.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    roots = components(similar_links(docs, groups, words, similarity))
-    member = materialize(groups.select("id", "first_id", "n").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id")), "members")
-    firsts = materialize(member.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count("*").alias("prints")), "component-ids")
-    known = materialize(join_groups(member, firsts, ["root"], total, "prints", "inner").select("id", "component_id", "n"), "fingerprint-components")
-    return join_groups(prints, known, ["id"], total, "n", "inner").select("doc_id", "component_id")
+    found = reach_groups(prints, groups, components(similar_links(docs, groups, words, similarity)), "id", total)
+    return found.select("doc_id", "component_id", *([row, (F.col(row) == F.col("first")).alias("kept")] if row else []))
 
 
 def one_of_each_similar(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """The rows of docs whose doc_id is their component's smallest, with their columns; rows with null ids stay."""
-    stays = similar_groups(docs, words, similarity).filter("component_id = doc_id OR doc_id IS NULL").select(F.col("doc_id").alias("__kept_id")).distinct()
-    return docs.join(stays, F.col("doc_id").cast("bigint").eqNullSafe(F.col("__kept_id")), "left_semi")
+    """One row of docs for each component, that with the smallest doc_id (null ids last), with its columns."""
+    rows, row = numbered(docs, "near-rows")
+    return without(rows, materialize(similar_groups(rows, words, similarity, row).filter("NOT kept").select(row), "near-dropped"), row)

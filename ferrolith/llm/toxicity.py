@@ -31,8 +31,6 @@ LEAST_Z = 2.6
 #: predicted is 1 from this score on.
 THRESHOLD = 0.3
 CACHED_WORDS = 400_000
-#: Training rows of one class that begin with the same OPENING_CHARS characters are copies, and count once.
-OPENING_CHARS = 60
 #: Rows whose tokens a task counts together.
 COUNT_ROWS = 500
 
@@ -122,8 +120,8 @@ def held_out(doc_id) -> "F.Column":
 def training_rows(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> DataFrame:
     """text, toxic and calibrate of labelled rows that aren't held out, about `most` of them, chosen by a hash of doc_id.
 
-    A document labelled twice counts as toxic if any label says so; null labels and null doc_ids are left out. Copies,
-    exact or with the same opening, would lend their words false weight, so that one of them is taken.
+    A document labelled twice counts as toxic if any label says so; null labels and null doc_ids are left out. Equal texts
+    of one class would lend their words false weight, so that the one with the smallest doc_id is taken.
     """
     marks = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).dropna()
     marks = marks.filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -132,7 +130,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) ->
     marks = marks.filter(draw < int(share * 2**20)).withColumn("calibrate", F.pmod(draw, F.lit(3)) == 0)
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     found = texts.join(F.broadcast(marks), "doc_id")  # marks: about `most` rows of two numbers
-    return found.withColumn("opening", F.substring("text", 1, OPENING_CHARS)).dropDuplicates(["opening", "toxic"]).select("text", "toxic", "calibrate")
+    once = found.groupBy(F.sha2("text", 256).alias("digest"), "toxic").agg(F.min(F.struct("doc_id", "calibrate", "text")).alias("row"))
+    return once.select("row.text", "toxic", "row.calibrate")
 
 
 def count_tokens(rows: DataFrame) -> DataFrame:
@@ -161,9 +160,8 @@ def token_log_odds(counts: DataFrame, clean_docs: int, toxic_docs: int, most: in
     return {r.token: (float(r.delta), float(r.z)) for r in kept}
 
 
-def karlin_altschul(scores: np.ndarray) -> float:
-    """The positive root of E[exp(lambda * score)] = 1 over clean tokens' scores, whose mean is negative."""
-    values, counts = np.unique(scores, return_counts=True)
+def karlin_altschul(values: np.ndarray, counts: np.ndarray) -> float:
+    """The positive root of E[exp(lambda * score)] = 1 over clean tokens' scores and their counts; the mean is negative."""
     if not len(values) or values.max() <= 0:
         return 1.0
     share = counts / counts.sum()
@@ -201,37 +199,36 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> ToxicityM
     model = ToxicityModel(token_log_odds(count_tokens(rows.filter("not calibrate")), clean, toxic))
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Per calibration row: class, tokens, best score; then features under the law fitted so far."""
+        """Per clean calibration row: its tokens, their scores with counts, and the best segment's score."""
         for batch in batches:
             out = []
-            for text, y in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
+            for text in batch.column("text").to_pylist():
                 scores = model.token_scores(text)
                 values, counts = np.unique(np.round(scores, 2), return_counts=True)
-                segments = sorted((s for _, _, s in maximal_segments(scores)), reverse=True)
-                out.append((int(bool(y)), len(scores), values.tolist(), counts.tolist(), segments[:64]))
-            cols = list(zip(*out)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.int64()), pa.list_(pa.float64())))], names=["y", "n", "v", "c", "s"])
-
-    measured_rows = materialize(rows.filter("calibrate").select("text", "toxic").mapInArrow(measured, "y bigint, n bigint, v array<double>, c array<bigint>, s array<double>"), "toxicity-calibration")
-    spread = measured_rows.filter("y = 0").select(F.explode(F.map_from_arrays("v", "c")).alias("v", "c")).groupBy("v").agg(F.sum("c").alias("c")).collect()
-    seen = measured_rows.select("y", "n", "s").collect()  # a third of `most` rows of at most 64 numbers
-    values, counts = np.array([r.v for r in spread]), np.array([r.c for r in spread])
-    if len(values):
-        weight = counts / counts.sum()
-        model.decay = karlin_altschul(np.repeat(values, np.maximum(1, np.round(weight * 200_000)).astype(int)))
-    tops = [(r.n, r.s[0] if r.s else 0.0) for r in seen if not r.y and r.n]
-    if tops:  # K from the mean over clean texts of exp(-lambda * best) against length
-        model.scale = float(np.clip(len(tops) / sum(n * math.exp(-min(model.decay * s, 700)) for n, s in tops), 1e-4, 10.0))
-    features, y = [], []
-    for r in seen:
-        evidence = [model.segment_evidence(s, r.n) for s in r.s]
-        features.append((1.0, math.log1p(sum(evidence)), math.log1p(max(evidence, default=0.0))))
-        y.append(r.y)
-    # The law and the weights stand; the tokens are then counted over all training rows.
-    sums = {t: sum(n for (_, label), n in sizes.items() if label == t) for t in (0, 1)}
-    model = ToxicityModel(token_log_odds(count_tokens(rows), sums[0], sums[1]), model.decay, model.scale, model.weights)
-    if len(set(y)) == 2:
-        model.weights = tuple(float(x) for x in logistic(np.array(features), np.array(y, float)))
+                out.append((len(scores), values.tolist(), counts.tolist(), max((s for _, _, s in maximal_segments(scores)), default=0.0)))
+            cols = list(zip(*out)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.list_(pa.float64()), pa.list_(pa.int64()), pa.float64()))], names=["n", "v", "c", "top"])
+
+    def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Class and the features that score_documents uses, of every calibration row."""
+        for batch in batches:
+            found = [model.features(text) for text in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("toxic").cast(pa.int64()), pa.array([f[0] for f in found], pa.float64()), pa.array([f[1] for f in found], pa.float64())], names=["toxic", "total", "best"])
+
+    calibration = rows.filter("calibrate").select("text", "toxic")
+    law = materialize(calibration.filter("toxic = 0").select("text").mapInArrow(measured, "n bigint, v array<double>, c array<bigint>, top double"), "toxicity-law")
+    spread = law.select(F.explode(F.map_from_arrays("v", "c")).alias("v", "c")).groupBy("v").agg(F.sum("c").alias("c")).orderBy("v").collect()
+    if spread:
+        model.decay = karlin_altschul(np.array([r.v for r in spread]), np.array([r.c for r in spread], float))
+    tops = law.filter("n > 0").agg(F.count("*").alias("rows"), F.sum(F.col("n") * F.exp(-F.least(F.col("top") * model.decay, F.lit(700.0)))).alias("mass")).first()
+    if tops.rows:  # K from the mean over clean texts of exp(-lambda * best) against length
+        model.scale = float(np.clip(tops.rows / tops.mass, 1e-4, 10.0))
+    seen = calibration.mapInArrow(featured, "toxic bigint, total double, best double").collect()  # a third of `most` rows of three numbers
+    y = np.array([r.toxic != 0 for r in seen], float)
+    if len(set(y.tolist())) == 2:
+        features = np.array([(1.0, math.log1p(r.total), math.log1p(r.best)) for r in seen])
+        order = np.lexsort((y, features[:, 2], features[:, 1]))  # a fixed order of summing
+        model.weights = tuple(float(x) for x in logistic(features[order], y[order]))
     return model
 
 
@@ -263,7 +260,12 @@ def toxic_passages(text: str | None, model: ToxicityModel, least_evidence: float
 
 
 def clean_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs that score below the threshold, with their columns."""
-    model = fit(docs, labels)
-    rejected = score_documents(docs, model, threshold).filter("predicted = 1").select(F.col("doc_id").alias("__rejected_id")).distinct()
-    return docs.join(rejected, F.col("doc_id").cast("bigint").eqNullSafe(F.col("__rejected_id")), "left_anti")
+    """The rows of docs that score below the threshold, with their columns: each row by its own text, whatever its doc_id."""
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
+        for batch in batches:
+            yield batch.filter(pa.array([own.probability(text or "")[0] < threshold for text in batch.column("text").to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(clean, docs.schema)

@@ -201,6 +201,29 @@ def test_long_lists_lose_no_pair(spark, monkeypatch):
 
 
 
+def test_index_meets_every_pair_and_counts():
+    for bits in range(8):
+        places = simhash.posted_places(8 - bits)
+        assert all(any(set(c) <= set(o) for c in places) for o in simhash.combinations(range(8), 8 - bits))
+    assert len(simhash.posted_places(4)) == 20
+    # Three shared bytes are enough to meet, and too few to be retained.
+    a, b = np.uint64(0x0102030405060708), np.uint64(0x0102030415161718)
+    few = a ^ b ^ (np.uint64(0x10) << np.uint64(56))
+    assert simhash.count_filter(np.array([a ^ b, few]), 4).tolist() == [True, False]
+    chain = np.array([0, 1, 3, 7, 15, 31, 63, 2**40 + 2**50 + 2**60 + 2**20 + 2**30], np.uint64)
+    x, y = simhash.reached(chain, 1)
+    assert set(simhash.forest(x, y)[0].tolist()) == {1, 3, 7, 15, 31, 63}
+
+
+def test_one_row_of_each_stays(spark):
+    rows = [(None, "a b c d"), (1, "a b c d"), (None, "z z"), (None, "z z"), (5, "q"), (5, "q"), (5, "w"), (6, "w"), (7, ""), (8, None)]
+    df = frame(spark, rows).withColumn("row_number_", F.lit("mine"))
+    for keep in (simhash.one_of_each, simhash.one_of_each_similar):
+        kept = keep(df)
+        assert kept.columns == df.columns
+        assert sorted(((r.doc_id, r.text or "") for r in kept.collect()), key=str) == sorted([(1, "a b c d"), (None, "z z"), (5, "q"), (5, "w"), (7, "")], key=str)
+
+
 def test_simhash_of_nothing(spark):
     assert simhash.near_groups(frame(spark, [])).count() == 0
     got = simhash.near_groups(frame(spark, [(None, "x"), (3, "x"), (3, "x"), (None, "y")])).collect()

@@ -7,6 +7,7 @@ from collections import Counter
 
 import duckdb
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from ferrolith.llm import exact_dedup, mixing, queries, sentencepiece_bpe, sharding, url_filter
@@ -56,7 +57,12 @@ def brute_groups(rows):
     for i, t in rows:
         ids.setdefault(t or "", []).append(i)
     keep = {t: max((i for i in x if i is not None), default=None) for t, x in ids.items()}
-    return Counter((i, keep[t or ""], len(ids[t or ""]), i == keep[t or ""], hashlib.sha256((t or "").encode()).hexdigest()) for i, t in rows)
+    done, out = set(), Counter()
+    for i, t in rows:  # one row of each group is kept
+        first = i == keep[t or ""] and (t or "") not in done
+        done |= {t or ""} if first else set()
+        out[(i, keep[t or ""], len(ids[t or ""]), first, hashlib.sha256((t or "").encode()).hexdigest())] += 1
+    return out
 
 
 def test_exact_groups(docs):
@@ -74,7 +80,36 @@ def test_colliding_digests_are_told_apart(docs):
 
 def test_kept_copies_keep_columns(docs):
     kept = exact_dedup.drop_exact_copies(docs)
-    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [1, 4, 5, 5, 6, 7, 9]
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [1, 4, 5, 6, 7, 9]
+
+
+def test_exactly_one_row_of_each_text_stays(spark):
+    for rows, stay in (
+        ([(None, "a b"), (1, "a b"), (None, "zzz")], [(None, "zzz"), (1, "a b")]),
+        ([(5, "q"), (5, "q"), (5, "w"), (6, "w")], [(5, "q"), (6, "w")]),
+        ([(None, None), (None, ""), (None, "x")], [(None, ""), (None, "x")]),
+    ):
+        df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("maybe_gone_", F.lit(1)).withColumn("Row_Number_", F.lit("mine"))
+        for digest in (exact_dedup.sha256_digest, lambda text: F.encode(F.lit("same"), "UTF-8")):
+            groups = exact_dedup.exact_groups(df, digest=digest)
+            assert groups.filter("kept").count() == len(stay)
+        kept = exact_dedup.drop_exact_copies(df)
+        assert kept.columns == df.columns and Counter((r.doc_id, r.text or "") for r in kept.collect()) == Counter(stay)
+
+
+def test_lookups_read_what_the_filters_pass(spark):
+    docs = lambda *ids: spark.createDataFrame([(i, f"text {i}") for i in ids], "doc_id long, text string")
+    digests = lambda d: d.select(exact_dedup.sha256_digest(F.col("text")).alias("digest"))
+    index = exact_dedup.DigestIndex(spark, keep="min")
+    index.flush(docs(1, 2, 3))
+    index.compact()
+    level, first, second = index.level.path, index.flush(docs(10, 11)).path, index.flush(docs(20, 21, 21)).path
+    assert {(r.doc_id, r.n) for r in index.lookup(digests(docs(2, 21, 99))).collect()} == {(2, 1), (21, 2)} and index.read == [level, second]
+    assert index.lookup(digests(docs(98))).count() == 0 and index.read == []
+    assert index.lookup(digests(docs(10))).count() == 1 and index.read == [first]
+    index.flush(docs(2, 30))
+    assert {r.doc_id: r.n for r in index.compact().collect()} == {1: 1, 2: 2, 3: 1, 10: 1, 11: 1, 20: 1, 21: 2, 30: 1} and not index.runs
+    assert index.lookup(digests(docs(30))).count() == 1 and index.read == [index.level.path]
 
 
 def test_runs_merge_over_batches(spark, docs):
@@ -83,7 +118,21 @@ def test_runs_merge_over_batches(spark, docs):
     index.flush(docs.filter("doc_id < 4"))
     index.flush(docs.filter("doc_id >= 4"))
     level = index.compact()
-    assert level.agg(F.sum("n")).first()[0] == docs.filter("doc_id IS NOT NULL").count() and {r.keep_id for r in level.filter("n > 1").collect()} == {0, 2, 5, 8}
+    assert level.agg(F.sum("n")).first()[0] == docs.filter("doc_id IS NOT NULL").count() and {r.doc_id for r in level.filter("n > 1").collect()} == {0, 2, 5, 8}
+
+
+def xxh64_of(key, name):
+    """The hash of two strings, the first one's hash being the second one's seed."""
+    h = xxhash.xxh64_intdigest(key.encode(), 42)
+    return xxhash.xxh64_intdigest(name.encode(), h)
+
+
+def plain_shard(hash_of, key, node):
+    """The way down the tree, one row at a time."""
+    while node.shard is None:
+        u = lambda c: ((hash_of(key, c.name) >> 11) + 0.5) / 2**53
+        node = min((c for c in node.children if c.total > 0), key=lambda c: (-math.log(u(c)) / c.total, node.children.index(c)))
+    return node.shard
 
 
 def test_shards(spark, docs):
@@ -95,6 +144,13 @@ def test_shards(spark, docs):
             slots = sorted(r.slot for r in rows if r.shard == s)
             assert slots == list(range(len(slots)))
     text = {r.doc_id: r.text for r in many.collect()}
+    plain = {i: plain_shard(xxh64_of, str(i), sharding.tree_of(8)) for i in range(0, 4000, 7)}
+    assert {r.doc_id: r.shard for r in rows if r.doc_id % 7 == 0} == plain
+    same = spark.createDataFrame([(None, "x")] * 300 + [(4, "y")] * 200, "doc_id long, text string")
+    slots = {}
+    for r in sharding.assign(same, sharding.tree_of(8)).collect():
+        slots.setdefault(r.shard, []).append(r.slot)
+    assert all(sorted(v) == list(range(len(v))) for v in slots.values()) and sum(map(len, slots.values())) == 500
     assert all(r.size == len(text[r.doc_id].encode()) + 1 and r.text_crc32 == zlib.crc32(text[r.doc_id].encode()) for r in rows)
     shares = Counter(r.shard for r in rows)
     assert all(abs(shares[s] - 500) < 100 for s in range(8)) and 330 < sum(r.grown_shard == 8 for r in rows) < 560
@@ -136,8 +192,9 @@ def test_encoded_documents(docs):
 def test_a_wrong_merge_is_noticed():
     model = sentencepiece_bpe.BpeModel(queries.piece_model())
     model.ranks.pop("▁the")
-    with pytest.raises(sentencepiece_bpe.PieceMismatch):
-        sentencepiece_bpe.SegmentCache(model).encode_batch(["the end"])
+    with pytest.warns(sentencepiece_bpe.PieceMismatch):  # and the library's ids are taken
+        ((n, ids, text),) = sentencepiece_bpe.SegmentCache(model).encode_batch(["the end"])
+    assert ids == ",".join(map(str, model.library.encode("the end"))) and text == "the end" and n == ids.count(",") + 1
 
 
 def targets_by_rounds(sizes, weights=(5, 2, 1), most=3):
