@@ -17,9 +17,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ferrolith.llm.common import materialize
+
 WORD = re.compile(r"[^\W\d_]+")
-#: The classifier is fitted on about this many labelled rows at most, drawn by a hash of doc_id: two thirds for the token counts, the rest to calibrate.
+#: The classifier is fitted on about this many labelled rows at most, drawn by a hash of doc_id.
 TRAIN_ROWS = 24_000
+#: Rows are calibrated in FOLDS parts, each scored by the tokens of the others alone.
+FOLDS = 5
 #: Tokens that the model keeps, those with the largest z-scores.
 MODEL_TOKENS = 50_000
 #: Besides whole words, their beginnings of these lengths are tokens, so that inflected and compounded forms count.
@@ -118,7 +122,7 @@ def held_out(doc_id) -> "F.Column":
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> DataFrame:
-    """text, toxic and calibrate of labelled rows that aren't held out, about `most` of them, chosen by a hash of doc_id.
+    """text, toxic and fold of labelled rows that aren't held out, about `most` of them, chosen by a hash of doc_id.
 
     A document labelled twice counts as toxic if any label says so; null labels and null doc_ids are left out. Equal texts
     of one class would lend their words false weight, so that the one with the smallest doc_id is taken.
@@ -127,25 +131,26 @@ def training_rows(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) ->
     marks = marks.filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     share = min(1.0, most / max(marks.count(), 1))
     draw = F.pmod(F.xxhash64(F.lit("toxicity"), "doc_id"), F.lit(2**20))
-    marks = marks.filter(draw < int(share * 2**20)).withColumn("calibrate", F.pmod(draw, F.lit(3)) == 0)
+    marks = marks.filter(draw < int(share * 2**20)).withColumn("fold", F.pmod(draw, F.lit(FOLDS)).cast("int"))
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     found = texts.join(F.broadcast(marks), "doc_id")  # marks: about `most` rows of two numbers
-    once = found.groupBy(F.sha2("text", 256).alias("digest"), "toxic").agg(F.min(F.struct("doc_id", "calibrate", "text")).alias("row"))
-    return once.select("row.text", "toxic", "row.calibrate")
+    once = found.groupBy(F.sha2("text", 256).alias("digest"), "toxic").agg(F.min(F.struct("doc_id", "fold", "text")).alias("row"))
+    return once.select("row.text", "toxic", "row.fold")
 
 
 def count_tokens(rows: DataFrame) -> DataFrame:
-    """token, n_clean, n_toxic: documents of each class that hold the token; counted per task, then summed."""
+    """token, fold, n_clean, n_toxic: documents of each class that hold the token; counted per task, then summed."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b.slice(i, COUNT_ROWS) for b in batches for i in range(0, b.num_rows, COUNT_ROWS)):
-            counts: dict[str, list[int]] = {}
-            for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
+            counts: dict[tuple[str, int], list[int]] = {}
+            for text, toxic, fold in zip(*(batch.column(c).to_pylist() for c in ("text", "toxic", "fold"))):
                 for token in {p for w in set(WORD.findall(text.lower())) for p in pieces(w)}:
-                    counts.setdefault(token, [0, 0])[1 if toxic else 0] += 1
-            yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), *(pa.array([c[i] for c in counts.values()], pa.int64()) for i in (0, 1))], names=["token", "n_clean", "n_toxic"])
+                    counts.setdefault((token, fold), [0, 0])[1 if toxic else 0] += 1
+            columns = [pa.array([k[0] for k in counts], pa.string()), pa.array([k[1] for k in counts], pa.int32())]
+            yield pa.RecordBatch.from_arrays([*columns, *(pa.array([c[i] for c in counts.values()], pa.int64()) for i in (0, 1))], names=["token", "fold", "n_clean", "n_toxic"])
 
-    return rows.mapInArrow(counted, "token string, n_clean bigint, n_toxic bigint").groupBy("token").agg(F.sum("n_clean").alias("n_clean"), F.sum("n_toxic").alias("n_toxic"))
+    return rows.mapInArrow(counted, "token string, fold int, n_clean bigint, n_toxic bigint").groupBy("token", "fold").agg(F.sum("n_clean").alias("n_clean"), F.sum("n_toxic").alias("n_toxic"))
 
 
 def token_log_odds(counts: DataFrame, clean_docs: int, toxic_docs: int, most: int = MODEL_TOKENS) -> dict[str, tuple[float, float]]:
@@ -188,48 +193,50 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> np.ndarray:
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> ToxicityModel:
-    """The model, from a bounded sample of labelled rows. Without labelled rows of both classes every text scores alike and low."""
-    from ferrolith.llm.common import materialize
+    """The model, from a bounded sample of labelled rows. Without labelled rows of both classes every text scores alike and low.
 
+    Every row is measured by a model of the other folds' tokens; the extreme-value law and the weights come from these measurements,
+    the tokens in the end from all rows.
+    """
     rows = materialize(training_rows(docs, labels, most), "toxicity-training")
-    sizes = {(r.calibrate, r.toxic): r.n for r in rows.groupBy("calibrate", F.col("toxic").cast("boolean").cast("int").alias("toxic")).agg(F.count("*").alias("n")).collect()}
-    clean, toxic = sizes.get((False, 0), 0), sizes.get((False, 1), 0)
-    if not clean or not toxic:
+    sizes = {(r.fold, r.y): r.n for r in rows.groupBy("fold", (F.col("toxic") != 0).cast("int").alias("y")).agg(F.count("*").alias("n")).collect()}
+    held = lambda y, left=None: sum(n for (f, label), n in sizes.items() if label == y and f != left)
+    if not held(0) or not held(1):
         return ToxicityModel({})
-    model = ToxicityModel(token_log_odds(count_tokens(rows.filter("not calibrate")), clean, toxic))
+    counts = materialize(count_tokens(rows), "toxicity-counts")
+    summed = lambda c: c.groupBy("token").agg(F.sum("n_clean").alias("n_clean"), F.sum("n_toxic").alias("n_toxic"))
+    folds = {f: ToxicityModel(token_log_odds(summed(counts.filter(F.col("fold") != f)), held(0, f), held(1, f))) for f in range(FOLDS)}
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Per clean calibration row: its tokens, their scores with counts, and the best segment's score."""
+        """Per clean row: its tokens, their scores with counts, and the best segment's score."""
         for batch in batches:
             out = []
-            for text in batch.column("text").to_pylist():
-                scores = model.token_scores(text)
-                values, counts = np.unique(np.round(scores, 2), return_counts=True)
-                out.append((len(scores), values.tolist(), counts.tolist(), max((s for _, _, s in maximal_segments(scores)), default=0.0)))
+            for text, fold in zip(batch.column("text").to_pylist(), batch.column("fold").to_pylist()):
+                scores = folds[fold].token_scores(text)
+                values, times = np.unique(np.round(scores, 2), return_counts=True)
+                out.append((len(scores), values.tolist(), times.tolist(), max((s for _, _, s in maximal_segments(scores)), default=0.0)))
             cols = list(zip(*out)) or [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.list_(pa.float64()), pa.list_(pa.int64()), pa.float64()))], names=["n", "v", "c", "top"])
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Class and the features that score_documents uses, of every calibration row."""
+        """Class and the features that score_documents uses, of every row."""
         for batch in batches:
-            found = [model.features(text) for text in batch.column("text").to_pylist()]
+            found = [folds[fold].features(text) for text, fold in zip(batch.column("text").to_pylist(), batch.column("fold").to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column("toxic").cast(pa.int64()), pa.array([f[0] for f in found], pa.float64()), pa.array([f[1] for f in found], pa.float64())], names=["toxic", "total", "best"])
 
-    calibration = rows.filter("calibrate").select("text", "toxic")
-    law = materialize(calibration.filter("toxic = 0").select("text").mapInArrow(measured, "n bigint, v array<double>, c array<bigint>, top double"), "toxicity-law")
+    law = materialize(rows.filter("toxic = 0").select("text", "fold").mapInArrow(measured, "n bigint, v array<double>, c array<bigint>, top double"), "toxicity-law")
     spread = law.select(F.explode(F.map_from_arrays("v", "c")).alias("v", "c")).groupBy("v").agg(F.sum("c").alias("c")).orderBy("v").collect()
-    if spread:
-        model.decay = karlin_altschul(np.array([r.v for r in spread]), np.array([r.c for r in spread], float))
-    tops = law.filter("n > 0").agg(F.count("*").alias("rows"), F.sum(F.col("n") * F.exp(-F.least(F.col("top") * model.decay, F.lit(700.0)))).alias("mass")).first()
-    if tops.rows:  # K from the mean over clean texts of exp(-lambda * best) against length
-        model.scale = float(np.clip(tops.rows / tops.mass, 1e-4, 10.0))
-    seen = calibration.mapInArrow(featured, "toxic bigint, total double, best double").collect()  # a third of `most` rows of three numbers
+    decay = karlin_altschul(np.array([r.v for r in spread]), np.array([r.c for r in spread], float)) if spread else 1.0
+    tops = law.filter("n > 0").agg(F.count("*").alias("rows"), F.sum(F.col("n") * F.exp(-F.least(F.col("top") * decay, F.lit(700.0)))).alias("mass")).first()
+    scale = float(np.clip(tops.rows / tops.mass, 1e-4, 10.0)) if tops.rows else 1.0  # K from the mean over clean texts of exp(-lambda * best) against length
+    for m in folds.values():
+        m.decay, m.scale = decay, scale
+    seen = rows.select("text", "toxic", "fold").mapInArrow(featured, "toxic bigint, total double, best double").collect()  # about `most` rows of three numbers
     y = np.array([r.toxic != 0 for r in seen], float)
-    if len(set(y.tolist())) == 2:
-        features = np.array([(1.0, math.log1p(r.total), math.log1p(r.best)) for r in seen])
-        order = np.lexsort((y, features[:, 2], features[:, 1]))  # a fixed order of summing
-        model.weights = tuple(float(x) for x in logistic(features[order], y[order]))
-    return model
+    features = np.array([(1.0, math.log1p(r.total), math.log1p(r.best)) for r in seen])
+    order = np.lexsort((y, features[:, 2], features[:, 1]))  # a fixed order of summing
+    weights = tuple(float(x) for x in logistic(features[order], y[order]))
+    return ToxicityModel(token_log_odds(summed(counts), held(0), held(1)), decay, scale, weights)
 
 
 def score_documents(docs: DataFrame, model: ToxicityModel, threshold: float = THRESHOLD) -> DataFrame:
