@@ -36,19 +36,38 @@ class Template:
         return next(i for i in range(len(words)) if words[i : i + len(phrase)] == phrase)
 
 
+#: Short references, and the notices that files carry, sentence by sentence: an edit in one
+#: sentence then leaves the others where they are.
 TEMPLATES = (
     Template("mit", "released under the mit license", "mit license"),
     Template("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software", "permission is hereby granted free of charge"),
+    Template("mit", "the rights to use copy modify merge publish distribute sublicense and or sell copies of the software", "use copy modify merge publish distribute sublicense"),
+    Template("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", "shall be included in all copies or substantial portions"),
     Template("apache", "licensed under the apache license version 2 0", "apache license"),
+    Template("apache", "you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0", "except in compliance with the license"),
+    Template("apache", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind", "required by applicable law or agreed to in writing"),
     Template("gpl", "this work is licensed under the gnu general public license version 3", "general public license"),
     Template("gpl", "released under the gnu gpl version 3", "gnu gpl"),
+    Template("gpl", "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation", "gnu general public license"),
     Template("lgpl", "licensed under the gnu lesser general public license version 3", "lesser general public license"),
+    Template("lgpl", "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation", "gnu lesser general public license"),
     Template("agpl", "licensed under the gnu affero general public license version 3", "affero general public license"),
+    Template("agpl", "you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation", "gnu affero general public license"),
     Template("cc-by-nc", "licensed under cc by nc 4 0", "cc by nc"),
+    Template("cc-by-nc", "licensed under a creative commons attribution noncommercial 4 0 international license", "creative commons attribution noncommercial"),
     Template("cc-by-sa", "licensed under cc by sa 4 0", "cc by sa"),
+    Template("cc-by-sa", "licensed under a creative commons attribution sharealike 4 0 international license", "creative commons attribution sharealike"),
     Template("cc-by", "licensed under a creative commons attribution 4 0 international license", "creative commons attribution"),
+    Template("cc0", "dedicated the work to the public domain by waiving all of his or her rights to the work worldwide under copyright law", "public domain by waiving all"),
     Template("bsd", "redistribution and use in source and binary forms with or without modification are permitted", "redistribution and use in source and binary forms"),
+    Template("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer", "redistributions of source code must retain"),
+    Template("bsd", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation", "redistributions in binary form must reproduce"),
     Template("mpl", "this source code form is subject to the terms of the mozilla public license version 2 0", "mozilla public license"),
+    Template("epl", "made available under the terms of the eclipse public license 2 0", "eclipse public license"),
+    Template("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "for any purpose with or without fee is hereby granted"),
+    Template("zlib", "altered source versions must be plainly marked as such and must not be misrepresented as being the original software", "altered source versions must be plainly marked"),
+    Template("unlicense", "this is free and unencumbered software released into the public domain", "free and unencumbered software"),
+    Template("boost", "distributed under the boost software license version 1 0", "boost software license"),
 )
 #: Index words of a template; votes (different words) that make a candidate, as a share of a template's index words.
 INDEX_WORDS, VOTE_SHARE = 5, 0.6
@@ -78,13 +97,15 @@ def document_frequencies(docs: DataFrame, templates=TEMPLATES) -> tuple[dict[str
     return counts, counts.pop("", 0)
 
 
-def index_of(counts: dict[str, int], n_docs: int, templates=TEMPLATES) -> tuple[dict[str, float], list[list[tuple[str, int]]]]:
-    """Inverse document frequencies, and per template its rarest words with their positions (ties: the earlier word)."""
+def index_of(counts: dict[str, int], n_docs: int, templates=TEMPLATES) -> tuple[dict[str, float], list[list[tuple[str, list[int]]]]]:
+    """Inverse document frequencies, and per template its rarest words with all their positions (ties: the earlier word)."""
     idf = {w: math.log((n_docs + 1) / (counts.get(w, 0) + 1)) for t in templates for w in t.words}
     index = []
     for t in templates:
-        first = {w: t.words.index(w) for w in t.words}
-        index.append([(w, first[w]) for w in sorted(first, key=lambda w: (-idf[w], first[w]))[:INDEX_WORDS]])
+        places: dict[str, list[int]] = {}
+        for at, w in enumerate(t.words):
+            places.setdefault(w, []).append(at)
+        index.append([(w, places[w]) for w in sorted(places, key=lambda w: (-idf[w], places[w]))[:INDEX_WORDS]])
     return idf, index
 
 
@@ -100,9 +121,9 @@ def scan(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
     idf, index = index_of(counts, n_docs, templates)
     postings: dict[str, list[int]] = {}
     for t, entries in enumerate(index):
-        for k, (word, at) in enumerate(entries):
-            # A word at p votes for template t at place p - at.
-            postings.setdefault(word, []).append((t << (WORD_BITS + PLACE_BITS)) + ((PLACE_BASE - at) << WORD_BITS) + k)
+        for k, (word, places) in enumerate(entries):
+            # A word at p votes for template t at place p - at, for each of its places; the same vote counts once.
+            postings.setdefault(word, []).extend((t << (WORD_BITS + PLACE_BITS)) + ((PLACE_BASE - at) << WORD_BITS) + k for at in places)
     by_idf = sorted(postings, key=lambda w: (-idf[w], w))
     votes_of = F.create_map(*[x for w in by_idf for x in (F.lit(w), F.array(*[F.lit(v).cast("bigint") for v in postings[w]]))])
     needed = F.array(*[F.lit(max(1, math.ceil(VOTE_SHARE * len(e)))) for e in index])
