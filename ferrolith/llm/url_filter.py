@@ -12,9 +12,16 @@ from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: One of these rejects a url.
-STRICT_TERMS = ("porn", "xxx", "escort", "hentai", "camgirls", "sexcam", "casino-bonus", "buy-viagra", "malware", "phishing", "warez", "darknet")
+STRICT_TERMS = (
+    "porn", "porno", "xxx", "escort", "escorts", "hentai", "camgirls", "sexcam", "sexcams", "milf", "bdsm", "upskirt", "casino-bonus",
+    "buy-viagra", "cheap-viagra", "malware", "phishing", "ransomware", "warez", "darknet", "carding", "free-iptv",
+)
 #: Of these, SOFT_LIMIT different ones reject a url.
-SOFT_TERMS = ("adult", "sex", "casino", "poker", "betting", "gambling", "slots", "jackpot", "viagra", "cialis", "pills", "crack", "keygen", "torrent", "dating", "nude", "free-download", "loan", "forex", "bonus")
+SOFT_TERMS = (
+    "adult", "sex", "sexy", "erotic", "nude", "dating", "hookup", "casino", "poker", "betting", "bets", "gambling", "slots", "roulette", "blackjack",
+    "jackpot", "bonus", "lottery", "viagra", "cialis", "pills", "steroids", "crack", "cracked", "keygen", "serial-key", "torrent", "torrents",
+    "free-download", "loan", "payday", "forex", "get-rich",
+)
 SOFT_LIMIT = 2
 #: (verdict, host, path); a rule fits its host and all subdomains, and paths that start with its path.
 RULES = (
@@ -26,6 +33,19 @@ RULES = (
 )
 
 
+#: A vocabulary table has this many terms at most, so that every worker can hold its automaton.
+MOST_TERMS = 1_000_000
+
+
+def read_vocabulary(terms: DataFrame) -> tuple[tuple[str, ...], tuple[str, ...]]:
+    """(strict, soft) terms of a table with term and weight: weight 2 and more is strict, less is soft. Terms are lower-cased; null and empty ones are left out."""
+    rows = terms.select(ascii_lower(F.col("term")).alias("term"), F.col("weight").cast("double").alias("weight")).filter("term <> ''")
+    rows = rows.groupBy("term").agg(F.max("weight").alias("weight")).orderBy("term").limit(MOST_TERMS + 1).collect()
+    if len(rows) > MOST_TERMS:
+        raise ValueError(f"a vocabulary has {MOST_TERMS} terms at most")
+    return tuple(r.term for r in rows if (r.weight or 0) >= 2), tuple(r.term for r in rows if (r.weight or 0) < 2)
+
+
 def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 

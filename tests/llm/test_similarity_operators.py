@@ -63,14 +63,43 @@ def test_mergesort_sorts_suffixes():
     for g in range(5):
         mine = [bytes(data[i : i + 100]) for i in at[order[group == g]]]
         assert mine == sorted(mine)
-    with pytest.raises(ArithmeticError):  # a hash that makes different strings equal is noticed
-        h = suffix_dedup.SYMBOLS.copy()
-        try:
-            suffix_dedup.SYMBOLS[:] = 1
-            z = np.zeros(2, np.int64)
-            suffix_dedup.repeated(z, np.arange(2), z, z, [b"a" * 100, b"b" * 100])
-        finally:
-            suffix_dedup.SYMBOLS[:] = h
+
+
+def test_colliding_hashes_are_resolved(monkeypatch):
+    """With all bytes hashed alike every string has one hash; the bytes still decide."""
+    monkeypatch.setattr(suffix_dedup, "SYMBOLS", np.ones(256, np.uint64))
+    rnd = random.Random(8)
+    head = b"commonly"
+    texts = [head + bytes(rnd.choice(b"ab") for _ in range(92)) for _ in range(30)]
+    texts += texts[:9]
+    zero, n = np.zeros(len(texts), np.int64), np.arange(len(texts))
+    run, nth = suffix_dedup.repeated(zero, n, zero, zero, texts)
+    assert sorted(run.tolist()) == list(range(30, 39)) and not nth.any()
+
+
+def test_texts_cut_in_segments(spark, passages, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "CHUNK", 500)
+    monkeypatch.setattr(suffix_dedup, "MOST_CHUNK", 333)
+    monkeypatch.setattr(suffix_dedup, "SORT_SUFFIXES", 100)
+    rows = suffix_dedup.keyed(frame(spark, passages))
+    keys, texts = zip(*[(r.key, (r.text or "").encode()) for r in rows.collect()])
+    seen = {}
+    for some_keys, starts, parts in suffix_dedup.chunks(keys, texts):
+        for key, start, part in zip(some_keys, starts, parts):
+            assert len(part) <= 333 and texts[keys.index(key)][start : start + len(part)] == part
+            for i in range(len(part) - 99):
+                seen.setdefault(key, []).append(start + i)
+    assert all(sorted(seen.get(k, [])) == list(range(max(0, len(t) - 99))) for k, t in zip(keys, texts))
+
+
+def test_a_text_longer_than_a_segment(spark):
+    rng = np.random.default_rng(12)
+    letters = lambda n: rng.integers(97, 123, n).astype(np.uint8).tobytes().decode()
+    passage, other = letters(500), letters(700)
+    long = letters(suffix_dedup.MOST_CHUNK - 250) + passage + letters(9000) + passage + letters(400_000) + other
+    rows = [(1, long), (2, other + letters(300))]
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in suffix_dedup.remove_repeats(frame(spark, rows)).collect()}
+    assert got == {1: (len(long), 500, 1), 2: (1000, 700, 1)}
 
 
 def link(prints, most):

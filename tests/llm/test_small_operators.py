@@ -52,6 +52,23 @@ def test_urls(spark, url, host, path, rule, verdict):
     assert (r.host, r.path, r.rule, r.verdict) == (host, path, rule, verdict)
 
 
+def test_urls_of_odd_tables(spark):
+    schema = "page_id long, url string, host int, n_soft string, html string"
+    long = "http://x.de/" + "a-" * 100_000 + "poker?casino"
+    rows = [(None, "http://x.de/porn", 1, "clash", None), (3, long, 1, None, ""), (3, long, 1, None, ""), (4, None, None, None, None)]
+    got = url_filter.judge_urls(spark.createDataFrame(rows, schema)).collect()
+    assert sorted((r.page_id or 0, r.verdict, r.n_strict, r.n_soft) for r in got) == [(0, "block", 1, 0), (3, "block", 0, 2), (3, "block", 0, 2), (4, "allow", 0, 0)]
+    assert url_filter.judge_urls(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_vocabulary_from_a_table(spark):
+    terms = spark.createDataFrame([("Bad", 2.0), ("meh", 1.0), ("meh", None), ("so-so", None), ("", 2.0), (None, 2.0)], "term string, weight double")
+    strict, soft = url_filter.read_vocabulary(terms)
+    assert (strict, soft) == (("bad",), ("meh", "so-so"))
+    pages = spark.createDataFrame([(1, "http://a.de/BAD"), (2, "http://a.de/meh"), (3, "http://meh.de/so-so"), (4, "http://a.de/porn")], "page_id long, url string")
+    assert {r.page_id: r.verdict for r in url_filter.judge_urls(pages, strict=strict, soft=soft).collect()} == {1: "block", 2: "allow", 3: "block", 4: "allow"}
+
+
 def brute_groups(rows):
     ids = {}
     for i, t in rows:
