@@ -58,7 +58,7 @@ CONDITION_ALIASES = {
     "hardened & tempered": "condition/quench_temper",
 }
 WATER_QUENCH = "condition/austenitize/water_quench"
-#: (Celsius, minutes) -> leaf below WATER_QUENCH
+# Fixed values: (Celsius, minutes) -> leaf below WATER_QUENCH.
 EXACT_ROUTES = {
     (700, 5): "t700c_5m", (750, 5): "t750c_5m", (800, 5): "t800c_5m", (800, 90): "t800c_90m", (800, 180): "t800c_3h", (800, 480): "t800c_8h",
     (800, 1440): "t800c_24h", (800, 5100): "t800c_85h", (900, 90): "t900c_90m", (970, 180): "t970c_3h", (970, 480): "t970c_8h",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ferrolith.functions.text import count_temperatures, thermal_signature
@@ -42,7 +42,10 @@ def audit_samples(samples: DataFrame, images: DataFrame) -> DataFrame:
     unit = lambda c: F.nullif(F.upper(F.coalesce(c, F.lit(""))), F.lit(""))
     keyed = counted.withColumns({"g": grade, "c": condition, "ambiguous": grade_clash | condition_clash, "temp_unit": unit(F.col("anneal_temp_unit")), "hold_unit": unit(F.col("anneal_time_unit"))})
     keyed = keyed.withColumns({"alloy_grade": F.when(~F.col("ambiguous"), F.col("g")), "coarse_condition": F.when(~F.col("ambiguous"), F.col("c"))})
-    same_label = F.count("*").over(Window.partitionBy("label"))
+    # Labels that several samples bear; blank ones, which may be most, are never counted nor met.
+    keyed = keyed.withColumn("label_key", F.nullif(label, F.lit("")))
+    shared = keyed.filter("label_key IS NOT NULL").groupBy("label_key").agg(F.count("*").alias("bearers")).filter("bearers > 1")
+    keyed = keyed.join(shared, "label_key", "left")
     thermal = F.col("anneal_temperature").isNull() | F.col("anneal_time").isNull() | ~F.coalesce(F.col("temp_unit") == "C", F.lit(False)) | ~F.coalesce(F.col("hold_unit").isin("M", "H"), F.lit(False))
     flags = flag_list([
         ("ambiguous_alias", F.col("ambiguous")),
@@ -52,7 +55,7 @@ def audit_samples(samples: DataFrame, images: DataFrame) -> DataFrame:
         ("unspecified_quench_medium", cooling == "Q"),
         ("special_cooling_code", ~cooling.isin(*KNOWN_COOLING)),
         ("multi_step_label", count_temperatures(label) > 1),
-        ("duplicate_sample_label", (label != "") & (same_label > 1)),
+        ("duplicate_sample_label", F.col("bearers") > 1),
         ("no_micrographs", F.col("micrographs") == 0),
     ])
     done = keyed.withColumn("flags", flags).withColumn("temperature_c", F.when(F.col("temp_unit") == "C", F.col("anneal_temperature")))
@@ -91,11 +94,14 @@ def exact_groups(audited: DataFrame) -> DataFrame:
 
 
 def split_groups(meta: DataFrame, prefix: str = "uhcs") -> DataFrame:
-    """sample_key, group_id: samples of one label are one group; blank labels share one named after the smallest id."""
+    """sample_key, group_id: samples of one label are one group, named by all its ids; blank labels share one named after the smallest id."""
     rows = meta.filter("sample_key IS NOT NULL").select(F.col("sample_key").cast("bigint").alias("sample_key"), F.coalesce("sample_label", F.lit("")).alias("label")).dropDuplicates(["sample_key"])
-    ids = rows.groupBy("label").agg(F.array_sort(F.collect_list("sample_key")).alias("ids"))
-    name = F.when((F.col("label") != "") & (F.size("ids") > 1), F.concat(F.lit(f"{prefix}-samples-"), F.array_join(F.transform("ids", lambda i: i.cast("string")), "-"))).otherwise(F.concat(F.lit(f"{prefix}-sample-"), F.get("ids", F.lit(0)).cast("string")))
-    return ids.select(F.explode("ids").alias("sample_key"), name.alias("group_id"))
+    blank, named = rows.filter("label = ''").select("sample_key"), rows.filter("label <> ''")
+    least = blank.agg(F.concat(F.lit(f"{prefix}-sample-"), F.min("sample_key").cast("string")).alias("group_id"))
+    ids = named.groupBy("label").agg(F.array_sort(F.collect_list("sample_key")).alias("ids"))  # a name holds all ids of its label
+    joined = F.array_join(F.transform("ids", lambda i: i.cast("string")), "-")
+    name = F.concat(F.lit(prefix), F.when(F.size("ids") > 1, "-samples-").otherwise("-sample-"), joined)
+    return ids.select(F.explode("ids").alias("sample_key"), name.alias("group_id")).unionByName(blank.crossJoin(F.broadcast(least)))  # one row
 
 
 def report_sections(audited: DataFrame, images: DataFrame) -> dict[str, DataFrame]:

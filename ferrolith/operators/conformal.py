@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ferrolith.functions.vectors import argmax
+from ferrolith.operators.ranking import order_statistic
 
 DECIMALS = 9
 
@@ -15,19 +18,22 @@ def nonconformity(probabilities: Column, index: Column) -> Column:
 
 
 def calibrate(calibration: DataFrame, score: str, alpha: float) -> DataFrame:
-    """n, q_hat: the exact order statistic at level ceil((n + 1)(1 - alpha)) / n, the higher one between two.
+    """n, q_hat: the exact order statistic at level ceil((n + 1)(1 - alpha)) / n, the higher one between two. Null scores are left out.
 
-    Scores are counted by value first; only distinct scores (rounded to DECIMALS) are then walked in order.
+    Scores are computed once, counted by ranges, and only those of one range are sorted.
     """
     if not 0 < alpha < 1:
         raise ValueError("alpha must lie between 0 and 1")
-    n = calibration.filter(F.col(score).isNotNull()).count()
-    if not n:
-        raise ValueError("calibration needs at least one row")
-    level = F.least(F.ceil((F.lit(float(n)) + 1) * (1 - alpha)) / F.lit(float(n)), F.lit(1.0))
-    rank = F.ceil((n - 1) * level) + 1
-    exact = F.percentile(F.col(score), (rank - 1) / F.lit(float(max(n - 1, 1))))
-    return calibration.agg(F.lit(n).cast("bigint").alias("n"), exact.alias("approximate")).select("n", F.round("approximate", DECIMALS).alias("q_hat"))
+    scores = calibration.select(F.col(score).cast("double").alias("score")).filter("score IS NOT NULL").persist()
+    try:
+        n = scores.count()
+        if not n:
+            raise ValueError("calibration needs at least one row")
+        level = min(math.ceil((n + 1) * (1 - alpha)) / n, 1.0)
+        q_hat = order_statistic(scores, "score", math.ceil((n - 1) * level))
+    finally:
+        scores.unpersist()
+    return calibration.sparkSession.createDataFrame([(n, round(q_hat, DECIMALS))], "n bigint, q_hat double")
 
 
 def prediction_set(probabilities: Column, q_hat: Column) -> Column:
@@ -43,3 +49,9 @@ def singleton(probabilities: Column, q_hat: Column) -> Column:
 
 def best_class(probabilities: Column) -> Column:
     return argmax(probabilities)
+
+
+def ranked_classes(probabilities: Column, names: Column) -> Column:
+    """(name, p) of every class, the likeliest first, then in the classes' order."""
+    pairs = F.transform(probabilities, lambda p, i: F.struct((-p).alias("down"), i.alias("i"), F.get(names, i).alias("name"), p.alias("p")))
+    return F.transform(F.array_sort(pairs), lambda s: F.struct(s["name"].alias("name"), s["p"].alias("p")))

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ferrolith.functions.vectors import doubles, norm, squared_distance
+from ferrolith.functions.vectors import dot, doubles, norm, squared_distance
 
 #: Vectors of the gallery that a neighbour task holds at a time.
 GALLERY_BLOCK = 4096
@@ -40,8 +40,9 @@ def centroids(rows: DataFrame, label: str, vector: str) -> DataFrame:
 def class_distances(rows: DataFrame, key: str, vector: str, means: DataFrame, label: str) -> DataFrame:
     """rows with distances: (rounded distance, label) to each class mean. means: one row for each class."""
     table = means.agg(F.array_sort(F.collect_list(F.struct(F.col(label).alias("cls"), "centroid"))).alias("means"))
-    near = F.transform("means", lambda m: F.struct(F.round(F.sqrt(squared_distance(doubles(F.col(vector)), m["centroid"])), 9).alias("d"), m["cls"].alias("cls")))
-    return rows.crossJoin(F.broadcast(table)).withColumn("distances", near).drop("means")  # one row: a vector for each class
+    near = F.transform("means", lambda m: F.struct(F.round(F.sqrt(squared_distance(F.col("__v"), m["centroid"])), 9).alias("d"), m["cls"].alias("cls")))
+    wide = rows.withColumn("__v", doubles(F.col(vector)))  # below the join, so that it is made once for all classes
+    return wide.crossJoin(F.broadcast(table)).withColumn("distances", near).drop("means", "__v")  # one row: a vector for each class
 
 
 def nearest_mean(distances: Column) -> Column:
@@ -88,22 +89,58 @@ def ridge(x: np.ndarray, y: np.ndarray, alpha: float) -> tuple[np.ndarray, np.nd
 
 
 def leave_one_out_ridge(rows: DataFrame, group: str, key: str, features: list[str], target: str, alpha: float = 1.0) -> DataFrame:
-    """group, key, y, p: each row's prediction by a ridge fitted on its group's other rows; groups under three rows go."""
-
-    def folds(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(key)
-        x, y = frame[features].to_numpy(float), frame[target].to_numpy(float)
-        if len(y) < 3:
-            return pd.DataFrame({group: [], key: [], "y": [], "p": []})
-        predicted = []
-        for i in range(len(y)):
-            keep = np.arange(len(y)) != i
-            mean, scale, w, b = ridge(x[keep], y[keep], alpha)
-            predicted.append(float((x[i] - mean) / scale @ w + b))
-        return pd.DataFrame({group: frame[group], key: frame[key], "y": y, "p": predicted})
+    """group, key, y, p: each row's prediction by a ridge fitted on its group's other rows; groups under three rows go.
 
-    kinds = dict(rows.dtypes)
-    return rows.select(group, key, *features, target).groupBy(group).applyInPandas(folds, f"{group} {kinds[group]}, {key} {kinds[key]}, y double, p double")
+    A fit needs moments alone. They are summed by group; each row takes itself out of its group's and solves for itself, so
+    that a large group is no one task's work.
+    """
+    k, kinds = len(features), dict(rows.dtypes)
+    x, y = [F.col(f).cast("double") for f in features], F.col(target).cast("double")
+    moments = rows.groupBy(group).agg(
+        F.count("*").alias("__n"), F.array(*[F.avg(c) for c in x], F.avg(y)).alias("__mean"),
+        F.array(*[F.covar_pop(a, b) for a in x for b in x]).alias("__xx"), F.array(*[F.covar_pop(a, y) for a in x]).alias("__xy"),
+    ).filter("__n >= 3")
+    joined = rows.select(group, key, F.array(*x).alias("__x"), y.alias("y")).join(moments, group)
+
+    def solved(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            n = batch["__n"].to_numpy(float)[:, None]
+            mean, xs, ys = np.vstack(batch["__mean"]), np.vstack(batch["__x"]), batch.y.to_numpy(float)[:, None]
+            d, e, take = xs - mean[:, :k], ys - mean[:, k:], n / (n - 1)
+            xx = n[:, :, None] * np.vstack(batch["__xx"]).reshape(-1, k, k) - take[:, :, None] * d[:, :, None] * d[:, None, :]
+            xy = n * np.vstack(batch["__xy"]) - take * d * e
+            var = np.diagonal(xx, axis1=1, axis2=2) / (n - 1)
+            whole = np.diagonal(np.vstack(batch["__xx"]).reshape(-1, k, k), axis1=1, axis2=2)
+            scale = np.where(var > 1e-12 * np.maximum(whole, 1e-300), np.sqrt(np.maximum(var, 0)), 1.0)
+            w = np.linalg.solve(xx / (scale[:, :, None] * scale[:, None, :]) + alpha * np.eye(k), (xy / scale)[:, :, None])[:, :, 0]
+            p = ((d + d / (n - 1)) / scale * w).sum(1) + (mean[:, k:] - e / (n - 1))[:, 0]
+            yield pd.DataFrame({group: batch[group], key: batch[key], "y": ys[:, 0], "p": p})
+
+    return joined.mapInPandas(solved, f"{group} {kinds[group]}, {key} {kinds[key]}, y double, p double")
+
+
+def principal_plane(rows: DataFrame, key: str, vector: str, parts: int = 2) -> DataFrame:
+    """key and pc1, pc2, ...: the rows in the directions of largest variance. A direction's sign makes its largest component positive.
+
+    Sums of products of a vector's components are aggregated; only their table, of the vector's width squared, reaches the driver.
+    """
+    wide = rows.select(key, doubles(F.col(vector)).alias("v"))
+
+    def moments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            x = np.hstack([np.vstack(batch.v), np.ones((len(batch), 1))])
+            yield pd.DataFrame({"i": np.arange(x.shape[1] ** 2), "x": (x.T @ x).ravel()})
+
+    each = wide.select("v").mapInPandas(moments, "i bigint, x double").groupBy("i").agg(F.sum("x").alias("x")).orderBy("i").collect()
+    m = np.array([r.x for r in each]).reshape(int(len(each) ** 0.5), -1)
+    mean = m[-1, :-1] / m[-1, -1]
+    values, directions = np.linalg.eigh(m[:-1, :-1] / m[-1, -1] - np.outer(mean, mean))
+    out = []
+    for i, d in enumerate(directions[:, np.argsort(-values, kind="stable")[:parts]].T, 1):
+        d = d * np.sign(d[np.abs(d).argmax()])
+        weights = F.array(*[F.lit(float(w)) for w in d])
+        out.append((dot(F.col("v"), weights) - F.lit(float(mean @ d))).alias(f"pc{i}"))
+    return wide.select(key, *out)
 
 
 def pca_ridge_folds(rows: DataFrame, key: str, block: str, vector: str, target: str, parts: int = 8, alpha: float = 10.0) -> DataFrame:

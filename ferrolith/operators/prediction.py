@@ -13,7 +13,7 @@ STAGES = ("family", "features", "property")
 def resolve_scopes(requests: DataFrame, scope: str, registry: DataFrame) -> DataFrame:
     """requests with registered_scope and head: of a scope and its parents, the most specific that is registered."""
     each = requests.select(scope).distinct().select(scope, F.posexplode(scope_fallbacks(F.col(scope))).alias("back", "registered_scope"))
-    hits = each.join(F.broadcast(registry), "registered_scope")  # registry: a row for each fitted head
+    hits = each.join(registry, "registered_scope")
     best = hits.groupBy(scope).agg(F.min_by(F.struct("registered_scope", "head"), "back").alias("b")).select(scope, "b.*")
     return requests.join(best, scope, "left")
 
@@ -37,7 +37,7 @@ def predict(images: DataFrame, q_hat: Column, segmenters: DataFrame, heads: Data
     from ferrolith.operators.conformal import singleton
 
     routed = images.withColumn("family", F.get("families", singleton(F.col("probabilities"), q_hat)))
-    joined = routed.join(F.broadcast(segmenters.select("family", F.lit(True).alias("segmenter"))), "family", "left").join(F.broadcast(heads), "family", "left")
+    joined = routed.join(segmenters.select("family", F.lit(True).alias("segmenter")), "family", "left").join(heads, "family", "left")
     reasons = staged([
         ("family", F.col("family").isNotNull(), F.lit("prediction set is not a single family")),
         ("features", F.col("segmenter"), F.concat(F.lit("no segmenter for "), "family")),

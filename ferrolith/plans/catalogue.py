@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from ferrolith.functions import text as T
 from ferrolith.functions import vectors as vec
-from ferrolith.operators import aliases, audit, conformal, evaluation, masks, metrics, prediction, splits, validation, vocabulary, weak_labels
-from ferrolith.schemas import canonical, group_or_record, join_key, physical_scale
+from ferrolith.operators import aliases, audit, conformal, evaluation, heads, masks, metrics, prediction, ranking, records, splits, training, validation, vocabulary, weak_labels
+from ferrolith.schemas import canonical, evaluation_block, group_or_record, join_key, physical_scale
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -40,41 +40,54 @@ def q_audit_left_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.image_counts(orders, lines, "o_orderkey", "l_orderkey", "l_orderkey").select("o_orderkey", "micrographs")
 
 
+#: Labels and cooling codes of the samples made from orders; fixed values of the alias table stand in some.
+PROBE_LABELS = ("AC1 800C 90M WQ", "AC 970C 3H FC", "AISI 1045 800C 5M 900C 1H", "low carbon steel", "1045 4140 WQ", "", "quenched & tempered 0.45C", "mild steel annealing")
+PROBE_COOLING = ("WQ", "FC", "Q", "oil", None)
+
+
+def pick(values, index: Column, kind: str = "string") -> Column:
+    return F.get(F.array(*[F.lit(v).cast(kind) for v in values]), index.cast("int"))
+
+
 def order_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every other order as a sample, its lines as images."""
-    orders = read(spark, sf_dir, "orders").filter("o_orderkey % 2 = 0")
-    counted = audit.image_counts(orders, read(spark, sf_dir, "lineitem"), "o_orderkey", "l_orderkey", "l_orderkey")
-    grade, condition = F.when(F.col("o_custkey") % 7 != 0, F.col("o_orderpriority")), F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus"))
-    unit = F.when(F.col("o_custkey") % 5 == 0, "H").when(F.col("o_custkey") % 5 < 4, "M")
-    flags = audit.flag_list([
-        ("missing_grade", grade.isNull()), ("unknown_condition", condition.isNull()), ("missing_thermal_metadata", unit.isNull()),
-        ("multi_step_label", F.col("o_totalprice") > 400000), ("duplicate_sample_label", F.col("o_custkey") % 3 == 0), ("no_micrographs", F.col("micrographs") == 0),
-    ])
-    signature = T.thermal_signature(F.floor(F.col("o_totalprice") / 100000).cast("double") * 100, (F.col("o_custkey") % 4 + 1).cast("double") / 2, unit, condition)
-    done = counted.withColumns({"alloy_grade": grade, "coarse_condition": condition, "flags": flags, "thermal_signature": signature})
-    status = F.when(audit.blocking(F.col("flags")), "blocked").when(F.col("coarse_condition") == "F", "candidate").otherwise("provisional")
-    return done.select(F.col("o_orderkey").alias("sample_id"), "alloy_grade", "coarse_condition", "micrographs", "flags", status.alias("status"), "thermal_signature")
+    """Every order as a sample."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    label = F.concat_ws(" ", pick(PROBE_LABELS, k % 8), F.when((c % 9 == 0) & (k % 8 != 5), F.concat(F.lit("S"), c.cast("string"))))
+    return read(spark, sf_dir, "orders").select(
+        k.alias("sample_id"), F.when(k % 11 != 0, label).alias("label"), F.when(c % 6 != 0, (c % 4 + 1).cast("double") / 2).alias("anneal_time"), pick(("H", "m", "M", "s", None), c % 5).alias("anneal_time_unit"),
+        F.when(c % 7 != 0, F.floor(F.col("o_totalprice") / 100000).cast("double") * 100).alias("anneal_temperature"), F.when(c % 10 != 0, F.lit("c")).alias("anneal_temp_unit"), pick(PROBE_COOLING, k % 5).alias("cool_method"),
+    )
+
+
+def line_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line as an image of its order; one in 50 names a sample that isn't there."""
+    missing = F.col("l_partkey") % 50 == 0
+    return read(spark, sf_dir, "lineitem").select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("micrograph_id"), F.when(missing, -F.col("l_orderkey")).otherwise(F.col("l_orderkey")).alias("sample_key"))
+
+
+def audited_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit_samples(order_samples(spark, sf_dir), line_images(spark, sf_dir))
 
 
 @query
 def q_audit_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return order_samples(spark, sf_dir).select("sample_id", F.array_join("flags", "|").alias("flags"), "status", "thermal_signature")
+    return audited_orders(spark, sf_dir).select("sample_id", "alloy_grade", "coarse_condition", "temperature_c", "hold_value", "hold_unit", "micrographs", F.array_join("flags", "|").alias("flags"), "status", "thermal_signature")
 
 
 @query
 def q_audit_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audit.audit_summary(order_samples(spark, sf_dir), read(spark, sf_dir, "lineitem"))
+    return audit.audit_summary(audited_orders(spark, sf_dir), line_images(spark, sf_dir))
 
 
 @query
 def q_audit_coarse_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audit.coarse_groups(order_samples(spark, sf_dir)).withColumn("thermal_signatures", F.array_join("thermal_signatures", "|"))
+    return audit.coarse_groups(audited_orders(spark, sf_dir)).withColumn("thermal_signatures", F.array_join("thermal_signatures", "|"))
 
 
 @query
 def q_audit_exact_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = F.array_join(F.transform("sample_ids", lambda i: i.cast("string")), "|")
-    return audit.exact_groups(order_samples(spark, sf_dir)).withColumns({"sample_ids": ids, "flags": F.array_join("flags", "|")})
+    return audit.exact_groups(audited_orders(spark, sf_dir)).withColumns({"sample_ids": ids, "flags": F.array_join("flags", "|")})
 
 
 @query
@@ -88,7 +101,7 @@ def q_split_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def q_metadata_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    joined = read(spark, sf_dir, "customer").join(read(spark, sf_dir, "nation").filter("n_nationkey < 20"), F.col("c_nationkey") == F.col("n_nationkey"), "left")
+    joined = read(spark, sf_dir, "customer").join(read(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"), "left")
     return joined.select("c_custkey", "n_name", r6(physical_scale(F.col("c_acctbal"), F.col("c_nationkey"))).alias("scale"))
 
 
@@ -110,6 +123,85 @@ def q_group_default(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", group.alias("group_id"), key["alloy_grade"].alias("alloy_grade"), key["condition"].alias("condition"))
 
 
+def document_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as records: language as family, source as adapter, both as labels; Spanish ones have no label."""
+    doc = F.col("doc_id").cast("string")
+    labels = F.when(F.col("lang") != "es", F.array("source", "lang"))
+    return read(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("/"), doc).alias("image_path"), F.col("lang").alias("family"), F.col("source").alias("adapter"), labels.alias("taxonomy_labels"), F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("/m"), doc)).alias("mask_path"), F.when(F.col("doc_id") % 3 == 0, F.array(F.lit("a"), F.lit("b"))).alias("mask_class_nodes"))
+
+
+def labelled_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A listing that holds the images of labelled documents alone."""
+    return read(spark, sf_dir, "labels").select(F.concat(F.lit("/"), F.col("doc_id").cast("string")).alias("path"))
+
+
+@query
+def q_masked_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = document_records(spark, sf_dir)
+    return records.with_masks(rows).select("doc_id", F.lit("|".join(records.mask_nodes(rows))).alias("nodes"))
+
+
+@query
+def q_labelled_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records.with_labels(document_records(spark, sf_dir), labelled_paths(spark, sf_dir)).select("doc_id")
+
+
+@query
+def q_class_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = document_records(spark, sf_dir).select("doc_id", records.label_set(F.col("taxonomy_labels")).alias("label_set"))
+    return records.encode_classes(rows, "label_set", records.class_table(rows, "label_set")).select("doc_id", F.array_join("label_set", "|").alias("label_set"), "cls")
+
+
+@query
+def q_scope_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = document_records(spark, sf_dir)
+    scope = lambda s: weak_labels.in_scope(F.col("family"), F.col("adapter"), s)
+    return rows.select("doc_id", F.when(scope("en/src1"), "en/src1").when(scope("en"), "en").alias("scope"))
+
+
+@query
+def q_run_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records.run_counters(document_records(spark, sf_dir), "en", labelled_paths(spark, sf_dir))
+
+
+@query
+def q_training_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Brands with their mean size, and the first value of those that have one."""
+    features = read(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("group_id")).agg(F.avg("p_size").alias("size"))
+    values = weak_labels.first_value_by_group(part_records(spark, sf_dir).filter("group_id NOT LIKE '%3'"), "hardness_hv")
+    return records.training_table(features, values).select("group_id", r6("size").alias("size"), "value")
+
+
+@query
+def q_grade_default(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey")
+    grade, condition = F.when(k % 5 == 0, "").when(k % 7 != 0, F.col("p_brand")), F.when(k % 3 != 0, F.col("p_type"))
+    return read(spark, sf_dir, "part").select("p_partkey", records.grade_or_unresolved(grade).alias("grade"), evaluation_block(condition, F.col("p_brand")).alias("block"))
+
+
+@query
+def q_value_invariant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records.most_values_in_group(read(spark, sf_dir, "orders"), "o_custkey", "o_orderpriority")
+
+
+@query
+def q_intersection_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    customers, nations = read(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("key")), read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("key"))
+    met = records.intersection_or_first(customers, nations.filter("key < 7")).withColumn("case", F.lit("both"))
+    return met.unionByName(records.intersection_or_first(nations, nations.select(-F.col("key") - 1)).withColumn("case", F.lit("first")))
+
+
+@query
+def q_best_epoch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "events").select("user_id", "event_id", F.floor("value").alias("metric"))
+    return records.best_epochs(rows, "user_id", "event_id", "metric")
+
+
+@query
+def q_head_middle_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.head_middle_tail(read(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), "o_totalprice", "o_orderkey").select("part", "place", "o_orderkey", "o_totalprice")
+
+
 # --- vocabulary ----------------------------------------------------------------------------------
 
 
@@ -348,7 +440,13 @@ def q_region_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def q_homology(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return masks.mask_table(embedding_masks(spark, sf_dir), CLASSES).select("record_id", "cls", "h0", "h1")
+    return masks.persistence(masks.mask_table(embedding_masks(spark, sf_dir), CLASSES))
+
+
+@query
+def q_topological_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    features = masks.topological_features(embedding_masks(spark, sf_dir), [f"node{i}" for i in range(CLASSES)])
+    return masks.long_features(features).select("record_id", "feature", "value")
 
 
 @query
@@ -365,6 +463,36 @@ def q_occlusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return images.select("vec_id", F.posexplode(F.transform(masks.tile_classes(F.col("px"), 8, 2), loss)).alias("tile", "delta")).select("vec_id", "tile", r6("delta").alias("delta"))
 
 
+@query
+def q_mean_intensity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pixels = embedding_masks(spark, sf_dir).join(read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("record_id"), vec.doubles(F.col("embedding")).alias("x")), "record_id")
+    return metrics.class_means(pixels, "x", "px").select("cls", r6("mean_intensity").alias("mean_intensity"), r6("share").alias("share"))
+
+
+def flat(px: Column) -> Column:
+    return F.array_join(F.transform(px, lambda p: p.cast("string")), ",")
+
+
+@query
+def q_pad_and_crop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """8 x 8 masks in the middle of 32 x 32 (the index of the first pixel that isn't filled, and the sum), and their own middle of 4 x 3."""
+    side = F.lit(8)
+    rows = embedding_masks(spark, sf_dir).select("record_id", "px", masks.pad_centred(F.transform("px", lambda p: (p + 1).cast("double")), side, side).alias("padded"))
+    crop = masks.crop_centred(F.col("px"), side, side, F.lit(4), F.lit(3))
+    return rows.select("record_id", F.size("padded").alias("n"), (F.array_position(F.transform("padded", lambda p: p > 0), F.lit(True)) - 1).alias("first"), vec.total(F.col("padded")).alias("total"), flat(crop).alias("middle"))
+
+
+@query
+def q_pixel_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flips and turns of 8 x 8 masks, rows without a banner of two, the first 48 as planes of 4 x 4, and whether a pixel is beyond two classes."""
+    px, side = F.col("px"), F.lit(8)
+    planes = masks.channels_first(F.slice("px", 1, 48), F.lit(4), F.lit(4))
+    return embedding_masks(spark, sf_dir).select(
+        "record_id", flat(masks.flip_columns(px, side, side)).alias("flipped"), flat(masks.flip_rows(px, side, side)).alias("upside"), flat(masks.quarter_turn(px, side, side)).alias("turned"),
+        flat(masks.without_banner(px, side, side, 2, 8)).alias("bare"), flat(F.transform(planes, lambda p: F.round(p * 255).cast("int"))).alias("planes"), masks.foreign_pixels(px, 2).alias("foreign"), flat(masks.brighter(px, F.lit(1.5))).alias("bright"),
+    )
+
+
 # --- classifiers ---------------------------------------------------------------------------------
 
 
@@ -419,6 +547,13 @@ def q_softmax(spark: SparkSession, sf_dir: str) -> DataFrame:
     return probabilities(spark, sf_dir).select("vec_id", F.posexplode("p").alias("cls", "p")).select("vec_id", "cls", r6("p").alias("p"))
 
 
+@query
+def q_ranked_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = F.array(*[F.lit(f"family{i}") for i in range(10)])
+    ranked = F.transform(conformal.ranked_classes(F.transform("p", lambda p: F.round(p, 6)), names), lambda s: s["name"])
+    return probabilities(spark, sf_dir).select("vec_id", F.array_join(ranked, "|").alias("families"))
+
+
 @query
 def q_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return probabilities(spark, sf_dir).select("vec_id", r6(vec.cross_entropy(F.col("p"), F.col("label").cast("int"))).alias("loss"))
@@ -426,14 +561,15 @@ def q_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def q_conformal_qhat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = probabilities(spark, sf_dir).filter("vec_id % 4 = 1").select(conformal.nonconformity(F.col("p"), F.col("label").cast("int")).alias("score"))
+    # Split conformal: one half calibrates; sets are then made for all.
+    scored = probabilities(spark, sf_dir).filter("vec_id % 2 = 0").select(conformal.nonconformity(F.col("p"), F.col("label").cast("int")).alias("score"))
     return conformal.calibrate(scored, "score", 0.1)
 
 
 @query
 def q_conformal_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     q_hat = q_conformal_qhat(spark, sf_dir).select("q_hat")
-    tested = probabilities(spark, sf_dir).filter("vec_id % 4 = 3").crossJoin(F.broadcast(q_hat))  # one row
+    tested = probabilities(spark, sf_dir).crossJoin(F.broadcast(q_hat))  # one row
     chosen = conformal.prediction_set(F.col("p"), F.col("q_hat"))
     return tested.select("vec_id", F.array_join(F.transform(chosen, lambda i: i.cast("string")), "|").alias("classes"), F.when(F.size(chosen) == 1, F.get(chosen, F.lit(0))).cast("int").alias("single"))
 
@@ -478,6 +614,57 @@ def q_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.regression_metrics(rows, ["model"]).select("model", "n", *[r6(c).alias(c) for c in ("mae", "rmse", "r2", "spearman")])
 
 
+@query
+def q_measured_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = part_values(spark, sf_dir).select("y", F.when(F.col("p_partkey") % 3 == 0, "measured").otherwise("distant").alias("source"), F.explode(F.create_map(F.lit("size"), F.col("x1") * 30 + 200, F.lit("key"), F.col("x2") * 10 + 900)).alias("model", "p"))
+    return metrics.measured_metrics(rows, ["model"], F.col("source")).select("model", "subset", "n", *[r6(c).alias(c) for c in ("mae", "rmse", "r2", "spearman")])
+
+
+def brand_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return part_values(spark, sf_dir).groupBy(F.col("p_brand").alias("group_id")).agg(F.avg("x1").alias("x1"), F.avg("x2").alias("x2"), F.avg("y").alias("y"))
+
+
+@query
+def q_fit_head(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The head that is chosen for brands by leave-one-out, and its value for every brand."""
+    table = brand_table(spark, sf_dir)
+    head = heads.fit_head(table, "group_id", ["x1", "x2"], "y")
+    features = F.create_map(F.lit("x1"), "x1", F.lit("x2"), "x2")
+    return table.select("group_id", F.lit(head["kind"]).alias("kind"), r6(heads.head_value(head, features)).alias("value"))
+
+
+@query
+def q_linear_head(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leave-one-out predictions of the linear head for brands."""
+    table = brand_table(spark, sf_dir).withColumn("all", F.lit(0))
+    return evaluation.leave_one_out_ridge(table, "all", "group_id", ["x1", "x2"], "y", heads.RIDGE).select("group_id", r6("p").alias("p"))
+
+
+def grouped_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.concat(F.lit("family"), F.col("label").cast("string")).alias("family"), (F.col("vec_id") % 40).alias("group_id"))
+
+
+@query
+def q_router(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every embedding routed by a linear head whose abstention is calibrated on held-out groups."""
+    rows = grouped_embeddings(spark, sf_dir)
+    router = training.train_router(rows, "embedding", "family", "group_id")
+    return training.route(rows.drop("family"), router, "embedding").select("vec_id", "family")
+
+
+@query
+def q_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The label set that a linear head predicts for every embedding; some sets have two labels."""
+    rows = grouped_embeddings(spark, sf_dir).withColumn("labels", F.when(F.col("family") < "family5", F.array("family")).when(F.col("family") < "family8", F.array(F.lit("upper"), "family")))
+    head = training.train_classifier(rows, "embedding", "labels", "group_id")
+    return training.classify(rows, head, "embedding").select("vec_id", F.array_join("predicted", "|").alias("predicted"))
+
+
+@query
+def q_pca_plane(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.principal_plane(read(spark, sf_dir, "embeddings"), "vec_id", "embedding").select("vec_id", r6("pc1").alias("pc1"), r6("pc2").alias("pc2"))
+
+
 @query
 def q_loo_ridge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.leave_one_out_ridge(part_values(spark, sf_dir), "p_brand", "p_partkey", ["x1", "x2"], "y").select("p_brand", "p_partkey", r6("p").alias("p"))

@@ -6,7 +6,7 @@ import re
 
 from ferrolith.functions.text import SPELLING, STOPWORDS
 from ferrolith.operators.aliases import CONDITION_ALIASES, EXACT_ROUTES, GRADE_ALIASES, WATER_QUENCH
-from ferrolith.plans.catalogue import PROBE_STEEL
+from ferrolith.plans.catalogue import PROBE_LABELS, PROBE_STEEL
 
 SQL: dict[str, str] = {}
 
@@ -36,16 +36,24 @@ def alias_rows(aliases: dict[str, str]) -> str:
 SQL["q_audit_left_count"] = "SELECT o_orderkey, count(l_orderkey) AS micrographs FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey"
 NUMBER = lambda x: f"CASE WHEN {x} = floor({x}) THEN ({x})::BIGINT::VARCHAR ELSE replace(({x})::VARCHAR, '.', 'p') END"
 AUDIT = f"""
-WITH o AS (SELECT orders.*, count(l_orderkey) AS micrographs FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderkey % 2 = 0 GROUP BY ALL),
-k AS (SELECT *, CASE WHEN o_custkey % 7 <> 0 THEN o_orderpriority END AS alloy_grade, CASE WHEN o_orderstatus <> 'P' THEN o_orderstatus END AS coarse_condition,
-    CASE WHEN o_custkey % 5 = 0 THEN 'H' WHEN o_custkey % 5 < 4 THEN 'M' END AS unit, floor(o_totalprice / 100000) * 100 AS temp, (o_custkey % 4 + 1)::DOUBLE / 2 AS hold FROM o),
-f AS (SELECT *, list_filter([CASE WHEN alloy_grade IS NULL THEN 'missing_grade' END, CASE WHEN coarse_condition IS NULL THEN 'unknown_condition' END, CASE WHEN unit IS NULL THEN 'missing_thermal_metadata' END,
-    CASE WHEN o_totalprice > 400000 THEN 'multi_step_label' END, CASE WHEN o_custkey % 3 = 0 THEN 'duplicate_sample_label' END, CASE WHEN micrographs = 0 THEN 'no_micrographs' END], lambda x: x IS NOT NULL) AS flags,
-    CASE WHEN unit IS NOT NULL THEN 't' || {NUMBER("temp")} || 'c_' || {NUMBER("hold")} || lower(unit) || '_' || lower(coalesce(coarse_condition, 'unknown')) END AS thermal_signature FROM k),
-a AS (SELECT o_orderkey AS sample_id, alloy_grade, coarse_condition, micrographs, flags, thermal_signature,
-    CASE WHEN len(list_filter(flags, lambda x: x <> 'duplicate_sample_label')) > 0 THEN 'blocked' WHEN coarse_condition = 'F' THEN 'candidate' ELSE 'provisional' END AS status FROM f)
+WITH s AS (SELECT o_orderkey AS sample_id, CASE WHEN o_orderkey % 11 <> 0 THEN concat_ws(' ', CASE o_orderkey % 8 {' '.join(f"WHEN {i} THEN {quoted(x)}" for i, x in enumerate(PROBE_LABELS))} END,
+        CASE WHEN o_custkey % 9 = 0 AND o_orderkey % 8 <> 5 THEN 'S' || o_custkey END) END AS label, CASE WHEN o_custkey % 6 <> 0 THEN (o_custkey % 4 + 1)::DOUBLE / 2 END AS hold, CASE o_custkey % 5 WHEN 0 THEN 'H' WHEN 1 THEN 'M' WHEN 2 THEN 'M' WHEN 3 THEN 'S' END AS unit,
+        CASE WHEN o_custkey % 7 <> 0 THEN floor(o_totalprice / 100000) * 100 END AS t, o_custkey % 10 <> 0 AS celsius, CASE o_orderkey % 5 WHEN 0 THEN 'WQ' WHEN 1 THEN 'FC' WHEN 2 THEN 'Q' WHEN 3 THEN 'oil' END AS cool FROM orders),
+i AS (SELECT CASE WHEN l_partkey % 50 = 0 THEN -l_orderkey ELSE l_orderkey END AS sample_id, count(*) AS micrographs FROM lineitem GROUP BY 1),
+raw AS (SELECT DISTINCT raw FROM (SELECT label AS raw FROM s UNION ALL SELECT cool FROM s) WHERE raw IS NOT NULL),
+tok AS (SELECT raw, ' ' || array_to_string({tokens('raw')}, ' ') || ' ' AS padded FROM raw),
+hit AS (SELECT raw, 'g' AS kind, node, len FROM tok JOIN {alias_rows(GRADE_ALIASES)} ON contains(padded, ' ' || phrase || ' ') UNION ALL SELECT raw, 'c', node, len FROM tok JOIN {alias_rows(CONDITION_ALIASES)} ON contains(padded, ' ' || phrase || ' ')),
+top AS (SELECT raw, kind, list_distinct(list(node)) AS nodes FROM hit WHERE (raw, kind, len) IN (SELECT raw, kind, max(len) FROM hit GROUP BY ALL) GROUP BY ALL),
+g AS (SELECT s.sample_id, list_distinct(flatten(list(nodes) FILTER (kind = 'g'))) AS gn, list_distinct(flatten(list(nodes) FILTER (kind = 'c'))) AS cn FROM s JOIN top ON top.raw = s.label OR top.raw = s.cool GROUP BY 1),
+k AS (SELECT s.*, coalesce(label, '') AS lab, coalesce(len(gn), 0) > 1 OR coalesce(len(cn), 0) > 1 AS clash, gn[1] AS g1, cn[1] AS c1, coalesce(micrographs, 0) AS micrographs, count(*) OVER (PARTITION BY coalesce(label, '')) AS same FROM s LEFT JOIN g USING (sample_id) LEFT JOIN i USING (sample_id)),
+f AS (SELECT *, CASE WHEN NOT clash THEN g1 END AS alloy_grade, CASE WHEN NOT clash THEN c1 END AS coarse_condition, CASE WHEN celsius THEN t END AS temp FROM k),
+e AS (SELECT *, list_filter([CASE WHEN clash THEN 'ambiguous_alias' END, CASE WHEN alloy_grade IS NULL THEN 'missing_grade' END, CASE WHEN coarse_condition IS NULL THEN 'unknown_condition' END,
+    CASE WHEN t IS NULL OR hold IS NULL OR NOT celsius OR coalesce(unit, '') NOT IN ('M', 'H') THEN 'missing_thermal_metadata' END, CASE WHEN cool = 'Q' THEN 'unspecified_quench_medium' END, CASE WHEN cool = 'oil' THEN 'special_cooling_code' END,
+    CASE WHEN len(regexp_extract_all(lab, '(?i)(?:^|[^-\\w])\\d+(?:\\.\\d+)?\\s*C\\b')) > 1 THEN 'multi_step_label' END, CASE WHEN lab <> '' AND same > 1 THEN 'duplicate_sample_label' END, CASE WHEN micrographs = 0 THEN 'no_micrographs' END], lambda x: x IS NOT NULL) AS flags,
+    CASE WHEN temp IS NOT NULL AND hold IS NOT NULL AND unit IS NOT NULL THEN 't' || {NUMBER("temp")} || 'c_' || {NUMBER("hold")} || lower(unit) || '_' || lower(coalesce(cool, 'unknown')) END AS thermal_signature FROM f),
+a AS (SELECT *, CASE WHEN len(list_filter(flags, lambda x: x <> 'duplicate_sample_label')) > 0 THEN 'blocked' WHEN cool = 'WQ' THEN 'candidate' ELSE 'provisional' END AS status FROM e)
 """
-SQL["q_audit_flags"] = AUDIT + "SELECT sample_id, array_to_string(flags, '|') AS flags, status, thermal_signature FROM a"
+SQL["q_audit_flags"] = AUDIT + "SELECT sample_id, alloy_grade, coarse_condition, temp AS temperature_c, hold AS hold_value, unit AS hold_unit, micrographs, array_to_string(flags, '|') AS flags, status, thermal_signature FROM a"
 COMPLETE = "alloy_grade IS NOT NULL AND coarse_condition IS NOT NULL"
 SQL["q_audit_summary"] = AUDIT + f"""
 SELECT count(*) AS sample_rows, count(*) FILTER (micrographs > 0) AS samples_with_micrographs, sum(micrographs)::BIGINT AS linked_micrographs, count(*) FILTER ({COMPLETE}) AS complete_key_samples,
@@ -63,7 +71,7 @@ g AS (SELECT label, list_sort(list(sample_key)) AS ids FROM m GROUP BY label)
 SELECT unnest(ids) AS sample_key, CASE WHEN label <> '' AND len(ids) > 1 THEN 'lot-samples-' || array_to_string(ids, '-') ELSE 'lot-sample-' || ids[1] END AS group_id FROM g"""
 
 # --- records
-SQL["q_metadata_join"] = "SELECT c_custkey, n_name, round(c_acctbal / nullif(c_nationkey, 0), 6) AS scale FROM customer LEFT JOIN (SELECT * FROM nation WHERE n_nationkey < 20) ON c_nationkey = n_nationkey"
+SQL["q_metadata_join"] = "SELECT c_custkey, n_name, round(c_acctbal / nullif(c_nationkey, 0), 6) AS scale FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey"
 SQL["q_canonical_union"] = """
 SELECT 'documents-' || doc_id AS record_id, 'text' AS modality, source AS group_id, 'documents' AS adapter, 0::BIGINT AS n_properties FROM documents
 UNION ALL SELECT 'pages-' || page_id, 'html', 'pages-' || page_id, 'pages', 0 FROM pages
@@ -181,9 +189,12 @@ STATS = "SELECT s.vec_id AS record_id, s.cls::INTEGER AS cls, count(a.n)::INTEGE
 SQL["q_region_stats"] = REGION + STATS
 SQL["q_homology"] = PIXELS + ", own AS (SELECT vec_id, cls AS k, i FROM cell), back AS (SELECT c.vec_id, t.k, c.i FROM cell c, range(4) t(k) WHERE c.cls <> t.k)" + reach("r", "own", NEAR8) + reach("q", "back", NEAR4) + """,
     hole AS (SELECT vec_id, k, root FROM r_root GROUP BY ALL HAVING bool_and(i % 8 BETWEEN 1 AND 6 AND i // 8 BETWEEN 1 AND 6)),
-    part_ AS (SELECT DISTINCT vec_id, k, root FROM q_root)
-    SELECT s.vec_id AS record_id, s.cls::INTEGER AS cls, greatest(0, (SELECT count(*) FROM part_ p WHERE p.vec_id = s.vec_id AND p.k = s.cls) - 1)::INTEGER AS h0,
-        (SELECT count(*) FROM hole h WHERE h.vec_id = s.vec_id AND h.k = s.cls)::INTEGER AS h1 FROM spine s"""
+    part_ AS (SELECT DISTINCT vec_id, k, root FROM q_root),
+    bars AS (SELECT s.vec_id AS record_id, s.cls::INTEGER AS cls, greatest(0, (SELECT count(*) FROM part_ p WHERE p.vec_id = s.vec_id AND p.k = s.cls) - 1)::DOUBLE AS h0_count,
+        (SELECT count(*) FROM hole h WHERE h.vec_id = s.vec_id AND h.k = s.cls)::DOUBLE AS h1_count FROM spine s),
+    summary AS (SELECT record_id, cls, h0_count, h0_count AS h0_total_persistence, least(h0_count, 1) AS h0_max_persistence, h1_count, h1_count AS h1_total_persistence, least(h1_count, 1) AS h1_max_persistence FROM bars)"""
+SQL["q_topological_features"] = SQL["q_homology"] + "SELECT record_id, 'topo_' || what || ':node' || cls AS feature, value FROM summary UNPIVOT (value FOR what IN (h0_count, h0_total_persistence, h0_max_persistence, h1_count, h1_total_persistence, h1_max_persistence))"
+SQL["q_homology"] += "SELECT * FROM summary"
 SQL["q_feature_vector"] = REGION + f""", st AS ({STATS}), fr AS (SELECT s.vec_id AS record_id, s.cls, count(c.i) / 64 AS fraction FROM spine s LEFT JOIN cell c ON c.vec_id = s.vec_id AND c.cls = s.cls GROUP BY ALL)
     SELECT record_id, 'frac:node' || cls AS feature, round(fraction, 6) AS value FROM fr UNION ALL SELECT record_id, 'n_regions:node' || cls, n_regions::DOUBLE FROM st
     UNION ALL SELECT record_id, 'mean_region_area:node' || cls, mean_area FROM st UNION ALL SELECT record_id, 'max_region_area:node' || cls, max_area::DOUBLE FROM st"""
@@ -206,11 +217,11 @@ SQL["q_iou"], SQL["q_mean_iou"] = IOU + "SELECT * FROM iou", IOU + "SELECT round
 SQL["q_accuracy"] = MEANS + "SELECT round(avg((label = predicted)::INTEGER), 6) AS accuracy FROM pred"
 SQL["q_softmax"] = MEANS + "SELECT vec_id, cls::INTEGER AS cls, round(p, 6) AS p FROM prob"
 SQL["q_cross_entropy"] = MEANS + "SELECT vec_id, round(-ln(p), 6) AS loss FROM prob WHERE cls = label"
-QHAT = MEANS + """, score AS (SELECT round(1 - p, 9) AS s, row_number() OVER (ORDER BY round(1 - p, 9)) AS k, count(*) OVER () AS n FROM prob WHERE cls = label AND vec_id % 4 = 1),
+QHAT = MEANS + """, score AS (SELECT round(1 - p, 9) AS s, row_number() OVER (ORDER BY round(1 - p, 9)) AS k, count(*) OVER () AS n FROM prob WHERE cls = label AND vec_id % 2 = 0),
 qhat AS (SELECT n, s AS q_hat FROM score WHERE k = ceil((n - 1) * least(ceil((n + 1) * 0.9::DOUBLE) / n, 1)) + 1),
 sets AS (SELECT vec_id, list_sort(list(cls) FILTER (round(1 - p, 9) <= q_hat)) AS c FROM prob, qhat GROUP BY vec_id)"""
 SQL["q_conformal_qhat"] = QHAT + "SELECT n, q_hat FROM qhat"
-SQL["q_conformal_sets"] = QHAT + "SELECT vec_id, coalesce(array_to_string(c, '|'), '') AS classes, CASE WHEN len(c) = 1 THEN c[1] END::INTEGER AS single FROM sets WHERE vec_id % 4 = 3"
+SQL["q_conformal_sets"] = QHAT + "SELECT vec_id, coalesce(array_to_string(c, '|'), '') AS classes, CASE WHEN len(c) = 1 THEN c[1] END::INTEGER AS single FROM sets"
 SQL["q_predict_abstain"] = QHAT + """, f AS (SELECT vec_id, CASE WHEN len(c) = 1 THEN c[1] END AS k FROM sets)
 SELECT vec_id AS record_id, 'family' || k AS family, CASE WHEN k < 6 AND k BETWEEN 2 AND 7 THEN round(vec_id / 100 * 2 + 0.5::DOUBLE + 5, 6) END AS value,
     CASE WHEN k IS NULL THEN 'family' WHEN k >= 6 THEN 'features' WHEN k < 2 THEN 'property' END AS stage,
@@ -236,3 +247,50 @@ g AS (SELECT model, count(*) AS n, round(avg(abs(y - p)), 6) AS mae, round(sqrt(
 SQL["q_metrics"] = METRICS + "SELECT * FROM g"
 SQL["q_best_model"] = METRICS + "SELECT model, mae FROM g ORDER BY mae, model DESC LIMIT 1"
 SQL["q_topk"] = "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10"
+SQL["q_measured_metrics"] = """
+WITH m AS (SELECT 'size' AS model, p_partkey, p_retailprice AS y, p_size::DOUBLE * 30 + 200 AS p FROM part UNION ALL SELECT 'key', p_partkey, p_retailprice, (p_partkey % 97)::DOUBLE * 10 + 900 FROM part),
+b AS (SELECT 'all' AS subset, * FROM m UNION ALL SELECT 'measured', * FROM m WHERE p_partkey % 3 = 0),
+r AS (SELECT *, rank() OVER (PARTITION BY model, subset ORDER BY y) + (count(*) OVER (PARTITION BY model, subset, y) - 1) / 2 AS ry, rank() OVER (PARTITION BY model, subset ORDER BY p) + (count(*) OVER (PARTITION BY model, subset, p) - 1) / 2 AS rp, avg(y) OVER (PARTITION BY model, subset) AS my FROM b)
+SELECT model, subset, count(*) AS n, round(avg(abs(y - p)), 6) AS mae, round(sqrt(avg((y - p) * (y - p))), 6) AS rmse, round(1 - sum((y - p) * (y - p)) / sum((y - my) * (y - my)), 6) AS r2, round(corr(ry, rp), 6) AS spearman FROM r GROUP BY model, subset"""
+
+
+def two_feature_ridge(rows: str, block: str, key: str) -> str:
+    """Leave-one-out by taking each row out of its block's moments; two standardised features with a penalty of 1 solve in closed form."""
+    return f"""
+    WITH t AS ({rows}), g AS (SELECT {block}, count(*) AS n, avg(x1) AS m1, avg(x2) AS m2, avg(y) AS my, var_pop(x1) * count(*) AS s11, var_pop(x2) * count(*) AS s22, covar_pop(x1, x2) * count(*) AS s12, covar_pop(x1, y) * count(*) AS c1, covar_pop(x2, y) * count(*) AS c2 FROM t GROUP BY {block} HAVING count(*) >= 3),
+    d AS (SELECT t.*, n, m1, m2, my, x1 - m1 AS d1, x2 - m2 AS d2, y - my AS e, n / (n - 1) AS f, s11, s22, s12, c1, c2 FROM t JOIN g USING ({block})),
+    r AS (SELECT *, sqrt((s11 - f * d1 * d1) / (n - 1)) AS sd1, sqrt((s22 - f * d2 * d2) / (n - 1)) AS sd2, s12 - f * d1 * d2 AS r12, c1 - f * d1 * e AS b1, c2 - f * d2 * e AS b2 FROM d),
+    q AS (SELECT *, r12 / (sd1 * sd2) AS o, b1 / sd1 AS z1, b2 / sd2 AS z2 FROM r)
+    SELECT {block}, {key}, round(my - e / (n - 1) + f * d1 / sd1 * (n * z1 - o * z2) / (n * n - o * o) + f * d2 / sd2 * (n * z2 - o * z1) / (n * n - o * o), 6) AS p FROM q"""
+
+
+SQL["q_loo_ridge"] = two_feature_ridge("SELECT p_brand, p_partkey, p_size::DOUBLE AS x1, (p_partkey % 97)::DOUBLE AS x2, p_retailprice AS y FROM part", "p_brand", "p_partkey")
+SQL["q_linear_head"] = "SELECT group_id, p FROM (" + two_feature_ridge("SELECT 0 AS one, p_brand AS group_id, avg(p_size::DOUBLE) AS x1, avg((p_partkey % 97)::DOUBLE) AS x2, avg(p_retailprice) AS y FROM part GROUP BY p_brand", "one", "group_id") + ")"
+
+# --- record operators
+SQL["q_masked_records"] = "SELECT doc_id, 'a|b' AS nodes FROM documents WHERE doc_id % 3 = 0"
+SQL["q_labelled_records"] = "SELECT doc_id FROM documents WHERE lang <> 'es' AND doc_id IN (SELECT doc_id FROM labels)"
+SQL["q_class_encode"] = "SELECT doc_id, least(lang, source) || '|' || greatest(lang, source) AS label_set, (dense_rank() OVER (ORDER BY least(lang, source), greatest(lang, source)) - 1)::INTEGER AS cls FROM documents WHERE lang <> 'es'"
+SQL["q_scope_filter"] = "SELECT doc_id, CASE WHEN lang = 'en' THEN CASE WHEN source = 'src1' THEN 'en/src1' ELSE 'en' END END AS scope FROM documents"
+SQL["q_run_counters"] = """
+WITH d AS (SELECT lang = 'en' AS own, doc_id IN (SELECT doc_id FROM labels) AS there FROM documents)
+SELECT count(*) FILTER (own AND there) AS used, count(*) FILTER (NOT own) AS skipped_family, count(*) FILTER (own AND NOT there) AS skipped_missing FROM d"""
+SQL["q_training_table"] = """
+SELECT p_brand AS group_id, round(avg(p_size), 6) AS size, arg_min(p_size::DOUBLE, p_partkey) FILTER (p_partkey % 11 = 0) AS value FROM part
+WHERE p_brand NOT LIKE '%3' GROUP BY 1 HAVING count(*) FILTER (p_partkey % 11 = 0) > 0"""
+SQL["q_grade_default"] = "SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 OR p_partkey % 7 = 0 THEN 'grade-unresolved' ELSE p_brand END AS grade, CASE WHEN p_partkey % 3 <> 0 THEN p_type ELSE p_brand END AS block FROM part"
+SQL["q_value_invariant"] = "SELECT max(n) AS most_values FROM (SELECT count(DISTINCT o_orderpriority) AS n FROM orders GROUP BY o_custkey)"
+SQL["q_intersection_fallback"] = "SELECT key, 'both' AS \"case\" FROM (SELECT c_nationkey AS key FROM customer INTERSECT SELECT n_nationkey FROM nation WHERE n_nationkey < 7) UNION ALL SELECT n_nationkey, 'first' FROM nation"
+SQL["q_best_epoch"] = "SELECT user_id, arg_max(event_id, (floor(value), -event_id)) AS event_id, max(floor(value))::BIGINT AS metric FROM events WHERE value IS NOT NULL GROUP BY user_id"
+SQL["q_head_middle_tail"] = """
+WITH r AS (SELECT o_orderkey, o_totalprice, row_number() OVER (ORDER BY o_totalprice, o_orderkey) - 1 AS k, count(*) OVER () AS n FROM orders)
+SELECT 'head' AS part, k::INTEGER AS place, o_orderkey, o_totalprice FROM r WHERE k < 2 UNION ALL SELECT 'middle', 0, o_orderkey, o_totalprice FROM r WHERE k = n // 2 UNION ALL SELECT 'tail', (k - n + 3)::INTEGER, o_orderkey, o_totalprice FROM r WHERE k >= n - 3"""
+SQL["q_ranked_classes"] = MEANS + "SELECT vec_id, string_agg('family' || cls, '|' ORDER BY round(p, 6) DESC, cls) AS families FROM prob GROUP BY vec_id"
+
+# --- pixels
+SQL["q_mean_intensity"] = PIXELS.replace("cell AS (SELECT vec_id, i,", "cell AS (SELECT vec_id, i, x,") + "SELECT cls, round(avg(x), 6) AS mean_intensity, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM cell GROUP BY cls"
+SQL["q_pad_and_crop"] = PIXELS + """
+SELECT vec_id AS record_id, 1024 AS n, (12 * 32 + 12)::BIGINT AS first, sum(cls + 1)::DOUBLE AS total, string_agg(cls::VARCHAR, ',' ORDER BY i) FILTER (i // 8 BETWEEN 2 AND 5 AND i % 8 BETWEEN 2 AND 4) AS middle FROM cell GROUP BY vec_id"""
+SQL["q_pixel_layouts"] = PIXELS + """
+SELECT vec_id AS record_id, string_agg(cls::VARCHAR, ',' ORDER BY i // 8, -(i % 8)) AS flipped, string_agg(cls::VARCHAR, ',' ORDER BY -(i // 8), i % 8) AS upside, string_agg(cls::VARCHAR, ',' ORDER BY -(i % 8), i // 8) AS turned,
+    string_agg(cls::VARCHAR, ',' ORDER BY i) FILTER (i < 48) AS bare, string_agg(cls::VARCHAR, ',' ORDER BY i % 3, i // 3) FILTER (i < 48) AS planes, max(cls) >= 2 AS foreign, string_agg(floor(cls * 1.5)::INTEGER::VARCHAR, ',' ORDER BY i) AS bright FROM cell GROUP BY vec_id"""

@@ -12,3 +12,19 @@ def get_session(app: str = "ferrolith", **conf: str) -> SparkSession:
     for key, value in (settings | conf).items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def hadoop_path(spark: SparkSession, path: str):
+    """A path and its file system, whichever it is."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(str(path))
+    return at, at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    at, system = hadoop_path(spark, path)
+    return system.exists(at)
+
+
+def is_folder(spark: SparkSession, path: str) -> bool:
+    at, system = hadoop_path(spark, path)
+    return system.exists(at) and system.getFileStatus(at).isDirectory()

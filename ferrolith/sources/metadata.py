@@ -29,7 +29,7 @@ def metadata_records(meta: DataFrame, measured: DataFrame, masks: DataFrame, ada
     nodes = literal_map({k: "|".join(v) for k, v in PRIMARY_NODES.items()})
     labels = last_value_by_label(measured, "sample_label", "hardness_hv", "row")
     groups = split_groups(meta, name)
-    joined = meta.withColumn("stem", stem_of(F.col("path"))).join(F.broadcast(groups), meta["sample_key"] == groups["sample_key"], "left").drop(groups["sample_key"])
+    joined = meta.withColumn("stem", stem_of(F.col("path"))).join(groups, meta["sample_key"] == groups["sample_key"], "left").drop(groups["sample_key"])
     joined = joined.join(labels, "sample_label", "left").join(masks.select("stem", F.col("path").alias("mask_path")), "stem", "left")
     value = F.when(F.col("hardness_hv").isNotNull(), F.create_map(F.lit("hardness_hv"), "hardness_hv"))
     source = F.when(F.col("hardness_hv").isNotNull(), F.create_map(F.lit("hardness_hv"), F.lit(MEASURED)))

@@ -9,9 +9,12 @@ from pyspark.sql import functions as F
 
 from ferrolith.functions.text import sorted_labels, stem_of
 from ferrolith.operators import validation as V
+from ferrolith.operators.masks import class_channel
 from ferrolith.operators.vocabulary import CONDITION_AXIS, GRADE_AXIS, Vocabulary
+from ferrolith.session import is_folder, path_exists
 from ferrolith.schemas import DISTANT, LOOKUP_COLUMNS, MANIFEST_COLUMNS, canonical
 
+# Image suffixes, and folders of masks in the order they are looked for.
 IMAGE_SUFFIXES = ("tif", "tiff", "png", "jpg", "jpeg", "bmp")
 MASK_FOLDERS = ("labels", "annotations", "masks", "ground_truth", "gt")
 
@@ -20,13 +23,11 @@ def read_strings(spark: SparkSession, path: str, columns, where: str | None = No
     """A CSV with a header, all columns text and blanks empty, plus `row`: the line number from 2."""
     raw = spark.read.option("header", True).option("enforceSchema", False).option("mode", "FAILFAST").option("nullValue", "\u0000").option("emptyValue", "").option("multiLine", True).csv(str(path))
     V.require_columns(raw, columns, where or str(path))
-    typed = raw.select(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in columns], F.monotonically_increasing_id().alias("__at"))
-    # One file is read as one piece, so the running id has no gaps.
-    return typed.withColumn("row", F.col("__at") + 2).drop("__at")
-
-
-def exists(path: str) -> bool:
-    return Path(path).exists()
+    texts = [F.coalesce(F.col(c), F.lit("")).alias(c) for c in columns]
+    placed = raw.select(*texts, F.monotonically_increasing_id().alias("__at"), F.col("_metadata.file_path").alias("__file"))
+    # A file is read as one piece, so that the running id has no gaps within it.
+    first = placed.groupBy("__file").agg(F.min("__at").alias("__first"))
+    return placed.join(first, "__file").select(*columns, (F.col("__at") - F.col("__first") + 2).alias("row"))
 
 
 def empty(spark: SparkSession, columns) -> DataFrame:
@@ -35,7 +36,7 @@ def empty(spark: SparkSession, columns) -> DataFrame:
 
 def load_property_lookup(spark: SparkSession, path: str, vocabulary: Vocabulary | None = None) -> DataFrame:
     """The cited property table, typed and checked; no rows if the file is absent."""
-    if not exists(path):
+    if not path_exists(spark, path):
         raw = empty(spark, LOOKUP_COLUMNS)
     else:
         raw = read_strings(spark, path, LOOKUP_COLUMNS)
@@ -53,7 +54,7 @@ def load_property_lookup(spark: SparkSession, path: str, vocabulary: Vocabulary
 
 def load_manifest(spark: SparkSession, path: str) -> DataFrame:
     """The literature manifest, checked row by row, for repeats and for panels of a specimen that disagree; files are checked by hash."""
-    if not exists(path):
+    if not path_exists(spark, path):
         return empty(spark, MANIFEST_COLUMNS)
     raw = read_strings(spark, path, MANIFEST_COLUMNS)
     for key in ("record_id", "image_path"):
@@ -84,14 +85,14 @@ def manifest_records(manifest: DataFrame, adapter_ord: int = 0) -> DataFrame:
 def load_measured_labels(spark: SparkSession, path: str) -> DataFrame:
     """sample_label, hardness_hv, source_note; rows whose value is no number go; no rows if the file is absent."""
     columns = ("sample_label", "hardness_hv", "source_note")
-    raw = read_strings(spark, path, columns) if exists(path) else empty(spark, columns)
+    raw = read_strings(spark, path, columns) if path_exists(spark, path) else empty(spark, columns)
     value = F.col("hardness_hv").try_cast("double")
     return raw.withColumn("hardness_hv", F.when(~F.isnan(value), value)).filter("hardness_hv IS NOT NULL")
 
 
 def image_folder(spark: SparkSession, path: str, name: str, family: str, adapter_ord: int = 0) -> DataFrame:
     """Records of a labels.csv: path, taxonomy_labels, and if there group_id and scale_um_per_px. Ids count from 0."""
-    if not exists(path):
+    if not path_exists(spark, path):
         raise FileNotFoundError(f"{path}: labels of the image folder {name} are missing")
     header = spark.read.option("header", True).csv(str(path)).columns
     extra = [c for c in ("group_id", "scale_um_per_px") if c in header]
@@ -113,11 +114,11 @@ def list_images(spark: SparkSession, root: str) -> DataFrame:
 
 def benchmark_masks(spark: SparkSession, root: str) -> DataFrame:
     """path, stem of the masks in the first mask folder that exists; none if root is absent, an error if it has no mask folder."""
-    if not exists(root):
+    if not path_exists(spark, root):
         return spark.createDataFrame([], "path string, stem string")
     for folder in MASK_FOLDERS:
-        if (Path(root) / folder).is_dir():
-            return list_images(spark, str(Path(root) / folder))
+        if is_folder(spark, f"{root}/{folder}"):
+            return list_images(spark, f"{root}/{folder}")
     raise FileNotFoundError(f"{root}: no mask folder among {', '.join(MASK_FOLDERS)}")
 
 
@@ -126,11 +127,19 @@ def read_pixels(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("image").option("dropInvalid", False).load(path).select("image.origin", F.col("image.height").alias("h"), F.col("image.width").alias("w"), F.col("image.nChannels").alias("channels"), "image.data")
 
 
-def attach_paths(rows: DataFrame, listing: DataFrame, raw: str) -> DataFrame:
-    """rows with found: the listed path with the same base name, or null."""
+def mask_pixels(spark: SparkSession, path: str) -> DataFrame:
+    """origin, h, w, px: the class numbers of mask images, from their first channel."""
+    return read_pixels(spark, path).select("origin", "h", "w", class_channel(F.col("data"), F.col("channels")).alias("px"))
+
+
+def attach_paths(rows: DataFrame, listing: DataFrame, raw: str, root: str) -> DataFrame:
+    """rows with found: the listed path at raw below root if there is one, else one with the same base name, or null."""
     base = lambda c: F.regexp_extract(c, r"([^/]+)$", 1)
-    names = listing.groupBy(base(F.col("path")).alias("base")).agg(F.min("path").alias("found"))
-    return rows.withColumn("base", base(F.col(raw))).join(names, "base", "left").drop("base")
+    plain = listing.select(F.regexp_replace("path", "^file:/+", "/").alias("path"))
+    whole = plain.select(F.col("path").alias("__whole"), F.col("path").alias("__exact")).distinct()
+    names = plain.groupBy(base(F.col("path")).alias("__base")).agg(F.min("path").alias("__named"))
+    placed = rows.withColumns({"__whole": F.concat(F.lit(root.rstrip("/") + "/"), F.col(raw)), "__base": base(F.col(raw))})
+    return placed.join(whole, "__whole", "left").join(names, "__base", "left").select(*rows.columns, F.coalesce("__exact", "__named").alias("found"))
 
 
 def numbered(rows: DataFrame, order: str) -> DataFrame:
