@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,8 +33,23 @@ def scratch_root(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/ferrolith/{spark.sparkContext.applicationId}"
 
 
+_folder: ContextVar[str] = ContextVar("scratch folder", default="")
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{_folder.get() or scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def scratch_folder(spark: SparkSession, name: str) -> Iterator[None]:
+    """Scratch tables made inside lie in one folder, which is removed at the end: write results elsewhere before."""
+    path = scratch_path(spark, name)
+    token = _folder.set(path)
+    try:
+        yield
+    finally:
+        _folder.reset(token)
+        remove_path(spark, path)
 
 
 def remove_path(spark: SparkSession, path: str) -> None:

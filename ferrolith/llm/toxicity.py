@@ -34,7 +34,8 @@ LEAST_PRIOR, PRIOR_DOCS, DRIFT = 0.5, 2.0, 0.7
 LEAST_Z = 2.6
 #: predicted is 1 from this score on.
 THRESHOLD = 0.3
-CACHED_WORDS = 400_000
+#: Words whose scores a model remembers; a fold's model serves few rows, and forgets them after each batch.
+CACHED_WORDS = 200_000
 #: Rows whose tokens a task counts together.
 COUNT_ROWS = 500
 
@@ -203,9 +204,14 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> ToxicityM
     held = lambda y, left=None: sum(n for (f, label), n in sizes.items() if label == y and f != left)
     if not held(0) or not held(1):
         return ToxicityModel({})
-    counts = materialize(count_tokens(rows), "toxicity-counts")
-    summed = lambda c: c.groupBy("token").agg(F.sum("n_clean").alias("n_clean"), F.sum("n_toxic").alias("n_toxic"))
-    folds = {f: ToxicityModel(token_log_odds(summed(counts.filter(F.col("fold") != f)), held(0, f), held(1, f))) for f in range(FOLDS)}
+    of_fold = lambda c, f: F.coalesce(F.sum(F.when(F.col("fold") == f, F.col(c))), F.lit(0)).alias(f"{c}_{f}")
+    counts = materialize(count_tokens(rows).groupBy("token").agg(*[of_fold(c, f) for c in ("n_clean", "n_toxic") for f in range(FOLDS)]), "toxicity-counts")
+    sums = lambda left=None: counts.select("token", *[sum(F.col(f"{c}_{f}") for f in range(FOLDS) if f != left).alias(c) for c in ("n_clean", "n_toxic")]).filter("n_clean + n_toxic > 0")
+    folds = {f: ToxicityModel(token_log_odds(sums(f), held(0, f), held(1, f))) for f in range(FOLDS)}
+
+    def forget() -> None:
+        for m in folds.values():
+            m.cache.clear()
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Per clean row: its tokens, their scores with counts, and the best segment's score."""
@@ -215,6 +221,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> ToxicityM
                 scores = folds[fold].token_scores(text)
                 values, times = np.unique(np.round(scores, 2), return_counts=True)
                 out.append((len(scores), values.tolist(), times.tolist(), max((s for _, _, s in maximal_segments(scores)), default=0.0)))
+            forget()
             cols = list(zip(*out)) or [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.list_(pa.float64()), pa.list_(pa.int64()), pa.float64()))], names=["n", "v", "c", "top"])
 
@@ -222,6 +229,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> ToxicityM
         """Class and the features that score_documents uses, of every row."""
         for batch in batches:
             found = [folds[fold].features(text) for text, fold in zip(batch.column("text").to_pylist(), batch.column("fold").to_pylist())]
+            forget()
             yield pa.RecordBatch.from_arrays([batch.column("toxic").cast(pa.int64()), pa.array([f[0] for f in found], pa.float64()), pa.array([f[1] for f in found], pa.float64())], names=["toxic", "total", "best"])
 
     law = materialize(rows.filter("toxic = 0").select("text", "fold").mapInArrow(measured, "n bigint, v array<double>, c array<bigint>, top double"), "toxicity-law")
@@ -236,7 +244,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> ToxicityM
     features = np.array([(1.0, math.log1p(r.total), math.log1p(r.best)) for r in seen])
     order = np.lexsort((y, features[:, 2], features[:, 1]))  # a fixed order of summing
     weights = tuple(float(x) for x in logistic(features[order], y[order]))
-    return ToxicityModel(token_log_odds(summed(counts), held(0), held(1)), decay, scale, weights)
+    return ToxicityModel(token_log_odds(sums(), held(0), held(1)), decay, scale, weights)
 
 
 def score_documents(docs: DataFrame, model: ToxicityModel, threshold: float = THRESHOLD) -> DataFrame:
