@@ -72,17 +72,6 @@ def write_table(df: DataFrame, path: str, **options: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def numbered(docs: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """docs as a table with one more column, a number that no two rows share, and that column's name.
-
-    Decisions about rows go by this number, so that rows with null or repeated ids are told apart.
-    """
-    taken, row = {c.lower() for c in docs.columns}, "row_number_"
-    while row in taken:
-        row += "_"
-    return materialize(docs.withColumn(row, F.monotonically_increasing_id()), name), row
-
-
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
@@ -152,11 +141,32 @@ def maybe_in(rows: DataFrame, keys: DataFrame, column: str) -> DataFrame:
     return build_filter(keys, column).mark(rows)
 
 
-def without(rows: DataFrame, gone: DataFrame, row: str) -> DataFrame:
-    """The rows whose number `row` is not in gone. Rows that a filter clears aren't moved; numbers are unique, so no key is hot."""
-    marked = build_filter(gone, row).mark(rows, "maybe_gone_")
-    cleared, rest = marked.filter("NOT maybe_gone_"), marked.filter("maybe_gone_").join(gone.select(row), row, "left_anti")
-    return cleared.select(*rows.columns).unionByName(rest.select(*rows.columns)).drop(row)
+def text_digest() -> Column:
+    """SHA-256 of the text, null as empty."""
+    return F.unhex(F.sha2(text_or_empty(), 256))
+
+
+def keep_rows(docs: DataFrame, touched: DataFrame, stay: DataFrame) -> DataFrame:
+    """The rows of docs with all their columns: those whose text isn't touched, and one row for each (digest, doc_id) in stay.
+
+    touched: digest, of texts about which a decision was taken; stay: digest, doc_id, each pair once. Rows that a filter clears
+    aren't moved; of the others, those that another filter lets pass are combined by pair within each task and meet their pair
+    once, so that neither a text nor a pair with many rows makes a large group.
+    """
+    columns = docs.columns
+    digest = docs.withColumns({"digest_": text_digest(), "pair_id_": F.col("doc_id").cast("bigint")})
+    marked = build_filter(touched.select(F.col("digest").alias("digest_")), "digest_").mark(digest, "touched_")
+    pair = F.xxhash64("digest_", F.coalesce(F.col("pair_id_").cast("string"), F.lit("null")))
+    pairs = stay.select(F.col("digest").alias("digest_"), F.col("doc_id").cast("bigint").alias("pair_id_")).withColumn("pair_", pair)
+    pairs = materialize(pairs, "pairs-that-stay")
+    likely = build_filter(pairs, "pair_").mark(marked.filter("touched_").withColumn("pair_", pair), "likely_").filter("likely_")
+    one = likely.groupBy("digest_", "pair_id_").agg(F.first(F.struct(*[F.col(f"`{c}`") for c in columns])).alias("row_"))
+    known = pairs.select(F.col("digest_").alias("known_"), F.col("pair_id_").alias("known_id_"))
+    met = one.join(known, (F.col("digest_") == F.col("known_")) & F.col("pair_id_").eqNullSafe(F.col("known_id_")), "left_semi")
+    # Rows that the first filter couldn't clear although no decision was taken about their text.
+    all_touched = touched.select(F.col("digest").alias("digest_")).distinct()
+    missed = marked.filter("touched_").join(all_touched, "digest_", "left_anti")
+    return marked.filter("NOT touched_").select(*columns).unionByName(missed.select(*columns)).unionByName(met.select("row_.*"))
 
 
 def filter_bits(keys: DataFrame, column: str):

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ferrolith.llm.common import BitFilter, build_filter, join_groups, materialize, numbered, scratch_path, text_or_empty, without, write_table
+from ferrolith.llm.common import BitFilter, build_filter, join_groups, keep_rows, materialize, scratch_path, text_or_empty, write_table
 
 ENTRY_SCHEMA = "digest binary, doc_id bigint, run int, row bigint, n bigint"
 
@@ -61,12 +61,11 @@ class DigestIndex:
         table = write_table(entries.sortWithinPartitions("digest"), path)
         return Sorted(path, table, build_filter(table, "digest"))
 
-    def flush(self, docs: DataFrame, row: str | None = None) -> Sorted:
-        """Write one more run; no shuffle. row: a column that numbers the rows; by default the run has numbers of its own."""
-        number = F.col(row) if row else F.monotonically_increasing_id()
+    def flush(self, docs: DataFrame) -> Sorted:
+        """Write one more run; no shuffle."""
         entries = docs.select(
             self.digest(text_or_empty()).alias("digest"), F.col("doc_id").cast("bigint").alias("doc_id"),
-            F.lit(self.flushes).alias("run"), number.cast("bigint").alias("row"), F.lit(1).cast("bigint").alias("n"),
+            F.lit(self.flushes).alias("run"), F.monotonically_increasing_id().alias("row"), F.lit(1).cast("bigint").alias("n"),
         )
         self.runs.append(self._write(entries, f"run-{self.flushes:05d}"))
         self.flushes += 1
@@ -101,8 +100,8 @@ class DigestIndex:
         return self.merge(found)
 
 
-def exact_groups(docs: DataFrame, keep: str = "max", digest=sha256_digest, row: str | None = None) -> DataFrame:
-    """One row per document: doc_id, keep_id, group_size, kept, text_sha256, and with `row` that column, which numbers the rows.
+def exact_groups(docs: DataFrame, keep: str = "max", digest=sha256_digest) -> DataFrame:
+    """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
 
     Null texts count as empty. Equal texts form a group, of which exactly one row is kept: the one with the largest
     (keep="min": smallest) doc_id, of several such rows any one. Null doc_ids never win over others; a group with null doc_ids alone has a
@@ -110,14 +109,14 @@ def exact_groups(docs: DataFrame, keep: str = "max", digest=sha256_digest, row:
     the index's digest in hex, SHA-256 unless another digest is given.
     """
     index = DigestIndex(docs.sparkSession, keep, digest)
-    rows = index.flush(docs, row).entries
+    rows = index.flush(docs).entries
     level = index.compact()
     total = level.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
     # Byte verification: the texts of hits meet as grouping keys, combined in each task before they are shuffled.
     hits = level.filter("n > 1")
     hit_filter = build_filter(hits, "digest")
-    texts = docs.select(*({"doc_id", row} - {None}), text_or_empty().alias("text")).withColumn("digest", digest(F.col("text")))
+    texts = docs.select("doc_id", text_or_empty().alias("text")).withColumn("digest", digest(F.col("text")))
     texts = join_groups(hit_filter.mark(texts).filter("maybe").drop("maybe"), hits.select("digest", "n"), ["digest"], total, "n", "left_semi")
     clashes = texts.groupBy("digest", "text").agg(F.lit(1).alias("one")).groupBy("digest").agg(F.count("*").alias("texts")).filter("texts > 1")
     clashes = materialize(clashes.select("digest"), "clashes")
@@ -127,8 +126,8 @@ def exact_groups(docs: DataFrame, keep: str = "max", digest=sha256_digest, row:
     groups = hits.select("digest", F.col("doc_id").alias("keep_id"), F.col("row").alias("keep_row"), "n")
     met = marked.filter("maybe").select("digest", "doc_id", "row")
     if clashes.limit(1).count():  # different texts under one digest: their rows are grouped by the text itself
-        apart, name = numbered(texts.join(clashes, "digest", "left_semi"), "clashing")
-        apart = apart.withColumn("row", F.col(row or name)).withColumn("run", F.lit(0)).withColumn("n", F.lit(1).cast("bigint"))
+        apart = materialize(texts.join(clashes, "digest", "left_semi").withColumn("row", F.monotonically_increasing_id()), "clashing")
+        apart = apart.withColumn("doc_id", F.col("doc_id").cast("bigint")).withColumn("run", F.lit(0)).withColumn("n", F.lit(1).cast("bigint"))
         by_text = index.merge(apart.select(F.col("text").alias("digest"), "doc_id", "run", "row", "n")).select(F.col("digest").alias("text"), F.col("doc_id").alias("keep_id"), F.col("row").alias("keep_row"), "n")
         met, groups = met.join(clashes, "digest", "left_anti"), groups.join(clashes, "digest", "left_anti")
         alone = alone.unionByName(join_groups(apart.select("digest", "text", "doc_id", "row"), by_text, ["text"], total, "n").drop("text"))
@@ -141,10 +140,11 @@ def exact_groups(docs: DataFrame, keep: str = "max", digest=sha256_digest, row:
         (single | (F.col("row") == F.col("keep_row"))).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
     ]
-    return found.select(*columns, *([F.col("row").alias(row)] if row else []))
+    return found.select(*columns)
 
 
 def drop_exact_copies(docs: DataFrame, keep: str = "max") -> DataFrame:
     """The rows of docs that stay, with all their columns: exactly one of each group of equal texts."""
-    rows, row = numbered(docs, "exact-rows")
-    return without(rows, materialize(exact_groups(rows, keep, row=row).filter("NOT kept").select(row), "exact-dropped"), row)
+    groups = exact_groups(docs, keep).filter("group_size > 1 AND kept").select(F.unhex("text_sha256").alias("digest"), "doc_id")
+    groups = materialize(groups, "exact-kept")
+    return keep_rows(docs, groups, groups)

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ferrolith.llm.common import filter_bits, join_groups, materialize, numbered, without
+from ferrolith.llm.common import filter_bits, join_groups, keep_rows, materialize, text_digest, text_or_empty
 from ferrolith.llm.components import components
 
 BYTES, SEED = 8, 42
@@ -60,16 +60,19 @@ def simhash(text: str | None, words: int = 4) -> int:
     return fold([np.array(shingle_hashes(text or "", words), np.uint64)])[0]
 
 
-def fingerprints(docs: DataFrame, words: int = 4, row: str | None = None) -> DataFrame:
-    """doc_id, fp (the 64 bits as a signed number), and the column `row` if one is named, of every row."""
+def fingerprints(docs: DataFrame, words: int = 4, tagged: bool = False) -> DataFrame:
+    """doc_id, fp (the 64 bits as a signed number), and if tagged the text's digest, of every row."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = pa.array(np.array([simhash(t, words) for t in batch.column(0).to_pylist()], np.uint64).view(np.int64))
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], found], names=[*batch.schema.names[1:], "fp"])
 
-    chosen = docs.select(F.coalesce("text", F.lit("")).alias("text"), F.col("doc_id").cast("bigint").alias("doc_id"), *([row] if row else []))
-    return chosen.mapInArrow(hashed, "doc_id bigint, " + (f"`{row}` bigint, " if row else "") + "fp bigint")
+    return hashable(docs, tagged).mapInArrow(hashed, "doc_id bigint, " + ("digest binary, " if tagged else "") + "fp bigint")
+
+
+def hashable(docs: DataFrame, tagged: bool) -> DataFrame:
+    return docs.select(text_or_empty().alias("text"), F.col("doc_id").cast("bigint").alias("doc_id"), *([text_digest().alias("digest")] if tagged else []))
 
 
 def posted_places(shared: int) -> list[tuple[int, ...]]:
@@ -230,64 +233,53 @@ def links(prints: DataFrame, most_bits: int = 4) -> DataFrame:
     return rows.mapInArrow(linked, "a bigint, b bigint")
 
 
-def first_row(row: str | None):
-    """What orders a group's rows: the smallest doc_id, null ids last, then the row's number."""
-    return F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", (F.col(row) if row else F.lit(0).cast("bigint")).alias("row"))
+def first_row(tagged: bool):
+    """What orders a group's rows: the smallest doc_id, null ids last, then the text's digest."""
+    return F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", (F.col("digest") if tagged else F.lit(None).cast("binary")).alias("digest"))
 
 
 def reach_groups(prints: DataFrame, groups: DataFrame, roots: DataFrame, key: str, total: int) -> DataFrame:
-    """prints with component_id and first (the component's first row). groups: key, first, n; roots: node, root of linked keys."""
+    """prints with component_id, first (the digest of the component's first row) and rows (its number). groups: key, first, n; roots: node, root of linked keys."""
     member = groups.select(key, "first", "n").join(roots.withColumnRenamed("node", key), key, "left").withColumn("root", F.coalesce("root", key))
     member = materialize(member, "members")
-    firsts = materialize(member.groupBy("root").agg(F.min("first").alias("whole"), F.count("*").alias("prints")), "component-ids")
-    known = join_groups(member, firsts, ["root"], total, "prints", "inner").select(key, F.col("whole.doc_id").alias("component_id"), F.col("whole.row").alias("first"), "n")
+    firsts = materialize(member.groupBy("root").agg(F.min("first").alias("whole"), F.count("*").alias("prints"), F.sum("n").alias("rows")), "component-ids")
+    known = join_groups(member, firsts, ["root"], total, "prints", "inner").select(key, F.col("whole.doc_id").alias("component_id"), F.col("whole.digest").alias("first"), F.col("rows"), "n")
     return join_groups(prints, materialize(known, "fingerprint-components"), [key], total, "n", "inner").drop("n")
 
 
-def near_groups(docs: DataFrame, words: int = 4, most_bits: int = 4, row: str | None = None) -> DataFrame:
-    """One row per document: doc_id, fingerprint, component_id, and with `row` (a column that numbers the rows) that column and kept.
+def decided(found: DataFrame) -> list:
+    """digest, rows and kept of tagged rows."""
+    return ["digest", "rows", (F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("digest") == F.col("first"))).alias("kept")]
+
+
+def near_groups(docs: DataFrame, words: int = 4, most_bits: int = 4, tagged: bool = False) -> DataFrame:
+    """One row per document: doc_id, fingerprint, component_id, and if tagged digest (of the text), rows (of the component) and kept.
 
     Null texts count as empty; texts without words have the fingerprint zero and link like any other. component_id is the
-    smallest doc_id that can be reached over links (null if all reached ids are null). kept is true for one row of each
-    component: that with the smallest doc_id, null ids last, of several such rows the first. Every row is returned, repeated
-    ones too; an empty table gives an empty result; columns other than doc_id and text are not read.
+    smallest doc_id that can be reached over links (null if all reached ids are null). kept is true for the component's row with
+    the smallest doc_id, null ids last, of several such rows the one with the smallest digest, and for rows equal to it. Every
+    row is returned, repeated ones too; an empty table gives an empty result; columns other than doc_id and text are not read.
     """
-    prints = materialize(fingerprints(docs, words, row), "fingerprints")
-    groups = materialize(prints.groupBy("fp").agg(F.min(first_row(row)).alias("first"), F.count("*").alias("n")), "fingerprint-groups")
+    prints = materialize(fingerprints(docs, words, tagged), "fingerprints")
+    groups = materialize(prints.groupBy("fp").agg(F.min(first_row(tagged)).alias("first"), F.count("*").alias("n")), "fingerprint-groups")
     total = groups.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     found = reach_groups(prints, groups, components(links(groups.select("fp"), most_bits)), "fp", total)
-    more = [row, (F.col(row) == F.col("first")).alias("kept")] if row else []
-    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", *more)
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", *(decided(found) if tagged else []))
+
+
+def one_of_each_group(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """One row of docs for each component of the tagged groups."""
+    several = materialize(groups.filter("rows > 1").select("doc_id", "digest", "kept"), "near-decided")
+    return keep_rows(docs, several.select("digest"), several.filter("kept").select("digest", "doc_id").distinct())
 
 
 def one_of_each(docs: DataFrame, words: int = 5, most_bits: int = 4) -> DataFrame:
     """One row of docs for each component, that with the smallest doc_id (null ids last), with its columns."""
-    rows, row = numbered(docs, "near-rows")
-    return without(rows, materialize(near_groups(rows, words, most_bits, row).filter("NOT kept").select(row), "near-dropped"), row)
+    return one_of_each_group(docs, near_groups(docs, words, most_bits, True))
 
 
 # --- groups by similarity ------------------------------------------------------------------------
 
-#: 64-bit words of a wide fingerprint, an estimate of similarity that tests hold the groups against.
-WIDE_WORDS = 10
-#: Odd multipliers that make each word's hashes from a shingle's.
-WORD_SALTS = np.random.default_rng(20240611).integers(1, 2**63, WIDE_WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-
-
-def differing_share(similarity: float) -> float:
-    """The share of fingerprint bits that differ, on average, between shingle sets of a Jaccard similarity and equal size."""
-    return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-
-
-def wide_hash(hashes: np.ndarray) -> bytes:
-    """WIDE_WORDS independent fingerprints, each from the shingles' hashes mixed with a salt of its own."""
-    words = []
-    for salt in WORD_SALTS:
-        h = (hashes ^ (hashes >> np.uint64(29))) * salt
-        words.append(h ^ (h >> np.uint64(32)))
-    return np.array(fold(words), "<u8").tobytes()
-
-
 #: A text stands in BANDS lists, each under BAND_ROWS minima of its shingles' hashes. Two texts of similarity s share one list at
 #: least with a probability of 1 - (1 - s**BAND_ROWS)**BANDS: all but three in a million at 0.8.
 BANDS, BAND_ROWS = 32, 5
@@ -320,8 +312,8 @@ def list_keys(hashes: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-def set_prints(docs: DataFrame, words: int, row: str | None = None) -> DataFrame:
-    """doc_id, the column `row` if one is named, id (of the set of shingles), shingles (their number), keys of every row."""
+def set_prints(docs: DataFrame, words: int, tagged: bool = False) -> DataFrame:
+    """doc_id, if tagged the text's digest, id (of the set of shingles), shingles (their number), keys of every row."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -330,8 +322,7 @@ def set_prints(docs: DataFrame, words: int, row: str | None = None) -> DataFrame
             columns = [*batch.columns[1:], pa.array([set_id(h) for h in sets], pa.int64()), pa.array([len(h) for h in sets], pa.int64()), keys]
             yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[1:], "id", "shingles", "keys"])
 
-    chosen = docs.select(F.coalesce("text", F.lit("")).alias("text"), F.col("doc_id").cast("bigint").alias("doc_id"), *([row] if row else []))
-    return chosen.mapInArrow(hashed, "doc_id bigint, " + (f"`{row}` bigint, " if row else "") + "id bigint, shingles bigint, keys array<bigint>")
+    return hashable(docs, tagged).mapInArrow(hashed, "doc_id bigint, " + ("digest binary, " if tagged else "") + "id bigint, shingles bigint, keys array<bigint>")
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
@@ -393,21 +384,20 @@ def similar_links(docs: DataFrame, groups: DataFrame, words: int, similarity: fl
     return roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(rest)
 
 
-def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, row: str | None = None) -> DataFrame:
-    """One row per document: doc_id, component_id: the smallest doc_id reached over links of the given similarity; `row` and kept as near_groups.
+def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, tagged: bool = False) -> DataFrame:
+    """One row per document: doc_id, component_id: the smallest doc_id reached over links of the given similarity; if tagged as near_groups.
 
     The similarity of two texts is the Jaccard similarity of their sets of shingles. Nulls, empty texts, repeated rows and
     empty tables are treated as near_groups does.
     """
-    prints = materialize(set_prints(docs, words, row), "set-prints")
-    groups = prints.groupBy("id").agg(F.min(first_row(row)).alias("first"), F.count("*").alias("n"), F.first("shingles").alias("shingles"), F.first("keys").alias("keys"))
+    prints = materialize(set_prints(docs, words, tagged), "set-prints")
+    groups = prints.groupBy("id").agg(F.min(first_row(tagged)).alias("first"), F.count("*").alias("n"), F.first("shingles").alias("shingles"), F.first("keys").alias("keys"))
     groups = materialize(groups, "set-groups")
     total = groups.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    found = reach_groups(prints, groups, components(similar_links(docs, groups, words, similarity)), "id", total)
-    return found.select("doc_id", "component_id", *([row, (F.col(row) == F.col("first")).alias("kept")] if row else []))
+    found = reach_groups(prints.drop("keys", "shingles"), groups, components(similar_links(docs, groups, words, similarity)), "id", total)
+    return found.select("doc_id", "component_id", *(decided(found) if tagged else []))
 
 
 def one_of_each_similar(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """One row of docs for each component, that with the smallest doc_id (null ids last), with its columns."""
-    rows, row = numbered(docs, "near-rows")
-    return without(rows, materialize(similar_groups(rows, words, similarity, row).filter("NOT kept").select(row), "near-dropped"), row)
+    return one_of_each_group(docs, similar_groups(docs, words, similarity, True))

@@ -13,6 +13,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,8 +36,8 @@ LEAST_Z = 2.6
 #: predicted is 1 from this score on.
 THRESHOLD = 0.3
 #: Words whose scores a model remembers; a fold's model serves few rows, and forgets them after each batch.
-CACHED_WORDS = 200_000
-#: Rows whose tokens a task counts together.
+CACHED_WORDS = 100_000
+#: Rows that a task takes together.
 COUNT_ROWS = 500
 
 
@@ -278,9 +279,12 @@ def clean_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRES
     """The rows of docs that score below the threshold, with their columns: each row by its own text, whatever its doc_id."""
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
 
-    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.pandas_udf("boolean")
+    def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         own = shared.value
-        for batch in batches:
-            yield batch.filter(pa.array([own.probability(text or "")[0] < threshold for text in batch.column("text").to_pylist()], pa.bool_()))
+        for texts in batches:
+            yield pd.Series([own.probability(text)[0] < threshold for text in texts], dtype=bool)
+        own.cache.clear()  # workers outlive the stage; what they hold is the next one's loss
+        pa.default_memory_pool().release_unused()
 
-    return docs.mapInArrow(clean, docs.schema)
+    return docs.filter(clean(F.coalesce(F.col("text"), F.lit(""))))

@@ -247,7 +247,7 @@ def test_index_meets_every_pair_and_counts():
 
 def test_one_row_of_each_stays(spark):
     rows = [(None, "a b c d"), (1, "a b c d"), (None, "z z"), (None, "z z"), (5, "q"), (5, "q"), (5, "w"), (6, "w"), (7, ""), (8, None)]
-    df = frame(spark, rows).withColumn("row_number_", F.lit("mine"))
+    df = frame(spark, rows).withColumn("row_", F.lit("mine"))
     for keep in (simhash.one_of_each, simhash.one_of_each_similar):
         kept = keep(df)
         assert kept.columns == df.columns

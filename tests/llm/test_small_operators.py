@@ -106,7 +106,7 @@ def test_exactly_one_row_of_each_text_stays(spark):
         ([(5, "q"), (5, "q"), (5, "w"), (6, "w")], [(5, "q"), (6, "w")]),
         ([(None, None), (None, ""), (None, "x")], [(None, ""), (None, "x")]),
     ):
-        df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("maybe_gone_", F.lit(1)).withColumn("Row_Number_", F.lit("mine"))
+        df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"maybe": F.lit(1), "row_": F.lit("mine"), "digest": F.lit("x"), "more": F.create_map(F.lit("a"), F.lit(1))})
         for digest in (exact_dedup.sha256_digest, lambda text: F.encode(F.lit("same"), "UTF-8")):
             groups = exact_dedup.exact_groups(df, digest=digest)
             assert groups.filter("kept").count() == len(stay)
