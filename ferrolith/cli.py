@@ -1,4 +1,4 @@
-"""Command line: vocabulary, audit, features, split and data checks over local files."""
+"""Command line: vocabulary, audit, features, split, training and prediction, and data checks."""
 
 from __future__ import annotations
 
@@ -6,11 +6,15 @@ import argparse
 import sys
 from pathlib import Path
 
+from pyspark.sql import functions as F
+
 from ferrolith.operators import audit as audit_ops
-from ferrolith.operators import masks, splits
+from ferrolith.operators import heads, masks, splits, training
+from ferrolith.operators.prediction import HeadRegistry
 from ferrolith.operators.vocabulary import Vocabulary, tree_lines
-from ferrolith.session import get_session
-from ferrolith.sinks import write_features, write_sections
+from ferrolith.session import get_session, path_exists
+from ferrolith.sinks import load_model, save_model, write_features, write_sections
+from ferrolith.sources.registry import Config
 from ferrolith.sources.sqlite import read_table
 
 
@@ -39,6 +43,18 @@ def main(argv: list[str] | None = None) -> int:
     split.add_argument("--val", type=float, default=0.2)
     split.add_argument("--test", type=float, default=0.2)
     split.add_argument("--seed", type=int, default=0)
+    fit = commands.add_parser("fit-head", help="fit a property head; features (a row a group) and records in Parquet")
+    for name in ("features", "records", "scope", "property", "out"):
+        fit.add_argument(name)
+    router = commands.add_parser("train-router", help="fit the family router on embeddings (embedding, family, group_id in Parquet)")
+    classifier = commands.add_parser("train-clf", help="fit the classifier of label sets (embedding, taxonomy_labels, group_id in Parquet)")
+    for trained in (router, classifier):
+        trained.add_argument("embeddings")
+        trained.add_argument("out", help="the model table's folder")
+        trained.add_argument("--config")
+    guess = commands.add_parser("predict", help="family and property of images (record_id, embedding, features in Parquet)")
+    for name in ("images", "models", "heads", "property", "out"):
+        guess.add_argument(name)
     args = parser.parse_args(argv)
 
     if args.command == "check":
@@ -54,6 +70,31 @@ def main(argv: list[str] | None = None) -> int:
         write_sections(audit_ops.report_sections(audit_ops.audit_samples(samples, images), images), args.out)
     elif args.command == "features":
         write_features(masks.feature_vector(spark.read.parquet(args.masks), args.nodes.split(",")), args.out)
+    elif args.command == "fit-head":
+        registry = HeadRegistry()
+        registry.register(args.scope, args.property, dict)
+        features = spark.read.parquet(args.features) if path_exists(spark, args.features) else None
+        return 0 if heads.fit_property_head(registry, args.out, args.scope, args.property, features, spark.read.parquet(args.records)) else 1
+    elif args.command in ("train-router", "train-clf"):
+        config, rows = Config.load(args.config), spark.read.parquet(args.embeddings)
+        if args.command == "train-router":
+            model = training.train_router(rows, "embedding", "family", "group_id", config.router_calib_frac, config.router_alpha, config.seed)
+        else:
+            model = training.train_classifier(rows, "embedding", "taxonomy_labels", "group_id", config.val_frac, config.test_frac, config.seed)
+        save_model(spark, args.out, args.command.removeprefix("train-"), model, model["accuracy"])
+    elif args.command == "predict":
+        router = load_model(spark, args.models, "router")
+        if router is None:
+            print("no router; train one first")
+            return 1
+        images = training.route(spark.read.parquet(args.images).drop("family"), router, "embedding")
+        found = None
+        for family in router["families"]:
+            own = heads.predict_property(args.heads, family, args.property, images.filter(F.col("family") == family))
+            found = own if found is None else found.unionByName(own)
+        out = images.select("record_id", "family", "probabilities").join(found, "record_id", "left")
+        reason = F.when(F.col("family").isNull(), "the prediction set is not a single family").otherwise(F.col("reason"))
+        out.withColumn("reason", reason).write.mode("overwrite").parquet(args.out)
     else:
         splits.hashed_group_split(spark.read.parquet(args.records), args.group, args.val, args.test, args.seed).write.mode("overwrite").parquet(args.out)
     return 0

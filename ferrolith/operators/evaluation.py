@@ -146,7 +146,8 @@ def principal_plane(rows: DataFrame, key: str, vector: str, parts: int = 2) -> D
 def pca_ridge_folds(rows: DataFrame, key: str, block: str, vector: str, target: str, parts: int = 8, alpha: float = 10.0) -> DataFrame:
     """key, y, p: for each block a PCA (at most `parts` directions) and a ridge fitted on all other blocks.
 
-    A fold needs sums alone: moments of the vectors and targets are summed by block, combined on the driver's few numbers, and applied to rows as expressions.
+    A fold needs sums alone: moments of the vectors and targets are summed by block; each block's fold takes them out of the total (the one
+    thing that the driver sees) and is solved where the block's moments are. Rows are then scored by expressions.
     """
     with_y = rows.filter(F.col(target).isNotNull()).select(key, block, doubles(F.col(vector)).alias("v"), F.col(target).cast("double").alias("y"))
     kinds = dict(rows.dtypes)
@@ -159,22 +160,26 @@ def pca_ridge_folds(rows: DataFrame, key: str, block: str, vector: str, target:
 
     summed = with_y.select(block, "v", "y").mapInPandas(moments, f"{block} {kinds[block]}, m array<double>")
     each = summed.select(block, F.posexplode("m").alias("i", "x")).groupBy(block, "i").agg(F.sum("x").alias("x"))
-    held = {r[block]: np.array(r.m) for r in each.groupBy(block).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("m")).collect()}
-    total = sum(held.values())
-    models = {}
-    for name, own in held.items():
-        m = (total - own).reshape(int(len(total) ** 0.5), -1)
-        n, mean, y_mean = m[-1, -1], m[-1, :-2] / max(m[-1, -1], 1), m[-1, -2] / max(m[-1, -1], 1)
-        cov = m[:-2, :-2] - n * np.outer(mean, mean)
-        cross = m[:-2, -2] - n * mean * y_mean
-        _, directions = np.linalg.eigh(cov)
-        d = directions[:, ::-1][:, : min(parts, len(mean))]
-        scale = np.sqrt(np.maximum(np.diag(d.T @ cov @ d) / max(n, 1), 1e-30))
-        w = np.linalg.solve((d.T @ cov @ d) / np.outer(scale, scale) + alpha * np.eye(d.shape[1]), d.T @ cross / scale)
-        coefficients = d @ (w / scale)
-        models[name] = (coefficients.tolist(), float(y_mean - mean @ coefficients))
-    spark = rows.sparkSession
-    table = spark.createDataFrame([(k, w, b) for k, (w, b) in models.items()], f"{block} {kinds[block]}, weights array<double>, intercept double")
+    held = each.groupBy(block).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("m"))  # the width squared numbers a block
+    total = np.array([r.x for r in each.groupBy("i").agg(F.sum("x").alias("x")).orderBy("i").collect()])
+
+    def fitted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = []
+            for own in batch.m:
+                m = (total - own).reshape(int(len(total) ** 0.5), -1)
+                n, mean, y_mean = m[-1, -1], m[-1, :-2] / max(m[-1, -1], 1), m[-1, -2] / max(m[-1, -1], 1)
+                cov = m[:-2, :-2] - n * np.outer(mean, mean)
+                cross = m[:-2, -2] - n * mean * y_mean
+                _, directions = np.linalg.eigh(cov)
+                d = directions[:, ::-1][:, : min(parts, len(mean))]
+                scale = np.sqrt(np.maximum(np.diag(d.T @ cov @ d) / max(n, 1), 1e-30))
+                w = np.linalg.solve((d.T @ cov @ d) / np.outer(scale, scale) + alpha * np.eye(d.shape[1]), d.T @ cross / scale)
+                coefficients = d @ (w / scale)
+                found.append((coefficients.tolist(), float(y_mean - mean @ coefficients)))
+            yield pd.DataFrame({block: batch[block], "weights": [w for w, _ in found], "intercept": [b for _, b in found]})
+
+    table = held.mapInPandas(fitted, f"{block} {kinds[block]}, weights array<double>, intercept double")
     score = F.aggregate(F.zip_with("v", "weights", lambda a, c: a * c), F.lit(0.0), lambda a, x: a + x) + F.col("intercept")
     return with_y.join(table, block).select(key, "y", score.alias("p"))
 

@@ -125,9 +125,11 @@ def head_value(head: dict, features: Column) -> Column:
         parts = zip(values, head["mean"], head["scale"], head["weights"])
         return sum(((v - m) / s * w for v, m, s, w in parts), F.lit(head["intercept"]))
 
+    width = len(values)
+
     @F.pandas_udf("double")
     def grown(x: pd.Series) -> pd.Series:
-        return pd.Series(tree_values(head, np.vstack(x.to_list()) if len(x) else np.zeros((0, len(values)))))
+        return pd.Series(tree_values(head, np.vstack(x.to_list()) if len(x) else np.zeros((0, width))))
 
     return grown(F.array(*values))
 

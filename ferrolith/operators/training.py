@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -94,23 +96,22 @@ def classify(rows: DataFrame, head: dict, vector: str) -> DataFrame:
     return rows.withColumn("predicted", F.get(names, argmax(linear_probabilities(head, F.col(vector)))))
 
 
-def segment(images: DataFrame, make_predict: Callable, classes: int, h: int, w: int, batch_size: int = 32) -> DataFrame:
-    """images (record_id, h, w, data: RGB bytes of one size) with px: the likeliest class of every pixel, by a model of the caller's.
+def segment(images: DataFrame, make_predict: Callable, batch_size: int = 32) -> DataFrame:
+    """record_id, h, w, px: the likeliest class of every pixel of images (record_id, h, w, data: RGB numbers), by a model of the caller's.
 
-    make_predict is called once in each Python worker, so that the frozen backbone is loaded once; it returns a function from pixels
-    (n, h, w, 3) to scores (n, classes, h, w).
+    make_predict is called once a task, so that a frozen backbone is loaded once for many images; it returns a function from pixels
+    (n, h, w, 3) to scores (n, classes, h, w). Images of one shape are predicted together, batch_size at a time.
     """
-    from pyspark.ml.functions import predict_batch_udf
-
-    def make():
-        import numpy as np
 
+    def predicted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         predict = make_predict()
-
-        def run(pixels):
-            return {"px": predict(pixels.astype(np.uint8)).argmax(1).reshape(len(pixels), -1).astype(np.int32)}
-
-        return run
-
-    found = predict_batch_udf(make, return_type="struct<px:array<int>>", batch_size=batch_size, input_tensor_shapes=[[h, w, 3]])
-    return images.withColumn("px", found("data")["px"])
+        for batch in batches:
+            for (h, w), same in batch.groupby(["h", "w"], sort=False):
+                for i in range(0, len(same), batch_size):
+                    part = same.iloc[i : i + batch_size]
+                    pixels = np.vstack(part["data"].to_list()).reshape(len(part), int(h), int(w), 3).astype(np.uint8)
+                    chosen = predict(pixels).argmax(1).reshape(len(part), -1).astype(np.int32)
+                    yield pd.DataFrame({"record_id": part.record_id, "h": part.h, "w": part.w, "px": list(chosen)})
+
+    kind = dict(images.dtypes)["record_id"]
+    return images.select("record_id", "h", "w", "data").mapInPandas(predicted, f"record_id {kind}, h int, w int, px array<int>")

@@ -166,9 +166,9 @@ def q_run_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def q_training_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Brands with their mean size, and the first value of those that have one."""
+    """Brands with their mean size, and the first value of those that have one; brands that end with 3 have none."""
     features = read(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("group_id")).agg(F.avg("p_size").alias("size"))
-    values = weak_labels.first_value_by_group(part_records(spark, sf_dir).filter("group_id NOT LIKE '%3'"), "hardness_hv")
+    values = weak_labels.first_value_by_group(part_records(spark, sf_dir).withColumn("properties", F.when(~F.col("group_id").endswith("3"), F.col("properties"))), "hardness_hv")
     return records.training_table(features, values).select("group_id", r6("size").alias("size"), "value")
 
 
@@ -187,8 +187,8 @@ def q_value_invariant(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def q_intersection_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     customers, nations = read(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("key")), read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("key"))
-    met = records.intersection_or_first(customers, nations.filter("key < 7")).withColumn("case", F.lit("both"))
-    return met.unionByName(records.intersection_or_first(nations, nations.select(-F.col("key") - 1)).withColumn("case", F.lit("first")))
+    met = records.intersection_or_first(customers, nations.select((F.col("key") * 2).alias("key"))).withColumn("case", F.lit("both"))
+    return met.unionByName(records.intersection_or_first(nations, nations.select((-F.col("key") - 1).alias("key"))).withColumn("case", F.lit("first")))
 
 
 @query
@@ -324,7 +324,7 @@ def q_hash_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     digest = F.when(F.col("doc_id") % 10 == 0, F.sha2("source", 256)).otherwise(F.upper(F.sha2("text", 256)))
     manifest = docs.select(F.col("doc_id").alias("row"), F.col("doc_id").cast("string").alias("image_path"), digest.alias("image_sha256"))
-    files = docs.filter("doc_id % 17 <> 0").select(F.col("doc_id").cast("string").alias("image_path"), F.encode("text", "UTF-8").alias("content"))
+    files = docs.select(F.concat(F.when(F.col("doc_id") % 17 == 0, "elsewhere/").otherwise(""), F.col("doc_id").cast("string")).alias("image_path"), F.encode("text", "UTF-8").alias("content"))
     return validation.hash_violations(manifest, files)
 
 

@@ -280,7 +280,7 @@ SELECT p_brand AS group_id, round(avg(p_size), 6) AS size, arg_min(p_size::DOUBL
 WHERE p_brand NOT LIKE '%3' GROUP BY 1 HAVING count(*) FILTER (p_partkey % 11 = 0) > 0"""
 SQL["q_grade_default"] = "SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 OR p_partkey % 7 = 0 THEN 'grade-unresolved' ELSE p_brand END AS grade, CASE WHEN p_partkey % 3 <> 0 THEN p_type ELSE p_brand END AS block FROM part"
 SQL["q_value_invariant"] = "SELECT max(n) AS most_values FROM (SELECT count(DISTINCT o_orderpriority) AS n FROM orders GROUP BY o_custkey)"
-SQL["q_intersection_fallback"] = "SELECT key, 'both' AS \"case\" FROM (SELECT c_nationkey AS key FROM customer INTERSECT SELECT n_nationkey FROM nation WHERE n_nationkey < 7) UNION ALL SELECT n_nationkey, 'first' FROM nation"
+SQL["q_intersection_fallback"] = "SELECT key, 'both' AS \"case\" FROM (SELECT c_nationkey AS key FROM customer INTERSECT SELECT n_nationkey * 2 FROM nation) UNION ALL SELECT n_nationkey, 'first' FROM nation"
 SQL["q_best_epoch"] = "SELECT user_id, arg_max(event_id, (floor(value), -event_id)) AS event_id, max(floor(value))::BIGINT AS metric FROM events WHERE value IS NOT NULL GROUP BY user_id"
 SQL["q_head_middle_tail"] = """
 WITH r AS (SELECT o_orderkey, o_totalprice, row_number() OVER (ORDER BY o_totalprice, o_orderkey) - 1 AS k, count(*) OVER () AS n FROM orders)
