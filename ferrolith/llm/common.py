@@ -72,6 +72,31 @@ def write_table(df: DataFrame, path: str, **options: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows that a Python task takes together from a batch, so that neither side holds large batches.
+PART_ROWS = 1000
+
+
+def parts(batches: Iterator, rows: int = PART_ROWS) -> Iterator:
+    """Arrow batches in parts. At the end the worker, which later stages use again, gives memory back."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+    give_back()
+
+
+def give_back() -> None:
+    """Return freed memory of this Python worker to the system."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library: nothing to do
+        pass
+
+
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 

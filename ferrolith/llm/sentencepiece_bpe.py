@@ -18,10 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ferrolith.llm.common import parts
+
 SPACE = "▁"
 NORMAL, UNKNOWN, USER_DEFINED, UNUSED, BYTE = 1, 2, 4, 5, 6
 #: Segments that a worker remembers; beyond it the older half is forgotten.
-CACHE_SEGMENTS = 600_000
+CACHE_SEGMENTS = 200_000
 #: Longer segments are not kept, and use a heap for their agenda.
 LONG_SEGMENT = 64
 NO_MERGE = 1 << 60
@@ -233,7 +235,7 @@ def encode_documents(docs: DataFrame, model_path: str, with_ids: bool = False) -
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = segment_cache(model_path)
-        for batch in batches:
+        for batch in parts(batches):
             rows: list[tuple] = []
             for group in grouped(batch.column("text").to_pylist()):
                 for n, ids, text in cache.encode_batch(group):

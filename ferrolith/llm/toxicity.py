@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ferrolith.llm.common import materialize
+from ferrolith.llm.common import give_back, materialize, parts
 
 WORD = re.compile(r"[^\W\d_]+")
 #: The classifier is fitted on about this many labelled rows at most, drawn by a hash of doc_id.
@@ -144,7 +144,7 @@ def count_tokens(rows: DataFrame) -> DataFrame:
     """token, fold, n_clean, n_toxic: documents of each class that hold the token; counted per task, then summed."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (b.slice(i, COUNT_ROWS) for b in batches for i in range(0, b.num_rows, COUNT_ROWS)):
+        for batch in parts(batches, COUNT_ROWS):
             counts: dict[tuple[str, int], list[int]] = {}
             for text, toxic, fold in zip(*(batch.column(c).to_pylist() for c in ("text", "toxic", "fold"))):
                 for token in {p for w in set(WORD.findall(text.lower())) for p in pieces(w)}:
@@ -216,7 +216,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> ToxicityM
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Per clean row: its tokens, their scores with counts, and the best segment's score."""
-        for batch in batches:
+        for batch in parts(batches, COUNT_ROWS):
             out = []
             for text, fold in zip(batch.column("text").to_pylist(), batch.column("fold").to_pylist()):
                 scores = folds[fold].token_scores(text)
@@ -228,7 +228,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> ToxicityM
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Class and the features that score_documents uses, of every row."""
-        for batch in batches:
+        for batch in parts(batches, COUNT_ROWS):
             found = [folds[fold].features(text) for text, fold in zip(batch.column("text").to_pylist(), batch.column("fold").to_pylist())]
             forget()
             yield pa.RecordBatch.from_arrays([batch.column("toxic").cast(pa.int64()), pa.array([f[0] for f in found], pa.float64()), pa.array([f[1] for f in found], pa.float64())], names=["toxic", "total", "best"])
@@ -258,7 +258,7 @@ def score_documents(docs: DataFrame, model: ToxicityModel, threshold: float = TH
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        for batch in batches:
+        for batch in parts(batches):
             found = [own.probability(text) for text in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array([p for p, _ in found], pa.float64()), pa.array([n for _, n in found], pa.int64())], names=["doc_id", "held_out", "score", "n_segments"])
 
@@ -285,6 +285,6 @@ def clean_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRES
         for texts in batches:
             yield pd.Series([own.probability(text)[0] < threshold for text in texts], dtype=bool)
         own.cache.clear()  # workers outlive the stage; what they hold is the next one's loss
-        pa.default_memory_pool().release_unused()
+        give_back()
 
     return docs.filter(clean(F.coalesce(F.col("text"), F.lit(""))))
