@@ -7,7 +7,6 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ferrolith.functions.vectors import argmax
 from ferrolith.operators.ranking import order_statistic
 
 DECIMALS = 9
@@ -47,10 +46,6 @@ def singleton(probabilities: Column, q_hat: Column) -> Column:
     return F.when(F.size(chosen) == 1, F.get(chosen, F.lit(0)))
 
 
-def best_class(probabilities: Column) -> Column:
-    return argmax(probabilities)
-
-
 def ranked_classes(probabilities: Column, names: Column) -> Column:
     """(name, p) of every class, the likeliest first, then in the classes' order."""
     pairs = F.transform(probabilities, lambda p, i: F.struct((-p).alias("down"), i.alias("i"), F.get(names, i).alias("name"), p.alias("p")))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ferrolith.functions import text as T
 from ferrolith.functions import vectors as vec
 from ferrolith.operators import aliases, audit, conformal, evaluation, heads, masks, metrics, prediction, ranking, records, splits, training, validation, vocabulary, weak_labels
+from ferrolith.sources import metadata, registry
 from ferrolith.schemas import canonical, evaluation_block, group_or_record, join_key, physical_scale
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -234,6 +235,48 @@ def q_vocab_wrong_axis(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vocabulary.wrong_axis(customer_places(spark, sf_dir), "node", place_nodes(spark, sf_dir), "nation").select("c_custkey", "node", "axis")
 
 
+@query
+def q_record_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as records with labels that are unknown or on another axis, and with sources of properties that they don't have."""
+    k = F.col("p_partkey")
+    labels = F.when(k % 4 == 0, F.array(F.lit("ferrous/pearlite"))).when(k % 4 == 1, F.array(F.lit("nowhere"))).when(k % 4 == 2, F.array(F.lit("grade/ferrous"), F.lit("ferrous")))
+    sources = F.when(k % 5 == 0, F.create_map(F.lit("hardness_hv"), F.lit("distant")))
+    rows = canonical(read(spark, sf_dir, "part").select(k.cast("string").alias("record_id"), F.lit("-").alias("image_path"), F.lit("SEM").alias("modality"), F.lit("").alias("group_id"), labels.alias("taxonomy_labels"), sources.alias("property_sources"), F.when(k % 6 == 0, "ferrous/pearlite").alias("alloy_grade")))
+    return registry.record_violations(spark, rows, vocabulary.Vocabulary.load())
+
+
+@query
+def q_metadata_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as images of samples: sizes are sample keys, some labels are measured, a fourth of the images has a mask."""
+    k, key = F.col("p_partkey"), F.when(F.col("p_partkey") % 9 != 0, F.col("p_size"))
+    stem = F.concat(F.lit("image"), k.cast("string"))
+    label = F.when(key % 5 == 0, "").otherwise(F.concat(F.lit("L"), (key % 10).cast("string")))
+    parts = read(spark, sf_dir, "part")
+    none = F.lit(None)
+    meta = parts.select(
+        k.alias("micrograph_id"), F.concat(F.lit("/images/"), stem, F.lit(".tif")).alias("path"), key.alias("sample_key"), label.alias("sample_label"), none.cast("string").alias("cool_method"), none.cast("double").alias("anneal_temperature"),
+        none.cast("string").alias("anneal_temp_unit"), none.cast("double").alias("anneal_time"), none.cast("string").alias("anneal_time_unit"), F.col("p_size").alias("micron_bar"), (k % 3).alias("micron_bar_px"),
+        F.when(k % 2 == 0, "BSE").alias("detector"), F.when(k % 8 == 0, "pearlite+spheroidite").when(k % 8 == 1, "unheard of").alias("primary_microconstituent"),
+    )
+    measured = read(spark, sf_dir, "nation").select(F.concat(F.lit("L"), (F.col("n_nationkey") % 7).cast("string")).alias("sample_label"), F.col("n_nationkey").cast("double").alias("hardness_hv"), F.col("n_nationkey").alias("row"))
+    there = parts.select(F.when(k % 4 == 0, stem).otherwise(F.concat(F.lit("other"), stem)).alias("stem"), F.concat(F.lit("/masks/"), stem, F.lit(".png")).alias("path"))
+    rows = metadata.metadata_records(meta, measured, there)
+    return rows.select("record_id", "group_id", r6("scale_um_per_px").alias("scale"), "modality", F.array_join("taxonomy_labels", "|").alias("labels"), "mask_path", F.size("mask_class_nodes").alias("classes"), F.col("properties")["hardness_hv"].alias("hardness"), "record_ord")
+
+
+@query
+def q_feature_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two maps of features as one, in which the right one wins; a feature that is missing counts as 0."""
+    left, right = F.create_map(F.lit("a"), F.col("p_size").cast("double"), F.lit("b"), F.lit(1.0)), F.when(F.col("p_partkey") % 2 == 0, F.create_map(F.lit("b"), F.lit(2.0), F.lit("c"), F.lit(3.0))).otherwise(F.create_map(F.lit("c"), F.lit(4.0)))
+    merged = read(spark, sf_dir, "part").select("p_partkey", weak_labels.merge_features(left, right).alias("f"))
+    return merged.select("p_partkey", *[weak_labels.feature(F.col("f"), name).alias(name) for name in ("a", "b", "c", "d")])
+
+
+@query
+def q_bounded_bool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "part").select("p_partkey", T.bounded_bool(pick(("true", "false", "TRUE", "1", None), F.col("p_partkey") % 5)).alias("value"))
+
+
 # --- strings -------------------------------------------------------------------------------------
 
 
@@ -273,6 +316,18 @@ def q_structured_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return part.select("p_partkey", aliases.structured_condition(route, temperature, F.lit("c "), hold, unit).alias("node_id"))
 
 
+@query
+def q_exact_condition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaves of water-quench routes: the label's one step must agree with the columns."""
+    k = F.col("p_partkey")
+    celsius, minutes = pick((800, 970, 1000), k % 3, "double"), pick((90, 180, 7), k % 3, "double")
+    step = F.concat(F.lit("AC1 "), celsius.cast("int").cast("string"), F.lit("C "), minutes.cast("int").cast("string"), F.lit("M"))
+    label = F.when(k % 4 < 3, step).otherwise(F.concat(step, F.lit(" 900C 5M")))
+    cool, hours = F.when(k % 5 != 0, "WQ").otherwise("FC"), k % 2 == 0
+    found = aliases.exact_condition(label, cool, celsius + F.when(k % 7 == 0, 1.0).otherwise(0.0), F.lit("C"), F.when(hours, minutes / 60).otherwise(minutes), F.when(hours, "H").otherwise("M"))
+    return read(spark, sf_dir, "part").select("p_partkey", found.alias("node_id"))
+
+
 @query
 def q_regex_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     size, key = F.col("p_size").cast("string"), F.col("p_partkey")
@@ -283,9 +338,9 @@ def q_regex_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def q_scope_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     requests = read(spark, sf_dir, "part").select("p_partkey", F.concat_ws("/", "p_type", "p_brand").alias("scope"))
-    registry = requests.groupBy("scope").agg(F.count("*").alias("n")).filter("n % 2 = 0").select(F.col("scope").alias("registered_scope"), F.lit("own").alias("head"))
+    heads_ = requests.groupBy("scope").agg(F.count("*").alias("n")).filter("n % 2 = 0").select(F.col("scope").alias("registered_scope"), F.lit("own").alias("head"))
     types = read(spark, sf_dir, "part").select(F.col("p_type").alias("registered_scope"), F.lit("type").alias("head")).distinct()
-    return prediction.resolve_scopes(requests, "scope", registry.unionByName(types)).select("p_partkey", "registered_scope", "head")
+    return prediction.resolve_scopes(requests, "scope", heads_.unionByName(types)).select("p_partkey", "registered_scope", "head")
 
 
 # --- validation ----------------------------------------------------------------------------------
@@ -493,6 +548,19 @@ def q_pixel_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def q_normalised_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    px = F.transform("px", lambda p: (p * 60).cast("double"))
+    return embedding_masks(spark, sf_dir).select("record_id", r6(vec.total(vec.normalise_pixels(px, 0.485, 0.229))).alias("total"))
+
+
+@query
+def q_centroid_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's cosine with its class mean."""
+    rows = read(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
+    return rows.join(evaluation.centroids(rows, "label", "embedding"), "label").select("vec_id", r6(vec.cosine(vec.doubles(F.col("embedding")), F.col("centroid"))).alias("cosine"))
+
+
 # --- classifiers ---------------------------------------------------------------------------------
 
 

@@ -294,3 +294,24 @@ SELECT vec_id AS record_id, 1024 AS n, (12 * 32 + 12)::BIGINT AS first, sum(cls
 SQL["q_pixel_layouts"] = PIXELS + """
 SELECT vec_id AS record_id, string_agg(cls::VARCHAR, ',' ORDER BY i // 8, -(i % 8)) AS flipped, string_agg(cls::VARCHAR, ',' ORDER BY -(i // 8), i % 8) AS upside, string_agg(cls::VARCHAR, ',' ORDER BY -(i % 8), i // 8) AS turned,
     string_agg(cls::VARCHAR, ',' ORDER BY i) FILTER (i < 48) AS bare, string_agg(cls::VARCHAR, ',' ORDER BY i % 3, i // 3) FILTER (i < 48) AS planes, max(cls) >= 2 AS foreign, string_agg(floor(cls * 1.5)::INTEGER::VARCHAR, ',' ORDER BY i) AS bright FROM cell GROUP BY vec_id"""
+SQL["q_normalised_pixels"] = PIXELS + "SELECT vec_id AS record_id, round(sum((cls * 60 / 255.0::DOUBLE - 0.485::DOUBLE) / 0.229::DOUBLE), 6) AS total FROM cell GROUP BY vec_id"
+SQL["q_centroid_cosine"] = MEANS + "SELECT vec_id, round(sum(x * m) / (sqrt(sum(x * x)) * sqrt(sum(m * m))), 6) AS cosine FROM px JOIN mean USING (label, i) GROUP BY vec_id"
+
+# --- records and their checks
+SQL["q_record_violations"] = """
+SELECT p_partkey::VARCHAR AS record_id, 'nowhere' AS node, 'taxonomy_labels: unknown' AS problem FROM part WHERE p_partkey % 4 = 1
+UNION ALL SELECT p_partkey::VARCHAR, 'grade/ferrous', 'taxonomy_labels: not on microconstituent' FROM part WHERE p_partkey % 4 = 2
+UNION ALL SELECT p_partkey::VARCHAR, 'ferrous/pearlite', 'alloy_grade: not on alloy_grade' FROM part WHERE p_partkey % 6 = 0
+UNION ALL SELECT p_partkey::VARCHAR, NULL, 'property_sources' FROM part WHERE p_partkey % 5 = 0"""
+SQL["q_metadata_records"] = """
+WITH m AS (SELECT *, CASE WHEN p_partkey % 9 <> 0 THEN p_size END AS key, 'image' || p_partkey AS stem FROM part),
+l AS (SELECT *, CASE WHEN key % 5 = 0 THEN '' ELSE 'L' || key % 10 END AS label FROM m),
+s AS (SELECT DISTINCT key, label FROM l WHERE key IS NOT NULL),
+g AS (SELECT key, CASE WHEN label = '' THEN 'uhcs-sample-' || min(key) OVER (PARTITION BY label) WHEN count(*) OVER (PARTITION BY label) > 1 THEN 'uhcs-samples-' || string_agg(key::VARCHAR, '-') OVER (PARTITION BY label ORDER BY key ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) ELSE 'uhcs-sample-' || key END AS group_id FROM s),
+h AS (SELECT 'L' || n_nationkey % 7 AS label, max(n_nationkey)::DOUBLE AS hardness FROM nation GROUP BY 1)
+SELECT 'uhcs-' || p_partkey AS record_id, coalesce(group_id, 'uhcs-orphan-' || p_partkey) AS group_id, round(p_size / nullif(p_partkey % 3, 0), 6) AS scale, CASE WHEN p_partkey % 2 = 0 THEN 'BSE' ELSE 'SE' END AS modality,
+    CASE WHEN p_partkey % 8 = 0 THEN 'ferrous/pearlite|ferrous/spheroidite' END AS labels, CASE WHEN p_partkey % 4 = 0 THEN '/masks/' || stem || '.png' END AS mask_path,
+    CASE WHEN p_partkey % 4 = 0 THEN 4 END::INTEGER AS classes, hardness, p_partkey::BIGINT AS record_ord FROM l LEFT JOIN g ON l.key = g.key LEFT JOIN h ON l.label = h.label AND l.key IS NOT NULL"""
+SQL["q_feature_merge"] = "SELECT p_partkey, p_size::DOUBLE AS a, CASE WHEN p_partkey % 2 = 0 THEN 2.0 ELSE 1.0 END::DOUBLE AS b, CASE WHEN p_partkey % 2 = 0 THEN 3.0 ELSE 4.0 END::DOUBLE AS c, 0.0::DOUBLE AS d FROM part"
+SQL["q_bounded_bool"] = "SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN true WHEN 1 THEN false END AS value FROM part"
+SQL["q_exact_condition"] = f"SELECT p_partkey, CASE WHEN p_partkey % 4 < 3 AND p_partkey % 5 <> 0 AND p_partkey % 7 <> 0 THEN CASE p_partkey % 3 WHEN 0 THEN '{WATER_QUENCH}/t800c_90m' WHEN 1 THEN '{WATER_QUENCH}/t970c_3h' END END AS node_id FROM part"

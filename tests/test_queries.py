@@ -40,3 +40,15 @@ def test_windowed_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.sql("SELECT sum(n) FROM totals").first()[0] == events.count()
+
+
+def test_stream_without_repeats(spark, tmp_path):
+    from ferrolith.streaming.events import distinct_events
+
+    events = spark.read.parquet(f"{SF}/events.parquet")
+    events.unionByName(events.limit(50)).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(events.schema).parquet(str(tmp_path / "in"))
+    q = distinct_events(stream).select("event_id").writeStream.outputMode("append").format("memory").queryName("once").start()
+    q.processAllAvailable()
+    q.stop()
+    assert spark.table("once").count() == events.select("event_id").distinct().count() == events.count()
