@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pathlib import Path
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +9,7 @@ from ferrolith.functions.text import sorted_labels, stem_of
 from ferrolith.operators import validation as V
 from ferrolith.operators.masks import class_channel
 from ferrolith.operators.vocabulary import CONDITION_AXIS, GRADE_AXIS, Vocabulary
-from ferrolith.session import is_folder, path_exists
+from ferrolith.session import hadoop_path, is_folder, path_exists
 from ferrolith.schemas import DISTANT, LOOKUP_COLUMNS, MANIFEST_COLUMNS, canonical
 
 # Image suffixes, and folders of masks in the order they are looked for.
@@ -68,7 +66,8 @@ def load_manifest(spark: SparkSession, path: str) -> DataFrame:
 
 def manifest_files(spark: SparkSession, root: str, manifest: DataFrame) -> DataFrame:
     """image_path, content of the files below root."""
-    prefix = Path(root).resolve().as_uri().replace("file://", "file:")
+    at, system = hadoop_path(spark, root)
+    prefix = system.makeQualified(at).toString()
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(str(root))
     return files.select(F.replace(F.regexp_replace("path", "^file:/+", "file:/"), F.lit(prefix + "/"), F.lit("")).alias("image_path"), "content")
 
