@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 from dataclasses import dataclass
@@ -84,6 +84,18 @@ def parts(batches: Iterator, rows: int = PART_ROWS) -> Iterator:
     give_back()
 
 
+#: The operator whose tasks this Python worker ran last, and what clears its caches.
+_worker: dict = {"operator": None, "clear": None}
+
+
+def take_worker(operator: str, clear: Callable[[], None] | None = None) -> None:
+    """Called at the start of a task: a worker is used again by later stages, and holds the caches of one operator at a time."""
+    if _worker["operator"] != operator and _worker["clear"]:
+        _worker["clear"]()
+        give_back()
+    _worker.update(operator=operator, clear=clear)
+
+
 def give_back() -> None:
     """Return freed memory of this Python worker to the system."""
     import ctypes

@@ -18,12 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ferrolith.llm.common import parts
+from ferrolith.llm.common import parts, take_worker
 
 SPACE = "▁"
 NORMAL, UNKNOWN, USER_DEFINED, UNUSED, BYTE = 1, 2, 4, 5, 6
 #: Segments that a worker remembers; beyond it the older half is forgotten.
-CACHE_SEGMENTS = 200_000
+CACHE_SEGMENTS = 600_000
 #: Longer segments are not kept, and use a heap for their agenda.
 LONG_SEGMENT = 64
 NO_MERGE = 1 << 60
@@ -168,19 +168,24 @@ def load_model(path: str) -> BpeModel:
 
 
 class SegmentCache:
-    """segment -> (number of ids, ids joined by commas, decoded text), in two generations of bounded size."""
+    """segment -> ids joined by commas, in two generations of bounded size.
+
+    A segment's decoded text is the segment with its spaces back, but for the few in `odd`.
+    """
 
     def __init__(self, model: BpeModel):
-        self.model, self.young, self.old = model, {}, {}
+        self.model, self.young, self.old, self.odd = model, {}, {}, {}
 
-    def learn(self, missing: list[str]) -> dict[str, tuple[int, str, str]]:
-        found = self.model.checked(missing, [self.model.segment_ids(s) for s in missing])
-        return {s: (len(ids), ",".join(map(str, ids)), self.model.decode_raw(ids)) for s, ids in zip(missing, found)}
+    def learn(self, missing: list[str]) -> None:
+        for s, ids in zip(missing, self.model.checked(missing, [self.model.segment_ids(s) for s in missing])):
+            self.young[s] = ",".join(map(str, ids))
+            if (raw := self.model.decode_raw(ids)) != s.replace(SPACE, " "):
+                self.odd[s] = raw
 
     def encode_batch(self, texts: list[str]) -> list[tuple[int, str, str]]:
         """Of each text the number of ids, the ids joined by commas and the decoded text."""
         split = [self.model.segments(t) for t in texts]
-        young, old, missing = self.young, self.old, {}
+        young, old, odd, missing = self.young, self.old, self.odd, {}
         for segments in split:
             for s in segments:
                 if s not in young:
@@ -188,18 +193,23 @@ class SegmentCache:
                         young[s] = hit
                     else:
                         missing[s] = None
-        learnt = self.learn(list(missing)) if missing else {}
-        young.update(learnt)
+        if missing:
+            self.learn(list(missing))
         out = []
         for segments in split:
-            counts, ids, raw = zip(*map(young.__getitem__, segments)) if segments else ((), (), ())
-            text = "".join(raw)
-            out.append((sum(counts), ",".join(ids), text[1:] if text.startswith(" ") else text))
-        for s in learnt:
+            ids = ",".join(map(young.__getitem__, segments))
+            if odd and not odd.keys().isdisjoint(segments):
+                raw = "".join([odd[s] if s in odd else s.replace(SPACE, " ") for s in segments])
+            else:
+                raw = "".join(segments).replace(SPACE, " ")
+            out.append((ids.count(",") + 1 if ids else 0, ids, raw[1:] if raw.startswith(" ") else raw))
+        for s in missing:
             if len(s) > LONG_SEGMENT:
                 del young[s]
+                odd.pop(s, None)
         if len(young) > CACHE_SEGMENTS // 2:
             self.old, self.young = young, {}
+            self.odd = {s: raw for s, raw in odd.items() if s in young}
         return out
 
 
@@ -234,6 +244,7 @@ def encode_documents(docs: DataFrame, model_path: str, with_ids: bool = False) -
     """
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_worker("sentencepiece", segment_cache.cache_clear)
         cache = segment_cache(model_path)
         for batch in parts(batches):
             rows: list[tuple] = []

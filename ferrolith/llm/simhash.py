@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ferrolith.llm.common import filter_bits, join_groups, keep_rows, materialize, parts, text_digest, text_or_empty
+from ferrolith.llm.common import filter_bits, join_groups, keep_rows, materialize, parts, take_worker, text_digest, text_or_empty
 from ferrolith.llm.components import components
 
 BYTES, SEED = 8, 42
@@ -64,6 +64,7 @@ def fingerprints(docs: DataFrame, words: int = 4, tagged: bool = False) -> DataF
     """doc_id, fp (the 64 bits as a signed number), and if tagged the text's digest, of every row."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_worker("simhash")
         for batch in parts(batches):
             found = pa.array(np.array([simhash(t, words) for t in batch.column(0).to_pylist()], np.uint64).view(np.int64))
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], found], names=[*batch.schema.names[1:], "fp"])
@@ -316,6 +317,7 @@ def set_prints(docs: DataFrame, words: int, tagged: bool = False) -> DataFrame:
     """doc_id, if tagged the text's digest, id (of the set of shingles), shingles (their number), keys of every row."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_worker("simhash")
         for batch in parts(batches):
             sets = [shingle_set(t, words) for t in batch.column(0).to_pylist()]
             keys = pa.array([list_keys(h) for h in sets], pa.list_(pa.int64()))

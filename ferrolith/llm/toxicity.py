@@ -13,12 +13,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ferrolith.llm.common import give_back, materialize, parts
+from ferrolith.llm.common import give_back, materialize, parts, take_worker
 
 WORD = re.compile(r"[^\W\d_]+")
 #: The classifier is fitted on about this many labelled rows at most, drawn by a hash of doc_id.
@@ -144,6 +143,7 @@ def count_tokens(rows: DataFrame) -> DataFrame:
     """token, fold, n_clean, n_toxic: documents of each class that hold the token; counted per task, then summed."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_worker("toxicity")
         for batch in parts(batches, COUNT_ROWS):
             counts: dict[tuple[str, int], list[int]] = {}
             for text, toxic, fold in zip(*(batch.column(c).to_pylist() for c in ("text", "toxic", "fold"))):
@@ -257,6 +257,7 @@ def score_documents(docs: DataFrame, model: ToxicityModel, threshold: float = TH
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most MODEL_TOKENS tokens
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_worker("toxicity")
         own = shared.value
         for batch in parts(batches):
             found = [own.probability(text) for text in batch.column("text").to_pylist()]
@@ -279,11 +280,12 @@ def clean_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRES
     """The rows of docs that score below the threshold, with their columns: each row by its own text, whatever its doc_id."""
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
 
-    @F.pandas_udf("boolean")
-    def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("boolean")
+    def clean(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        take_worker("toxicity")
         own = shared.value
         for texts in batches:
-            yield pd.Series([own.probability(text)[0] < threshold for text in texts], dtype=bool)
+            yield pa.array([own.probability(text)[0] < threshold for i in range(0, len(texts), COUNT_ROWS) for text in texts.slice(i, COUNT_ROWS).to_pylist()], pa.bool_())
         own.cache.clear()  # workers outlive the stage; what they hold is the next one's loss
         give_back()
 
