@@ -212,6 +212,18 @@ def test_pairs_from_the_bound_up_are_linked(spark, similarity):
     assert all(got[2 * i] == got[2 * i + 1] == 2 * i for i in range(60))
 
 
+def test_signatures_tally_positional_bytes(spark):
+    rng = np.random.default_rng(13)
+    a = rng.integers(-(2**63), 2**63, (50, simhash.SIGNATURE))
+    b = a.copy()
+    flat = b.view(np.uint8)
+    flat[rng.random(flat.shape) < 0.3] ^= np.uint8(rng.integers(1, 256))
+    names = [f"{s}{i}" for s in ("a", "b") for i in range(simhash.SIGNATURE)]
+    df = spark.createDataFrame([tuple(map(int, (*x, *y))) for x, y in zip(a, b)], ", ".join(f"{n} bigint" for n in names))
+    got = [r.n for r in df.select(simhash.shared_bytes("a", "b").alias("n")).collect()]
+    assert got == (a.view(np.uint8) == b.view(np.uint8)).sum(1).tolist()
+
+
 def test_pairs_below_the_bound_are_not_linked(spark):
     pairs = planted_pairs(0.78, 60)
     shared = " ".join(f"s{i}" for i in range(14))  # ten shingles that repeat, in texts that are otherwise different
