@@ -260,7 +260,7 @@ def q_metadata_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     measured = read(spark, sf_dir, "nation").select(F.concat(F.lit("L"), (F.col("n_nationkey") % 7).cast("string")).alias("sample_label"), F.col("n_nationkey").cast("double").alias("hardness_hv"), F.col("n_nationkey").alias("row"))
     there = parts.select(F.when(k % 4 == 0, stem).otherwise(F.concat(F.lit("other"), stem)).alias("stem"), F.concat(F.lit("/masks/"), stem, F.lit(".png")).alias("path"))
-    rows = metadata.metadata_records(meta, measured, there)
+    rows = metadata.metadata_records(meta, measured, there, name="lot")
     return rows.select("record_id", "group_id", r6("scale_um_per_px").alias("scale"), "modality", F.array_join("taxonomy_labels", "|").alias("labels"), "mask_path", F.size("mask_class_nodes").alias("classes"), F.col("properties")["hardness_hv"].alias("hardness"), "record_ord")
 
 

@@ -307,9 +307,9 @@ SQL["q_metadata_records"] = """
 WITH m AS (SELECT *, CASE WHEN p_partkey % 9 <> 0 THEN p_size END AS key, 'image' || p_partkey AS stem FROM part),
 l AS (SELECT *, CASE WHEN key % 5 = 0 THEN '' ELSE 'L' || key % 10 END AS label FROM m),
 s AS (SELECT DISTINCT key, label FROM l WHERE key IS NOT NULL),
-g AS (SELECT key, CASE WHEN label = '' THEN 'uhcs-sample-' || min(key) OVER (PARTITION BY label) WHEN count(*) OVER (PARTITION BY label) > 1 THEN 'uhcs-samples-' || string_agg(key::VARCHAR, '-') OVER (PARTITION BY label ORDER BY key ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) ELSE 'uhcs-sample-' || key END AS group_id FROM s),
+g AS (SELECT key, CASE WHEN label = '' THEN 'lot-sample-' || min(key) OVER (PARTITION BY label) WHEN count(*) OVER (PARTITION BY label) > 1 THEN 'lot-samples-' || string_agg(key::VARCHAR, '-') OVER (PARTITION BY label ORDER BY key ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) ELSE 'lot-sample-' || key END AS group_id FROM s),
 h AS (SELECT 'L' || n_nationkey % 7 AS label, max(n_nationkey)::DOUBLE AS hardness FROM nation GROUP BY 1)
-SELECT 'uhcs-' || p_partkey AS record_id, coalesce(group_id, 'uhcs-orphan-' || p_partkey) AS group_id, round(p_size / nullif(p_partkey % 3, 0), 6) AS scale, CASE WHEN p_partkey % 2 = 0 THEN 'BSE' ELSE 'SE' END AS modality,
+SELECT 'lot-' || p_partkey AS record_id, coalesce(group_id, 'lot-orphan-' || p_partkey) AS group_id, round(p_size / nullif(p_partkey % 3, 0), 6) AS scale, CASE WHEN p_partkey % 2 = 0 THEN 'BSE' ELSE 'SE' END AS modality,
     CASE WHEN p_partkey % 8 = 0 THEN 'ferrous/pearlite|ferrous/spheroidite' END AS labels, CASE WHEN p_partkey % 4 = 0 THEN '/masks/' || stem || '.png' END AS mask_path,
     CASE WHEN p_partkey % 4 = 0 THEN 4 END::INTEGER AS classes, hardness, p_partkey::BIGINT AS record_ord FROM l LEFT JOIN g ON l.key = g.key LEFT JOIN h ON l.label = h.label AND l.key IS NOT NULL"""
 SQL["q_feature_merge"] = "SELECT p_partkey, p_size::DOUBLE AS a, CASE WHEN p_partkey % 2 = 0 THEN 2.0 ELSE 1.0 END::DOUBLE AS b, CASE WHEN p_partkey % 2 = 0 THEN 3.0 ELSE 4.0 END::DOUBLE AS c, 0.0::DOUBLE AS d FROM part"
