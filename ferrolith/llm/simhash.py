@@ -317,16 +317,13 @@ def list_keys(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def shared_bytes(a, b):
-    """How many positional bytes two signatures share; a and b name their columns."""
-    lowest = F.lit(0x0101010101010101).cast("bigint")
-
-    def differing(i: int):
-        bits = F.col(f"{a}{i}").bitwiseXOR(F.col(f"{b}{i}"))
-        for n in (4, 2, 1):  # a byte's lowest bit gathers all its bits
-            bits = bits.bitwiseOR(F.shiftrightunsigned(bits, n))
-        return F.bit_count(bits.bitwiseAND(lowest))
-
-    return F.lit(8 * SIGNATURE) - sum((differing(i) for i in range(1, SIGNATURE)), differing(0))
+    """How many positional bytes the signatures in two columns share."""
+    gather = lambda n: lambda x: x.bitwiseOR(F.shiftrightunsigned(x, n))
+    bits = F.zip_with(a, b, lambda x, y: x.bitwiseXOR(y))
+    for n in (4, 2, 1):  # a byte's lowest bit gathers all its bits
+        bits = F.transform(bits, gather(n))
+    differing = F.aggregate(bits, F.lit(0), lambda n, x: n + F.bit_count(x.bitwiseAND(F.lit(0x0101010101010101).cast("bigint"))))
+    return F.lit(8 * SIGNATURE) - differing
 
 
 def set_prints(docs: DataFrame, words: int, tagged: bool = False) -> DataFrame:
@@ -397,10 +394,9 @@ def similar_links(docs: DataFrame, groups: DataFrame, words: int, similarity: fl
     blocks = F.ceil(F.col("n") / BLOCK)
     own, each = F.pmod(F.xxhash64("id"), blocks), F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1))
     mixed = mixed.join(groups.select("id", "marks"), "id")
-    signature = lambda name: [F.get("marks", F.lit(i)).alias(f"{name}{i}") for i in range(SIGNATURE)]
-    left = mixed.select("key", own.alias("block"), each.alias("other_block"), "id", "shingles", "root", *signature("mark"))
-    right = mixed.select("key", each.alias("block"), own.alias("other_block"), F.col("id").alias("other"), F.col("shingles").alias("other_shingles"), F.col("root").alias("other_root"), *signature("other_mark"))
-    enough = shared_bytes("mark", "other_mark") >= int(LEAST_SHARE * similarity * 8 * SIGNATURE)
+    left = mixed.select("key", own.alias("block"), each.alias("other_block"), "id", "shingles", "root", "marks")
+    right = mixed.select("key", each.alias("block"), own.alias("other_block"), F.col("id").alias("other"), F.col("shingles").alias("other_shingles"), F.col("root").alias("other_root"), F.col("marks").alias("other_marks"))
+    enough = shared_bytes("marks", "other_marks") >= int(LEAST_SHARE * similarity * 8 * SIGNATURE)
     met = left.join(right, ["key", "block", "other_block"]).filter((F.col("root") < F.col("other_root")) & able(F.col("shingles"), F.col("other_shingles")) & enough)
     rest = alike(met.select(*pair("id", "other")), sets, similarity)
     return roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(rest)

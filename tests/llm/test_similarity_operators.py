@@ -218,8 +218,7 @@ def test_signatures_tally_positional_bytes(spark):
     b = a.copy()
     flat = b.view(np.uint8)
     flat[rng.random(flat.shape) < 0.3] ^= np.uint8(rng.integers(1, 256))
-    names = [f"{s}{i}" for s in ("a", "b") for i in range(simhash.SIGNATURE)]
-    df = spark.createDataFrame([tuple(map(int, (*x, *y))) for x, y in zip(a, b)], ", ".join(f"{n} bigint" for n in names))
+    df = spark.createDataFrame([(x.tolist(), y.tolist()) for x, y in zip(a, b)], "a array<bigint>, b array<bigint>").coalesce(1)
     got = [r.n for r in df.select(simhash.shared_bytes("a", "b").alias("n")).collect()]
     assert got == (a.view(np.uint8) == b.view(np.uint8)).sum(1).tolist()
 
