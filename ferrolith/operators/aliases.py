@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ferrolith.functions.text import THERMAL_STEP, canonical_tokens, contains_phrase, count_temperatures
+from ferrolith.functions.text import THERMAL_STEP, bind, canonical_tokens, count_temperatures, padded, tokens_of
 
 # Spellings of grades and of conditions as sources write them, and exact thermal routes.
 GRADE_ALIASES = {
@@ -70,13 +70,19 @@ class AliasTableError(ValueError):
     """An alias without tokens, or one spelling with two targets."""
 
 
+def alias_phrases(aliases: dict[str, str]) -> dict[tuple[str, ...], str]:
+    """canonical tokens -> node id of a fixed table."""
+    found: dict[tuple[str, ...], str] = {}
+    for alias, node in sorted(aliases.items()):
+        phrase = tuple(tokens_of(alias))
+        if not phrase or found.setdefault(phrase, node) != node:
+            raise AliasTableError(f"alias {alias!r} is empty or has several targets")
+    return found
+
+
 def alias_frame(spark: SparkSession, aliases: dict[str, str]) -> DataFrame:
     """phrase (canonical tokens), node_id: one row for each distinct phrase."""
-    frame = spark.createDataFrame(list(aliases.items()), "alias string, node_id string").withColumn("phrase", canonical_tokens(F.col("alias")))
-    checked = frame.groupBy("phrase").agg(F.min("node_id").alias("node_id"), F.countDistinct("node_id").alias("targets"), F.min("alias").alias("alias"))
-    for row in checked.filter((F.col("targets") > 1) | (F.size("phrase") == 0)).orderBy("alias").limit(1).collect():
-        raise AliasTableError(f"alias {row.alias!r} is empty or has several targets")
-    return checked.select("phrase", "node_id")
+    return spark.createDataFrame([(list(p), n) for p, n in alias_phrases(aliases).items()], "phrase array<string>, node_id string")
 
 
 def check_alias_targets(aliases: dict[str, str], vocabulary, axis: str) -> None:
@@ -105,13 +111,20 @@ def normalize_strings(rows: DataFrame, key: str, column: str, spark: SparkSessio
 
 
 def match_column(raw: Column, aliases: dict[str, str]) -> tuple[Column, Column]:
-    """(node_id, ambiguous) as an expression over a fixed alias table, for use inside other projections."""
-    tokens = canonical_tokens(raw)
-    table = F.array(*[F.struct(canonical_tokens(F.lit(a)).alias("phrase"), F.lit(n).alias("node_id")) for a, n in aliases.items()])
-    hits = F.filter(table, lambda a: contains_phrase(tokens, a["phrase"]))
-    top = F.array_max(F.transform(hits, lambda a: F.size(a["phrase"])))
-    nodes = F.array_distinct(F.transform(F.filter(hits, lambda a: F.size(a["phrase"]) == top), lambda a: a["node_id"]))
-    return F.when(F.size(nodes) == 1, F.get(nodes, F.lit(0))), F.coalesce(F.size(nodes) > 1, F.lit(False))
+    """(node_id, ambiguous) as an expression over a fixed alias table, for use inside other projections.
+
+    The table is a literal; the tokens and the nodes found are bound once, so that the expression stays small where it is used. For
+    several fields or tables, `dictionary.string_dictionary` resolves each distinct string once instead.
+    """
+    table = F.array(*[F.struct(F.lit(" " + " ".join(p) + " ").alias("phrase"), F.lit(len(p)).alias("length"), F.lit(n).alias("node_id")) for p, n in alias_phrases(aliases).items()])
+    hits = bind(padded(canonical_tokens(raw)), lambda text: F.filter(table, lambda a: F.contains(text, a["phrase"])))
+
+    def longest(found: Column) -> Column:
+        top = F.array_max(F.transform(found, lambda a: a["length"]))
+        return bind(top, lambda n: F.array_distinct(F.transform(F.filter(found, lambda a: a["length"] == n), lambda a: a["node_id"])))
+
+    result = bind(bind(hits, longest), lambda nodes: F.struct(F.when(F.size(nodes) == 1, F.get(nodes, F.lit(0))).alias("node"), F.coalesce(F.size(nodes) > 1, F.lit(False)).alias("clash")))
+    return result["node"], F.coalesce(result["clash"], F.lit(False))
 
 
 def agree(raws: list[Column], aliases: dict[str, str]) -> tuple[Column, Column]:
@@ -127,7 +140,8 @@ def structured_condition(route: Column, temperature: Column, temperature_unit: C
     unit = F.upper(F.trim(hold_unit))
     minutes = F.when(unit == "M", hold).when(unit == "H", hold * 60)
     tokens = canonical_tokens(route)
-    whole = reduce(lambda a, b: a | b, [tokens == canonical_tokens(F.lit(a)) for a, n in CONDITION_ALIASES.items() if n == WATER_QUENCH])
+    routes = [F.array(*[F.lit(t) for t in p]) for p, n in alias_phrases(CONDITION_ALIASES).items() if n == WATER_QUENCH]
+    whole = bind(tokens, lambda t: reduce(lambda a, b: a | b, [t == r for r in routes]))
     leaf = F.lit(None).cast("string")
     for (celsius, held), name in EXACT_ROUTES.items():
         leaf = F.when((temperature == float(celsius)) & (minutes == float(held)), F.lit(f"{WATER_QUENCH}/{name}")).otherwise(leaf)

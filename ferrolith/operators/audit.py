@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ferrolith.functions.text import count_temperatures, thermal_signature
-from ferrolith.operators.aliases import CONDITION_ALIASES, GRADE_ALIASES, agree
+from ferrolith.operators.aliases import CONDITION_ALIASES, GRADE_ALIASES
+from ferrolith.operators.dictionary import resolve_fields
 
 # Cooling codes, and flags that block a sample.
 KNOWN_COOLING = ("WQ", "AR", "FC", "Q")
@@ -36,16 +37,10 @@ def audit_samples(samples: DataFrame, images: DataFrame) -> DataFrame:
     """
     label, cooling = F.coalesce("label", F.lit("")), F.col("cool_method")
     counted = image_counts(samples, images, "sample_id", "sample_key", "micrograph_id")
-    raws = [F.nullif(label, F.lit("")), cooling]
-    grade, grade_clash = agree(raws, GRADE_ALIASES)
-    condition, condition_clash = agree(raws, CONDITION_ALIASES)
+    counted = resolve_fields(counted, ["label", "cool_method"], {"grade_": GRADE_ALIASES, "condition_": CONDITION_ALIASES}, "bearers")
     unit = lambda c: F.nullif(F.upper(F.coalesce(c, F.lit(""))), F.lit(""))
-    keyed = counted.withColumns({"g": grade, "c": condition, "ambiguous": grade_clash | condition_clash, "temp_unit": unit(F.col("anneal_temp_unit")), "hold_unit": unit(F.col("anneal_time_unit"))})
-    keyed = keyed.withColumns({"alloy_grade": F.when(~F.col("ambiguous"), F.col("g")), "coarse_condition": F.when(~F.col("ambiguous"), F.col("c"))})
-    # Labels that several samples bear; blank ones, which may be most, are never counted nor met.
-    keyed = keyed.withColumn("label_key", F.nullif(label, F.lit("")))
-    shared = keyed.filter("label_key IS NOT NULL").groupBy("label_key").agg(F.count("*").alias("bearers")).filter("bearers > 1")
-    keyed = keyed.join(shared, "label_key", "left")
+    keyed = counted.withColumns({"ambiguous": F.col("grade_.ambiguous") | F.col("condition_.ambiguous"), "temp_unit": unit(F.col("anneal_temp_unit")), "hold_unit": unit(F.col("anneal_time_unit"))})
+    keyed = keyed.withColumns({"alloy_grade": F.when(~F.col("ambiguous"), F.col("grade_.node_id")), "coarse_condition": F.when(~F.col("ambiguous"), F.col("condition_.node_id"))})
     thermal = F.col("anneal_temperature").isNull() | F.col("anneal_time").isNull() | ~F.coalesce(F.col("temp_unit") == "C", F.lit(False)) | ~F.coalesce(F.col("hold_unit").isin("M", "H"), F.lit(False))
     flags = flag_list([
         ("ambiguous_alias", F.col("ambiguous")),
@@ -55,7 +50,7 @@ def audit_samples(samples: DataFrame, images: DataFrame) -> DataFrame:
         ("unspecified_quench_medium", cooling == "Q"),
         ("special_cooling_code", ~cooling.isin(*KNOWN_COOLING)),
         ("multi_step_label", count_temperatures(label) > 1),
-        ("duplicate_sample_label", F.col("bearers") > 1),
+        ("duplicate_sample_label", F.col("bearers")[0] > 1),
         ("no_micrographs", F.col("micrographs") == 0),
     ])
     done = keyed.withColumn("flags", flags).withColumn("temperature_c", F.when(F.col("temp_unit") == "C", F.col("anneal_temperature")))
@@ -89,7 +84,7 @@ def coarse_groups(audited: DataFrame) -> DataFrame:
 def exact_groups(audited: DataFrame) -> DataFrame:
     ready = audited.filter("status IN ('candidate', 'provisional') AND thermal_signature IS NOT NULL")
     return ready.groupBy("status", F.coalesce("alloy_grade", F.lit("")).alias("alloy_grade"), "thermal_signature").agg(
-        F.array_sort(F.collect_list("sample_id")).alias("sample_ids"), F.sum("micrographs").alias("micrographs"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("flags")))).alias("flags")
+        F.array_sort(F.collect_list("sample_id")).alias("sample_ids"), F.sum("micrographs").alias("micrographs"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("flags")))).alias("flags")
     ).orderBy("status", "alloy_grade", "thermal_signature")
 
 

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+#: Used by local sessions that name no shared folder.
+LOCAL_CHECKPOINT_DIR = "/tmp/checkpoints"
 
 
 def get_session(app: str = "ferrolith", **conf: str) -> SparkSession:
@@ -28,3 +33,22 @@ def path_exists(spark: SparkSession, path: str) -> bool:
 def is_folder(spark: SparkSession, path: str) -> bool:
     at, system = hadoop_path(spark, path)
     return system.exists(at) and system.getFileStatus(at).isDirectory()
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the driver and all executors see, from spark.checkpoint.dir. A cluster must name it; a local session gets one of our own."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(LOCAL_CHECKPOINT_DIR)
+        named = LOCAL_CHECKPOINT_DIR
+    return named.rstrip("/")
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """df written as a table in the shared folder and read back: lineage and plan end there, and lost executors cost no recomputation."""
+    path = f"{shared_dir(df.sparkSession)}/ferrolith/{df.sparkSession.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
