@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ferrolith.llm import exact_dedup, fingerprints, licenses, mixing, sentencepiece_bpe, sharding, simhash, suffix_dedup, toxicity, url_filter
+from ferrolith.llm import exact_dedup, fingerprints, licenses, lloyd, mixing, periodic_runs, sentencepiece_bpe, sharding, simhash, suffix_dedup, token_files, toxicity, url_filter
+from ferrolith.llm.common import scratch_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,6 +62,52 @@ def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def word_tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "token-files")
+    token_files.write_token_files(table(spark, sf_dir, "documents"), word_tokenizer(), path, end_id=2)
+    return token_files.read_documents(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def with_repeats(docs: DataFrame) -> DataFrame:
+    """doc_id and text; where crc32(doc_id) divides by ten, words from a place a on are repeated with a period. Null doc_ids stay as they are."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10)
+
+    def repeated(words):
+        n = F.size(words).cast("bigint")
+        a = F.pmod(g, n)
+        p = 1 + F.floor((n - a) / (3 + F.pmod(g, F.lit(8)))).cast("bigint")
+        place = F.struct(a.alias("a"), p.alias("p"))
+        at = lambda x: F.transform(words, lambda w, i: F.when(i < x["a"], w).otherwise(F.get(words, (x["a"] + F.pmod(i - x["a"], x["p"])).cast("int"))))
+        return F.when(n > 0, F.array_join(F.get(F.transform(F.array(place), at), F.lit(0)), " "))
+
+    words = F.regexp_extract_all("text", F.lit("[^\\x20\\x09-\\x0D]+"), F.lit(0))
+    changed = F.get(F.transform(F.array(words), repeated), F.lit(0))  # so that words are cut once
+    return docs.select("doc_id", F.when(F.pmod(h, F.lit(10)) == 0, F.coalesce(changed, F.col("text"))).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.collapse_runs(with_repeats(table(spark, sf_dir, "documents")))
+    # Runs are in the order of start, then period: the first of the longest is the one reported.
+    longest = F.array_max(F.transform("runs", lambda r, i: F.struct(r["length"].alias("length"), (-r["start"]).alias("before"), (-r["period"]).alias("period"))))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    start, length, period = -F.col("best.before"), F.col("best.length"), -F.col("best.period")
+    return found.withColumn("best", longest).select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"), start.alias("start"), length.alias("length"), period.alias("period"),
+        F.floor(1000 * length / period).cast("bigint").alias("exponent_milli"), F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lloyd.cluster_report(*lloyd.lloyd(table(spark, sf_dir, "embeddings"), clusters=40, rounds=5, seed=2))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": op1_url_filters,
     "op2_exact_dedup": op2_exact_dedup,
@@ -71,6 +119,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_mixing": op9_mixing,
     "op10_license_scans": op10_license_scans,
+    "op11_token_files": op11_token_files,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_lloyd": op13_lloyd,
 }
 
 
@@ -122,8 +173,32 @@ OP9_SQL = """
         (CASE WHEN k.source_size > 0 THEN least(k.copies + more.one, 3) ELSE 0 END)::BIGINT AS copies
     FROM d JOIN k ON d.source IS NOT DISTINCT FROM k.source JOIN more ON d.source IS NOT DISTINCT FROM more.source AND d.h = more.h"""
 
+
+def _op13_sql(rounds: int = 5) -> str:
+    """Each round as long tables of components: distances by a join over dimensions, then floors of integer means."""
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""
+    d{r} AS (SELECT x.rid, y.c, sum((x.v - y.v) * (x.v - y.v))::BIGINT AS d FROM x JOIN c{r} y USING (i) GROUP BY ALL),
+    a{r} AS (SELECT rid, arg_min(c, (d, c)) AS c, min(d) AS d FROM d{r} GROUP BY rid)""")
+        if r < rounds:
+            steps.append(f"""
+    s{r} AS (SELECT a.c, x.i, sum(x.v)::BIGINT AS s, count(*) AS n FROM a{r} a JOIN x USING (rid) GROUP BY ALL),
+    c{r + 1} AS (SELECT y.c, y.i, CASE WHEN n IS NULL THEN y.v ELSE (s - ((s % n) + n) % n) // n END AS v FROM c{r} y LEFT JOIN s{r} USING (c, i))""")
+    return f"""
+    WITH q AS (SELECT vec_id, row_number() OVER () AS rid, list_transform(embedding, lambda e: floor(256 * e::DOUBLE)::BIGINT) AS v FROM embeddings
+        WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0),
+    first AS (SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id) NULLS LAST, v) - 1 AS c, v FROM q QUALIFY c < 40),
+    x AS (SELECT rid, unnest(range(64)) AS i, unnest(v) AS v FROM q),
+    c0 AS (SELECT c, unnest(range(64)) AS i, unnest(v) AS v FROM first),{",".join(steps)},
+    h AS (SELECT c, sha256(string_agg(v::VARCHAR, ',' ORDER BY i)) AS centroid_sha256 FROM c{rounds} GROUP BY c)
+    SELECT vec_id, c::INT AS cluster, d AS distance, (sum(d) OVER (PARTITION BY c))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia, centroid_sha256
+    FROM a{rounds} JOIN q USING (rid) JOIN h USING (c)"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "op1_url_filters": _op1_sql(),
     "op2_exact_dedup": OP2_SQL,
     "op9_mixing": OP9_SQL,
+    "op13_lloyd": _op13_sql(),
 }
