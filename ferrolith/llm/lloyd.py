@@ -74,7 +74,8 @@ def _sums(shared) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
             for k in np.unique(cluster):
                 totals[k] += block[cluster == k].sum(axis=0)
         there = np.flatnonzero(counts)
-        yield pd.DataFrame({"cluster": there, "n": counts[there], "sums": list(totals[there])})
+        if len(there):
+            yield pd.DataFrame({"cluster": there, "n": counts[there], "sums": list(totals[there])})
         give_back()
 
     return summed
