@@ -10,6 +10,8 @@ chunks in order and puts documents together again; a range of ids needs only the
 from __future__ import annotations
 
 import itertools
+import json
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -23,10 +25,10 @@ from ferrolith.llm.common import PART_ROWS, parts, take_worker
 
 #: Ids in a chunk.
 BLOCK_IDS = 65_536
-#: Words that a worker remembers with their ids; then it begins anew.
-CACHE_WORDS = 400_000
-#: Longer words are not kept.
-LONG_WORD = 64
+#: Parts of texts that a worker remembers with their ids.
+CACHE_PARTS = 800_000
+#: Longer parts are not kept.
+LONG_PART = 64
 ZSTD_LEVEL = 3
 
 CHUNK = "shard int, chunk int, n_ids int, width int, planes array<binary>, doc_ids array<bigint>, doc_tokens array<bigint>"
@@ -56,48 +58,91 @@ def from_planes(planes: list[bytes], n: int, width: int) -> np.ndarray:
     return np.ascontiguousarray(flat).view(f"<u{width}").reshape(n)
 
 
+# Fixed value: how the supported files cut a normalised text.
+PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Characters whose kind is known here: printable ASCII in lower case, and the letters among U+00C0 to U+00FF in UTF-8.
+_LATIN = rb"\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]"
+PRINTABLE = re.compile(rb"[\x21-\x7e]+")
+#: A text's parts: letters up to a word's end (most words, so they come first), whole words with any other character, and of all
+#: other words their pre-tokens.
+PARTS = re.compile(
+    rb"[a-z]++(?=[.,;:!?]?(?:\s|\Z))|(?<!\S)(?:[\x21-\x7e]++|" + _LATIN + rb")*+[^\x21-\x7e\s]\S*+"
+    rb"|'s|'t|'re|'ve|'m|'ll|'d|[a-z]*+(?:" + _LATIN + rb"[a-z]*+)++|[a-z]++|[0-9]|[\x21-\x2f\x3a-\x60\x7b-\x7e]++"
+)
+
+
+class Generations:
+    """A bounded cache in two halves: when the young one is full, the old one is forgotten."""
+
+    def __init__(self, size: int):
+        self.size, self.young, self.old = size, {}, {}
+
+    def missing(self, keys: set[bytes]) -> list[bytes]:
+        """The keys that are unknown; known ones of the old half become young again."""
+        out = []
+        for k in keys.difference(self.young):
+            if (hit := self.old.get(k)) is not None:
+                self.young[k] = hit
+            else:
+                out.append(k)
+        return out
+
+    def shrink(self) -> None:
+        if len(self.young) > self.size // 2:
+            self.old, self.young = self.young, {}
+
+
 class WordEncoder:
-    """Ids of whole texts from a tokenizers file, word by word.
+    """Ids of whole texts from a tokenizers file, part by part.
 
-    The file's normaliser and pre-tokeniser never join across white space: texts are cut at ASCII blanks, each new word is
-    encoded by the library, and its ids are remembered. Other kinds of files are refused and must be encoded as whole texts.
+    Files with PRE_TOKENS in lower case never join across white space, and case of ASCII letters is nothing to them: texts are cut
+    into PARTS, and each part's ids are remembered. New pre-tokens of ASCII go to the library's model, other parts through the
+    whole library, and so do whole texts that may hold a special token. With other files all whole texts do.
     """
 
     def __init__(self, path: str):
-        import json
-
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        kinds = [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])]
-        splits = [t for t in (spec["pre_tokenizer"] or {}).get("pretokenizers", []) if t["type"] == "Split" and t["behavior"] == "Removed" and t["invert"]]
-        drops_blanks = any(t["pattern"].get("Regex", "").endswith(r"[^\s\p{L}\p{N}]+") for t in splits)
-        marks = [t["content"] for t in spec["added_tokens"]]
-        loose = any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in spec["added_tokens"]) or any(c.isspace() for m in marks for c in m)
-        self.by_word = set(kinds) <= {"NFC", "Replace", "Lowercase"} and drops_blanks and not loose and spec["model"]["type"] == "BPE"
+        normal = (spec["normalizer"] or {}).get("normalizers", [])
+        steps = (spec["pre_tokenizer"] or {}).get("pretokenizers", [])
+        split = {"type": "Split", "pattern": {"Regex": PRE_TOKENS}, "behavior": "Removed", "invert": True}
+        own = [n["type"] for n in normal] == ["NFC", "Replace", "Lowercase"] and len(steps) == 2 and steps[0] == split and steps[1]["type"] == "ByteLevel" and not steps[1]["add_prefix_space"]
+        self.marks = [t["content"].encode() for t in spec["added_tokens"]]
+        plain = not any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] or not t["content"].startswith("<|") for t in spec["added_tokens"])
+        self.by_word = own and plain and not any(len(m.split()) != 1 for m in self.marks)
         self.library = Tokenizer.from_file(path)
         self.width = 2 if self.library.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
-        self.cache: dict[bytes, bytes] = {}
+        self.known = Generations(CACHE_PARTS)
 
     def _asked(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, f"<u{self.width}").tobytes() for e in self.library.encode_batch(texts, add_special_tokens=False)]
+        return [np.array(e.ids, f"<u{self.width}").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, missing: list[bytes]) -> None:
+        other, known, width, tokenize = [], self.known.young, self.width, self.library.model.tokenize
+        for p in missing:
+            if PRINTABLE.fullmatch(p):
+                known[p] = b"".join([t.id.to_bytes(width, "little") for t in tokenize(p.decode())])
+            else:
+                other.append(p)
+        for i in range(0, len(other), 10_000):
+            part = other[i : i + 10_000]
+            known.update(zip(part, self._asked([p.decode() for p in part])))
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Of each text its ids as little-endian bytes, `width` for each id."""
-        if not self.by_word:
-            return self._asked([t.decode() for t in texts])
-        split, known = [t.split() for t in texts], self.cache
-        missing = list({w for words in split for w in words if w not in known})
-        for i in range(0, len(missing), 10_000):
-            part = missing[i : i + 10_000]
-            known.update(zip(part, self._asked([w.decode() for w in part])))
-        out = [b"".join(map(known.__getitem__, words)) for words in split]
-        for w in missing:
-            if len(w) > LONG_WORD:
-                del known[w]
-        if len(known) > CACHE_WORDS:
-            known.clear()
+        whole = [i for i, t in enumerate(texts) if not self.by_word or b"<|" in t]
+        asked = dict(zip(whole, self._asked([texts[i].decode() for i in whole])))
+        cut = [() if i in asked else PARTS.findall(t.lower()) for i, t in enumerate(texts)]
+        missing = self.known.missing(set().union(*cut))
+        self._learn(missing)
+        known = self.known.young
+        out = [asked[i] if i in asked else b"".join(map(known.__getitem__, c)) for i, c in enumerate(cut)]
+        for p in missing:
+            if len(p) > LONG_PART:
+                del known[p]
+        self.known.shrink()
         return out
 
 
@@ -133,7 +178,7 @@ def _chunk_batch(shard: int, chunks: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds)], names=["shard", "chunk", "n_ids", "width", "planes", "doc_ids", "doc_tokens"])
 
 
-def write_token_files(docs: DataFrame, tokenizer_path: str, path: str, end_id: int = 2, block_ids: int = BLOCK_IDS, bits: bool = True) -> None:
+def write_token_files(docs: DataFrame, tokenizer_path: str, path: str, end_id: int = 2, block_ids: int = BLOCK_IDS, bits: bool = False) -> None:
     """Encode every whole text of docs (null: empty), put end_id behind each document, and write all ids in ascending doc_id order.
 
     Null doc_ids come first; rows with one doc_id are in the order of their texts' hashes. Repeated rows are written each, in
