@@ -16,7 +16,7 @@ GALLERY_BLOCK = 4096
 
 
 def leave_block_out_mean(rows: DataFrame, block: str, value: str) -> DataFrame:
-    """rows with p: the mean of all other blocks. Sums by block, then one total."""
+    """rows with p: the mean of all other blocks. Sums by block, then one total. Rows without a block are a block of their own."""
     sums = rows.groupBy(block).agg(F.sum(value).alias("s"), F.count(value).alias("n"))
     total = sums.agg(F.sum("s").alias("ts"), F.sum("n").alias("tn"))
     means = sums.crossJoin(total).select(block, F.try_divide(F.col("ts") - F.col("s"), F.col("tn") - F.col("n")).alias("p"))  # total: one row
@@ -88,6 +88,18 @@ def ridge(x: np.ndarray, y: np.ndarray, alpha: float) -> tuple[np.ndarray, np.nd
     return mean, scale, w, float(y.mean())
 
 
+def fit_ridge(rows: DataFrame, features: list[str], target: str, alpha: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """The same over a table, from its moments: one aggregation, whose width squared numbers are all that the driver sees."""
+    k = len(features)
+    x, y = [F.col(f).cast("double") for f in features], F.col(target).cast("double")
+    m = rows.filter(F.col(target).isNotNull()).agg(F.count("*"), F.array(*[F.avg(c) for c in (*x, y)]), F.array(*[F.covar_pop(a, b) for a in x for b in x]), F.array(*[F.covar_pop(a, y) for a in x])).first()
+    n, mean, xx, xy = m[0], np.array(m[1]), np.array(m[2]).reshape(k, k), np.array(m[3])
+    scale = np.sqrt(np.maximum(np.diag(xx), 0))
+    scale = np.where(scale <= 1e-12 * np.maximum(np.abs(mean[:k]), 1e-300), 1.0, scale)
+    w = np.linalg.solve(n * xx / np.outer(scale, scale) + alpha * np.eye(k), n * xy / scale)
+    return mean[:k], scale, w, float(mean[k])
+
+
 def leave_one_out_ridge(rows: DataFrame, group: str, key: str, features: list[str], target: str, alpha: float = 1.0) -> DataFrame:
     """group, key, y, p: each row's prediction by a ridge fitted on its group's other rows; groups under three rows go.
 

@@ -9,7 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ferrolith.operators import evaluation, metrics
+from ferrolith.operators import boosting, evaluation, metrics
+from ferrolith.operators.boosting import EQUAL_GAIN
 from ferrolith.operators.prediction import HeadRegistry
 from ferrolith.operators.records import feature_names, training_table
 from ferrolith.operators.weak_labels import first_value_by_group, in_scope
@@ -18,7 +19,7 @@ from ferrolith.sinks import load_head, save_head
 # The ridge penalty, and the trees' number, shrinkage and depth.
 RIDGE, TREES, SHRINKAGE, DEPTH = 1.0, 100, 0.1, 3
 LEAST_ROWS = 3
-#: Trees are fitted once for each row left out. A table of groups is small; a larger one than this needs fewer groups or the linear head alone.
+#: Up to so many rows, a task fits the trees of one left-out row from a copy of the table; larger tables go through histograms.
 MOST_TREE_ROWS = 2000
 
 
@@ -36,7 +37,7 @@ def split_at(x: np.ndarray, r: np.ndarray) -> tuple[float, int, float]:
         apart = sums[at] / left - (sums[-1] - sums[at]) / (n - left)
         gain = left * (n - left) / n * apart * apart
         k = int(gain.argmax())
-        if gain[k] > best[0] * (1 + 1e-12):
+        if gain[k] > best[0] * (1 + EQUAL_GAIN):
             best = (float(gain[k]), j, float(v[at[k]] / 2 + v[at[k] + 1] / 2))
     return best
 
@@ -75,10 +76,10 @@ def tree_values(head: dict, x: np.ndarray) -> np.ndarray:
 
 
 def leave_one_out_trees(table: DataFrame, key: str, features: list[str], target: str) -> DataFrame:
-    """key, y, p: each row's prediction by trees fitted on all others. One fit for each row, dealt out over all tasks."""
+    """key, y, p: each row's prediction by trees fitted on all others, whose fits are dealt out over tasks or waves (see boosting)."""
     rows = table.select(key, *features, target).orderBy(key).limit(MOST_TREE_ROWS + 1).toPandas()
     if len(rows) > MOST_TREE_ROWS:
-        raise ValueError(f"trees are compared on {MOST_TREE_ROWS} rows at most; aggregate to groups, or fit the linear head alone")
+        return boosting.leave_folds_out(table, key, key, features, target, TREES, SHRINKAGE, DEPTH)
     x, y, keys = rows[features].to_numpy(float), rows[target].to_numpy(float), rows[key].tolist()
 
     def folds(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -108,13 +109,14 @@ def fit_head(table: DataFrame, key: str, features: list[str], target: str) -> di
         raise ValueError(f"leave-one-out needs {LEAST_ROWS} rows at least, not {n}")
     found = {r.model: r.asDict() for r in scores(table, key, features, target).collect()}
     best = min(("linear", "trees"), key=lambda m: found[m]["mae"])
-    rows = table.select(*features, target).toPandas()  # MOST_TREE_ROWS at most
-    x, y = rows[features].to_numpy(float), rows[target].to_numpy(float)
     if best == "linear":
-        mean, scale, w, b = evaluation.ridge(x, y, RIDGE)
+        mean, scale, w, b = evaluation.fit_ridge(table, features, target, RIDGE)
         head = {"kind": "linear", "mean": mean.tolist(), "scale": scale.tolist(), "weights": w.tolist(), "intercept": b}
+    elif n > MOST_TREE_ROWS:
+        head = boosting.fit(table, features, target, TREES, SHRINKAGE, DEPTH)
     else:
-        head = fit_trees(x, y)
+        rows = table.select(*features, target).toPandas()  # MOST_TREE_ROWS at most
+        head = fit_trees(rows[features].to_numpy(float), rows[target].to_numpy(float))
     return head | {"features": features, "n": n, "scores": found}
 
 

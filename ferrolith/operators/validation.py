@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ferrolith.session import materialize
+
 # Units, levels and domains.
 PROPERTY_UNITS = {"hardness_hv": "HV"}
 CONFIDENCE_LEVELS = ("low", "medium", "high")
@@ -100,11 +102,27 @@ def duplicates(rows: DataFrame, keys: list[str], row: str = "row") -> DataFrame:
     return rows.withColumn("first_row", F.first(row).over(w)).filter(F.col(row) != F.col("first_row")).select(row, "first_row", *keys)
 
 
+def with_previous(rows: DataFrame, keys: list[str], row: str, value: Column) -> DataFrame:
+    """keys, row, value and before: the value of the key's previous row by `row`, null at its first. value is a struct.
+
+    Rows are dealt by ranges of (keys, row), so that a key with most rows is many tasks' work. A row's predecessor is found within
+    its range; a range's first row of a key takes it from the key's last row in an earlier range, of which there is one for each range.
+    """
+    chosen = rows.select(F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)]).alias("key"), F.col(row).alias("row"), value.alias("value"))
+    dealt = materialize(chosen.repartitionByRange("key", "row").withColumn("part", F.spark_partition_id()), "ranges")
+    inside = Window.partitionBy("key", "part").orderBy("row")
+    near = dealt.withColumns({"lagged": F.lag("value").over(inside), "place": F.row_number().over(inside)})
+    lasts = dealt.groupBy("key", "part").agg(F.max_by("value", "row").alias("last"))
+    carried = lasts.select("key", "part", F.lag("last").over(Window.partitionBy("key").orderBy("part")).alias("carried")).filter("carried IS NOT NULL")
+    # near lies by (key, part) already; of carried there are as many rows as ranges and keys.
+    found = near.join(carried, ["key", "part"], "left").withColumn("before", F.when(F.col("place") == 1, F.col("carried")).otherwise(F.col("lagged")))
+    return found.select(*[F.col(f"key.k{i}").alias(k) for i, k in enumerate(keys)], F.col("row").alias(row), "value", "before")
+
+
 def dependency_violations(rows: DataFrame, keys: list[str], columns: list[str], row: str = "row") -> DataFrame:
-    """Rows whose columns differ from the previous row of the same key."""
-    signature = F.struct(*columns)
-    before = F.lag(signature).over(Window.partitionBy(*keys).orderBy(row))
-    return rows.withColumn("before", before).filter(F.col("before").isNotNull() & ~F.col("before").eqNullSafe(signature)).select(row, *keys)
+    """Rows whose columns differ from the previous row of the same key. Null keys are a key as well."""
+    found = with_previous(rows, keys, row, F.struct(*columns))
+    return found.filter(F.col("before").isNotNull() & ~F.col("before").eqNullSafe(F.col("value"))).select(row, *keys)
 
 
 def hash_violations(manifest: DataFrame, files: DataFrame, row: str = "row") -> DataFrame:
@@ -125,8 +143,8 @@ def raise_first(found: DataFrame, where: str, row: str = "row") -> None:
         raise ValidationError(f"{where} row {v[row]}: {v['message']}")
 
 
-def source_orphans(records: DataFrame) -> DataFrame:
-    """record_id and what is wrong of records whose property sources have no property, or an unknown source."""
+def odd_sources() -> Column:
+    """Have property sources no property, or an unknown source?"""
     orphans = F.array_except(F.map_keys("property_sources"), F.map_keys("properties"))
     odd = F.filter(F.map_values("property_sources"), lambda s: ~s.isin("measured", "distant"))
-    return records.select("record_id", orphans.alias("orphans"), odd.alias("unknown_sources")).filter((F.size("orphans") > 0) | (F.size("unknown_sources") > 0))
+    return (F.size(orphans) > 0) | (F.size(odd) > 0)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ferrolith.functions import text as T
 from ferrolith.functions import vectors as vec
-from ferrolith.operators import aliases, audit, conformal, evaluation, heads, masks, metrics, prediction, ranking, records, splits, training, validation, vocabulary, weak_labels
+from ferrolith.operators import aliases, audit, boosting, conformal, evaluation, heads, masks, metrics, prediction, ranking, records, splits, training, validation, vocabulary, weak_labels
 from ferrolith.sources import metadata, registry
 from ferrolith.schemas import canonical, evaluation_block, group_or_record, join_key, physical_scale
 
@@ -750,6 +750,13 @@ def q_gbt_head(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.fit_tree_head(rows, ["x1", "x2"], "y").transform(rows).select("p_partkey", r6("p").alias("p"))
 
 
+@query
+def q_boosted_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every part's value by trees fitted on all other brands, all brands at once."""
+    rows = part_values(spark, sf_dir)
+    return boosting.leave_folds_out(rows, "p_partkey", "p_brand", ["x1", "x2"], "y", trees=5, rate=heads.SHRINKAGE, depth=heads.DEPTH).select("p_partkey", r6("p").alias("p"))
+
+
 @query
 def q_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "orders").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(10).select("o_orderkey", "o_totalprice")

@@ -221,11 +221,11 @@ def test_model_table_and_cache(spark, tmp_path):
 
 def test_configuration(tmp_path):
     f = tmp_path / "c.toml"
-    f.write_text('data_dir = "d"\nadapters = ["a", "b"]\nlr = 0.1\ntaxonomy_path = "t.json"\n')
+    f.write_text('data_dir = "d"\nadapters = ["a", "b"]\nrouter_alpha = 0.2\n')
     c = Config.load(f)
-    assert str(c.place("features")) == "d/features.csv" and c.adapters == ("a", "b") and c.lr == 0.1 and c.taxonomy_path.name == "t.json"
+    assert str(c.place("features")) == "d/features.csv" and c.adapters == ("a", "b") and c.router_alpha == 0.2 and c.seed == 42
     assert Config.load().place("heads").parts == ("checkpoints", "heads")
-    for bad in ("colour = 1", 'encoder_weights = "mine"'):
+    for bad in ("colour = 1", 'min_confidence = "mine"'):
         f.write_text(bad)
         with pytest.raises(ValueError):
             Config.load(f)

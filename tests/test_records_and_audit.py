@@ -85,6 +85,26 @@ def test_duplicates_and_dependencies(spark):
     assert [r.row for r in V.dependency_violations(df, ["k"], ["v"]).collect()] == [3]
 
 
+def test_previous_rows_of_a_hot_key(spark):
+    """Nine of ten rows have one key; its rows lie in several ranges, and the first of each takes its predecessor from the range before."""
+    rows = [(i, None if i % 30 == 7 else "hot" if i % 10 else f"k{i % 3}", None if i % 7 == 0 else f"v{i // 97}", f"w{i % 2}") for i in range(4000)]
+    df = spark.createDataFrame(rows, "row long, k string, v string, w string").repartition(5)
+    expected, last = set(), {}
+    for i, k, v, w in rows:
+        expected.add((k, i, (v, w), last.get(k)))
+        last[k] = (v, w)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = V.with_previous(df, ["k"], "row", F.struct("v", "w"))
+        got = [(r.k, r.row, tuple(r.value), r.before and tuple(r.before)) for r in found.collect()]
+        violations = {r.row for r in V.dependency_violations(df, ["k"], ["v"]).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(got) == len(rows) and set(got) == expected
+    assert violations == {i for k, i, (v, _), before in expected if before and before[0] != v}
+    assert V.dependency_violations(df.limit(0), ["k"], ["v"]).count() == 0
+
+
 def test_sqlite_and_records(spark, tmp_path):
     path = tmp_path / "m.sqlite"
     with sqlite3.connect(path) as db:
