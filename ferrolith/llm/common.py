@@ -21,7 +21,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that every executor sees. A cluster must name it; a local session that names none gets one of our own."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
-        if not spark.sparkContext.master.startswith("local"):
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
             raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(LOCAL_CHECKPOINT_DIR)
         named = LOCAL_CHECKPOINT_DIR
@@ -161,11 +162,10 @@ class BitFilter:
         """rows with the boolean `flag`: false only if the column's value is not among the keys. Broadcasts the bits."""
         place = F.pmod(F.xxhash64(self.column), F.lit(self.size))
         row, bit = F.floor(place / FILTER_ROW_BITS).cast("int"), F.pmod(place, F.lit(FILTER_ROW_BITS))
-        byte = F.conv(F.hex(F.substring(F.col("filter_bits_"), F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+        byte = F.conv(F.hex(F.substring(F.col("__bits.filter_bits"), F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
         there = F.coalesce(F.getbit(byte, F.pmod(bit, F.lit(8)).cast("int")) == 1, F.lit(False))
-        bits = self.bits.select(F.col("filter_row").alias("filter_row_"), F.col("filter_bits").alias("filter_bits_"))
-        met = rows.withColumn("filter_row_", row).join(F.broadcast(bits), "filter_row_", "left")
-        return met.withColumn(flag, there).drop("filter_row_", "filter_bits_")
+        bits = self.bits.select(F.struct("filter_row", "filter_bits").alias("__bits"))
+        return rows.join(F.broadcast(bits), row == F.col("__bits.filter_row"), "left").withColumn(flag, there).drop("__bits")
 
 
 def build_filter(keys: DataFrame, column: str) -> BitFilter:
@@ -190,20 +190,18 @@ def keep_rows(docs: DataFrame, touched: DataFrame, stay: DataFrame) -> DataFrame
     aren't moved; of the others, those that another filter lets pass are combined by pair within each task and meet their pair
     once, so that neither a text nor a pair with many rows makes a large group.
     """
-    columns = docs.columns
-    digest = docs.withColumns({"digest_": text_digest(), "pair_id_": F.col("doc_id").cast("bigint")})
-    marked = build_filter(touched.select(F.col("digest").alias("digest_")), "digest_").mark(digest, "touched_")
-    pair = F.xxhash64("digest_", F.coalesce(F.col("pair_id_").cast("string"), F.lit("null")))
-    pairs = stay.select(F.col("digest").alias("digest_"), F.col("doc_id").cast("bigint").alias("pair_id_")).withColumn("pair_", pair)
-    pairs = materialize(pairs, "pairs-that-stay")
-    likely = build_filter(pairs, "pair_").mark(marked.filter("touched_").withColumn("pair_", pair), "likely_").filter("likely_")
-    one = likely.groupBy("digest_", "pair_id_").agg(F.first(F.struct(*[F.col(f"`{c}`") for c in columns])).alias("row_"))
-    known = pairs.select(F.col("digest_").alias("known_"), F.col("pair_id_").alias("known_id_"))
-    met = one.join(known, (F.col("digest_") == F.col("known_")) & F.col("pair_id_").eqNullSafe(F.col("known_id_")), "left_semi")
+    # The caller's row is one column, so that none of its names can meet those used here.
+    digest = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), text_digest().alias("digest"), F.col("doc_id").cast("bigint").alias("pair_id"))
+    marked = build_filter(touched.select("digest"), "digest").mark(digest, "touched")
+    pair = F.xxhash64("digest", F.coalesce(F.col("pair_id").cast("string"), F.lit("null")))
+    pairs = materialize(stay.select("digest", F.col("doc_id").cast("bigint").alias("pair_id")).withColumn("pair", pair), "pairs-that-stay")
+    likely = build_filter(pairs, "pair").mark(marked.filter("touched").withColumn("pair", pair), "likely").filter("likely")
+    one = likely.groupBy("digest", "pair_id").agg(F.first("row").alias("row"))
+    known = pairs.select(F.col("digest").alias("known"), F.col("pair_id").alias("known_id"))
+    met = one.join(known, (F.col("digest") == F.col("known")) & F.col("pair_id").eqNullSafe(F.col("known_id")), "left_semi")
     # Rows that the first filter couldn't clear although no decision was taken about their text.
-    all_touched = touched.select(F.col("digest").alias("digest_")).distinct()
-    missed = marked.filter("touched_").join(all_touched, "digest_", "left_anti")
-    return marked.filter("NOT touched_").select(*columns).unionByName(missed.select(*columns)).unionByName(met.select("row_.*"))
+    missed = marked.filter("touched").join(touched.select("digest").distinct(), "digest", "left_anti")
+    return marked.filter("NOT touched").select("row.*").unionByName(missed.select("row.*")).unionByName(met.select("row.*"))
 
 
 def filter_bits(keys: DataFrame, column: str):

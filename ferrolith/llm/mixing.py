@@ -127,8 +127,9 @@ def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS) -> Da
     """The rows of docs as often as the mix takes them, with their columns. Documents without words are left out."""
     sized = sized_documents(docs)
     limits = thresholds(sized, materialize(source_targets(sized, weights), "mix-targets"))
-    limits = limits.select(F.col("source").alias("__source"), F.col("copies").alias("__copies"), F.col("below").alias("__below"), F.col("source_size").alias("__size"))
-    hashed = docs.withColumn("__rank", mixing_hash(F.col("doc_id"), F.col("text")))
-    joined = hashed.join(limits, F.col("source").cast("string").eqNullSafe(F.col("__source")))
-    times = F.least(F.col("__copies") + (F.col("__rank") < F.col("__below")).cast("bigint"), F.lit(MOST_COPIES).cast("bigint"))
-    return joined.filter("__size > 0").withColumn("__copy", F.explode(F.array_repeat(F.lit(1), times.cast("int")))).select(*docs.columns)
+    limits = limits.select(F.struct(F.col("source").alias("source"), "copies", "below", "source_size").alias("limit"))
+    # The caller's row is one column, so that none of its names can meet those used here.
+    hashed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("source").cast("string").alias("source"), mixing_hash(F.col("doc_id"), F.col("text")).alias("hash_rank"))
+    joined = hashed.join(limits, F.col("source").eqNullSafe(F.col("limit.source"))).filter("limit.source_size > 0")
+    times = F.least(F.col("limit.copies") + (F.col("hash_rank") < F.col("limit.below")).cast("bigint"), F.lit(MOST_COPIES).cast("bigint"))
+    return joined.select("row", F.explode(F.array_repeat(F.lit(1), times.cast("int"))).alias("copy")).select("row.*")

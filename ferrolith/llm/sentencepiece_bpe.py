@@ -1,8 +1,9 @@
 """SentencePiece encoding and decoding with merge-type (BPE) vocabularies.
 
 Text is cut where no piece of the vocabulary can reach across, and every cut-out segment is merged by an agenda of
-adjacent symbol pairs ordered by score, leftmost first among equals. Segments new to a worker are checked against the
-sentencepiece library, one call per Arrow batch; known ones come from a bounded cache.
+adjacent symbol pairs ordered by score, leftmost first among equals. The agenda's ids are the result; each Arrow batch's new
+segments are checked against the sentencepiece library, one in CHECK_EVERY by its hash, and so is one whole text. What differs
+takes the library's ids and is counted. Known segments come from a bounded cache.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
-import warnings
+import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -24,15 +25,13 @@ SPACE = "▁"
 NORMAL, UNKNOWN, USER_DEFINED, UNUSED, BYTE = 1, 2, 4, 5, 6
 #: Segments that a worker remembers; beyond it the older half is forgotten.
 CACHE_SEGMENTS = 600_000
+#: One in so many new segments is checked, and of each group of texts one of at most so many characters.
+CHECK_EVERY, CHECK_CHARS = 4, 2_000
 #: Longer segments are not kept, and use a heap for their agenda.
 LONG_SEGMENT = 64
 NO_MERGE = 1 << 60
 
 
-class PieceMismatch(UserWarning):
-    """The agenda and the library disagree on a segment; the library's ids are taken."""
-
-
 class BpeModel:
     """A merge-type model file, read with the library's own format."""
 
@@ -150,16 +149,12 @@ class BpeModel:
         text = self.decode_raw(ids)
         return text[1:] if text.startswith(" ") else text
 
-    def checked(self, segments: list[str], found: list[list[int]]) -> list[list[int]]:
-        """The segments' ids after a comparison with the library: each segment stands after the shield, whose ids are cut off."""
+    def asked(self, segments: list[str]) -> list[list[int]]:
+        """The library's ids of segments: each stands after the shield, whose ids are cut off."""
         if self.shield is None:
-            asked = self.library.encode([s.replace(SPACE, " ")[1:] if s.startswith(SPACE) else s for s in segments], num_threads=1)
-        else:
-            asked = [x[self.shield_ids :] for x in self.library.encode([self.shield + s for s in segments], num_threads=1)]
-        for segment, ours, theirs in zip(segments, found, asked):
-            if ours != theirs:
-                warnings.warn(f"{segment!r}: agenda {ours}, library {theirs}", PieceMismatch, stacklevel=2)
-        return [list(ids) for ids in asked]
+            found = self.library.encode([s.replace(SPACE, " ")[1:] if s.startswith(SPACE) else s for s in segments], num_threads=1)
+            return [list(x) for x in found]
+        return [list(x[self.shield_ids :]) for x in self.library.encode([self.shield + s for s in segments], num_threads=1)]
 
 
 @lru_cache(maxsize=2)
@@ -175,15 +170,26 @@ class SegmentCache:
 
     def __init__(self, model: BpeModel):
         self.model, self.young, self.old, self.odd = model, {}, {}, {}
+        #: Segments in whose check agenda and library disagreed; they have the library's ids.
+        self.unlike: set[str] = set()
 
     def learn(self, missing: list[str]) -> None:
-        for s, ids in zip(missing, self.model.checked(missing, [self.model.segment_ids(s) for s in missing])):
+        found = {s: self.model.segment_ids(s) for s in missing}
+        sample = [s for s in missing if zlib.crc32(s.encode()) % CHECK_EVERY == 0]
+        for s, theirs in zip(sample, self.model.asked(sample)):
+            if found[s] != theirs:
+                self.unlike.add(s)
+                found[s] = theirs
+        for s, ids in found.items():
             self.young[s] = ",".join(map(str, ids))
             if (raw := self.model.decode_raw(ids)) != s.replace(SPACE, " "):
                 self.odd[s] = raw
 
-    def encode_batch(self, texts: list[str]) -> list[tuple[int, str, str]]:
-        """Of each text the number of ids, the ids joined by commas and the decoded text."""
+    def encode_batch(self, texts: list[str]) -> list[tuple[int, str, str, int]]:
+        """Of each text the number of ids, the ids joined by commas, the decoded text, and how many of its checks failed.
+
+        One short text of the batch is checked as a whole, so that a wrong cut is seen as well.
+        """
         split = [self.model.segments(t) for t in texts]
         young, old, odd, missing = self.young, self.old, self.odd, {}
         for segments in split:
@@ -196,13 +202,18 @@ class SegmentCache:
         if missing:
             self.learn(list(missing))
         out = []
-        for segments in split:
+        whole = next((i for i, t in enumerate(texts) if 0 < len(t) <= CHECK_CHARS), None)
+        for i, segments in enumerate(split):
+            failed = len(self.unlike.intersection(segments)) if self.unlike else 0
             ids = ",".join(map(young.__getitem__, segments))
             if odd and not odd.keys().isdisjoint(segments):
                 raw = "".join([odd[s] if s in odd else s.replace(SPACE, " ") for s in segments])
             else:
                 raw = "".join(segments).replace(SPACE, " ")
-            out.append((ids.count(",") + 1 if ids else 0, ids, raw[1:] if raw.startswith(" ") else raw))
+            text = raw[1:] if raw.startswith(" ") else raw
+            if i == whole and (theirs := ",".join(map(str, self.model.library.encode(texts[i])))) != ids:
+                failed, ids, text = failed + 1, theirs, self.model.library.decode(self.model.library.encode(texts[i]))
+            out.append((ids.count(",") + 1 if ids else 0, ids, text, failed))
         for s in missing:
             if len(s) > LONG_SEGMENT:
                 del young[s]
@@ -236,7 +247,7 @@ def grouped(texts: list[str]) -> Iterator[list[str]]:
 
 
 def encode_documents(docs: DataFrame, model_path: str, with_ids: bool = False) -> DataFrame:
-    """One row per document: doc_id, n_tokens, ids_sha256, decoded_sha256, and with with_ids also ids and decoded.
+    """One row per document: doc_id, n_tokens, ids_sha256, decoded_sha256, failed_checks (0 where agenda and library agree), and with with_ids also ids and decoded.
 
     Whole texts are encoded without begin and end ids; null texts count as empty, which have no ids and decode to an
     empty text. Every row is encoded, repeated ones too. Columns other than doc_id and text are not read. Empty tables
@@ -249,15 +260,15 @@ def encode_documents(docs: DataFrame, model_path: str, with_ids: bool = False) -
         for batch in parts(batches):
             rows: list[tuple] = []
             for group in grouped(batch.column("text").to_pylist()):
-                for n, ids, text in cache.encode_batch(group):
-                    row = (n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest())
+                for n, ids, text, failed in cache.encode_batch(group):
+                    row = (n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest(), failed)
                     rows.append((*row, [int(i) for i in ids.split(",")] if ids else [], text) if with_ids else row)
-            columns = list(zip(*rows)) or [()] * (5 if with_ids else 3)
-            types = [pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.string()]
-            names = ["n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"]
+            columns = list(zip(*rows)) or [()] * (6 if with_ids else 4)
+            types = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.list_(pa.int32()), pa.string()]
+            names = ["n_tokens", "ids_sha256", "decoded_sha256", "failed_checks", "ids", "decoded"]
             arrays = [pa.array(list(c), t) for c, t in zip(columns, types)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *arrays], names=["doc_id", *names[: len(arrays)]])
 
     chosen = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     more = ", ids array<int>, decoded string" if with_ids else ""
-    return chosen.mapInArrow(encoded, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + more)
+    return chosen.mapInArrow(encoded, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string, failed_checks bigint" + more)

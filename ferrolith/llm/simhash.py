@@ -372,19 +372,23 @@ def alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 def similar_links(docs: DataFrame, groups: DataFrame, words: int, similarity: float) -> DataFrame:
     """a, b: links whose components are those of all pairs of groups (id, shingles, keys) that share a list and are alike.
 
-    Every member of a list is compared with the list's first and last one, which connects large groups by few pairs. Then all
-    pairs in a list that aren't connected yet tally the positional bytes of their signatures, and those that reach the minimum are compared.
+    Every member of a list is compared with the one that stands in the longest lists and with the first, which connects large groups by
+    few pairs. Then all pairs that aren't connected yet tally the positional bytes of their signatures, each in the first list that they
+    share, and those that reach the minimum are compared.
     """
     able = lambda x, y: F.least(x, y) >= similarity * F.greatest(x, y) - 1e-9  # noqa: E731  sets of other sizes can't be alike
     pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
     posted = groups.select("id", "shingles", F.explode("keys").alias("key"))
-    ends = F.array(F.min(F.struct("id", "shingles")), F.max(F.struct("id", "shingles"))).alias("ends")
-    lists = materialize(posted.groupBy("key").agg(F.count("*").alias("n"), ends).filter("n > 1"), "lists")
+    lists = materialize(posted.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "lists")
     total = lists.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     listed = materialize(join_groups(posted, lists, ["key"], total, "n", "inner"), "listed")
+    # What stands in the longest lists lies in the middle of its group, and is alike with most of it.
+    weight = listed.groupBy("id").agg(F.sum("n").alias("weight"))
+    ends = listed.join(weight, "id").groupBy("key").agg(F.count("*").alias("n"), F.array(F.max(F.struct("weight", "id", "shingles")), F.min(F.struct(F.lit(0).cast("bigint").alias("weight"), "id", "shingles"))).alias("ends"))
+    ends = materialize(ends, "ends")
     sets = materialize(shingle_sets(docs, listed.select("id").distinct(), words), "shingle-sets")
 
-    to_ends = listed.select("id", "shingles", F.explode("ends").alias("end")).filter(F.col("id") != F.col("end.id"))
+    to_ends = join_groups(listed.drop("n"), ends, ["key"], total, "n", "inner").select("id", "shingles", F.explode("ends").alias("end")).filter(F.col("id") != F.col("end.id"))
     first = alike(to_ends.filter(able(F.col("shingles"), F.col("end.shingles"))).select(*pair("id", "end.id")), sets, similarity)
     roots = materialize(components(first), "roots")
     labelled = listed.select("key", "id", "shingles").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
@@ -393,11 +397,12 @@ def similar_links(docs: DataFrame, groups: DataFrame, words: int, similarity: fl
     mixed = materialize(join_groups(labelled, apart, ["key"], total, "n", "inner"), "mixed")
     blocks = F.ceil(F.col("n") / BLOCK)
     own, each = F.pmod(F.xxhash64("id"), blocks), F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1))
-    mixed = mixed.join(groups.select("id", "marks"), "id")
-    left = mixed.select("key", own.alias("block"), each.alias("other_block"), "id", "shingles", "root", "marks")
-    right = mixed.select("key", each.alias("block"), own.alias("other_block"), F.col("id").alias("other"), F.col("shingles").alias("other_shingles"), F.col("root").alias("other_root"), F.col("marks").alias("other_marks"))
+    mixed = mixed.join(groups.select("id", "marks", "keys"), "id")
+    left = mixed.select("key", own.alias("block"), each.alias("other_block"), "id", "shingles", "root", "marks", "keys")
+    right = mixed.select("key", each.alias("block"), own.alias("other_block"), F.col("id").alias("other"), F.col("shingles").alias("other_shingles"), F.col("root").alias("other_root"), F.col("marks").alias("other_marks"), F.col("keys").alias("other_keys"))
+    first_list = F.get("keys", (F.array_position(F.zip_with("keys", "other_keys", lambda x, y: x == y), F.lit(True)) - 1).cast("int")) == F.col("key")
     enough = shared_bytes("marks", "other_marks") >= int(LEAST_SHARE * similarity * 8 * SIGNATURE)
-    met = left.join(right, ["key", "block", "other_block"]).filter((F.col("root") < F.col("other_root")) & able(F.col("shingles"), F.col("other_shingles")) & enough)
+    met = left.join(right, ["key", "block", "other_block"]).filter((F.col("root") < F.col("other_root")) & able(F.col("shingles"), F.col("other_shingles")) & first_list & enough)
     rest = alike(met.select(*pair("id", "other")), sets, similarity)
     return roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(rest)
 

@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from ferrolith.llm import exact_dedup, mixing, queries, sentencepiece_bpe, sharding, url_filter
+from ferrolith.llm import exact_dedup, mixing, queries, sentencepiece_bpe, sharding, simhash, url_filter
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, source string, n long"
@@ -188,7 +188,8 @@ def test_pieces_like_the_library():
     model = sentencepiece_bpe.load_model(queries.piece_model())
     cache = sentencepiece_bpe.SegmentCache(model)
     texts = ["", " ", "  two", "a▁b", "\x00", "tab\there\n\nx", "😀 é ﬁ नमस्ते", "_x² _²a", "<s> <0x41>", "w" * 700, "▁" * 90, "1st 22,333.44 [[_{x}_2]]."]
-    for text, (n, ids, decoded) in zip(texts, cache.encode_batch(texts)):
+    for text, (n, ids, decoded, failed) in zip(texts, cache.encode_batch(texts)):
+        assert failed == 0
         theirs = model.library.encode(text)
         assert ids == ",".join(map(str, theirs)) and n == len(theirs) and decoded == model.library.decode(theirs)
         assert model.encode(text) == theirs and model.decode(theirs) == decoded
@@ -209,9 +210,46 @@ def test_encoded_documents(docs):
 def test_a_wrong_merge_is_noticed():
     model = sentencepiece_bpe.BpeModel(queries.piece_model())
     model.ranks.pop("▁the")
-    with pytest.warns(sentencepiece_bpe.PieceMismatch):  # and the library's ids are taken
-        ((n, ids, text),) = sentencepiece_bpe.SegmentCache(model).encode_batch(["the end"])
-    assert ids == ",".join(map(str, model.library.encode("the end"))) and text == "the end" and n == ids.count(",") + 1
+    ((n, ids, text, failed),) = sentencepiece_bpe.SegmentCache(model).encode_batch(["the end"])
+    assert failed and ids == ",".join(map(str, model.library.encode("the end"))) and text == "the end" and n == ids.count(",") + 1
+
+
+def test_a_wrong_cut_is_noticed():
+    model = sentencepiece_bpe.BpeModel(queries.piece_model())
+    model.segments = lambda text: list(("▁" + text.replace(" ", "▁")))  # every character by itself
+    found = sentencepiece_bpe.SegmentCache(model).encode_batch(["the end"])[0]
+    assert found[3] and found[1] == ",".join(map(str, model.library.encode("the end"))) and found[2] == "the end"
+
+
+def test_the_agenda_alone_equals_the_library_on_whole_documents(spark):
+    """What op4 returns, held against the library over a whole table."""
+    folder = "/root/testdata/sf0.01"
+    library = sentencepiece_bpe.load_model(queries.piece_model()).library
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()}
+    rows = queries.op4_sentencepiece(spark, folder).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        ids = library.encode(texts[r.doc_id])
+        assert (r.n_tokens, r.failed_checks) == (len(ids), 0) and r.ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+        assert r.decoded_sha256 == hashlib.sha256(library.decode(ids).encode()).hexdigest()
+
+
+#: Names that the operators use for columns of their own.
+INNER_NAMES = "row digest digest_ pair pair_ pair_id pair_id_ touched touched_ likely likely_ known known_ known_id maybe filter_row filter_bits filter_row_ filter_bits_ row_ n keep_id kept rows limit copy hash_rank size below __rank __copy __source id keys root component_id first".split()
+
+
+def test_callers_columns_keep_their_names_and_values(spark):
+    long = " ".join(f"word{i}" for i in range(60))
+    texts = ["same", "same", "other words here", None, "", long, long + " more", "solo text"]
+    df = spark.createDataFrame([(i, t, "en", f"s{i % 2}") for i, t in enumerate(texts)], "doc_id bigint, text string, lang string, source string")
+    df = df.withColumns({name: F.concat(F.lit(f"{name}-"), F.col("doc_id").cast("string")) for name in INNER_NAMES})
+    whole = {r.doc_id: r.asDict() for r in df.collect()}
+    for stage, stay in ((exact_dedup.drop_exact_copies, {1, 2, 4, 5, 6, 7}), (simhash.one_of_each_similar, {0, 2, 3, 5, 7}), (mixing.mixed_documents, None)):
+        found = stage(df)
+        assert found.columns == df.columns
+        rows = found.collect()
+        assert all(r.asDict() == whole[r.doc_id] for r in rows)
+        assert stay is None or {r.doc_id for r in rows} == stay and len(rows) == len(stay)
 
 
 def targets_by_rounds(sizes, weights=(5, 2, 1), most=3):
