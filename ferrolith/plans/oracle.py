@@ -195,6 +195,7 @@ SQL["q_homology"] = PIXELS + ", own AS (SELECT vec_id, cls AS k, i FROM cell), b
     summary AS (SELECT record_id, cls, h0_count, h0_count AS h0_total_persistence, least(h0_count, 1) AS h0_max_persistence, h1_count, h1_count AS h1_total_persistence, least(h1_count, 1) AS h1_max_persistence FROM bars)"""
 SQL["q_topological_features"] = SQL["q_homology"] + "SELECT record_id, 'topo_' || what || ':node' || cls AS feature, value FROM summary UNPIVOT (value FOR what IN (h0_count, h0_total_persistence, h0_max_persistence, h1_count, h1_total_persistence, h1_max_persistence))"
 SQL["q_homology"] += "SELECT * FROM summary"
+SQL["q_tiled_regions"], SQL["q_tiled_homology"] = SQL["q_region_stats"], SQL["q_homology"]
 SQL["q_feature_vector"] = REGION + f""", st AS ({STATS}), fr AS (SELECT s.vec_id AS record_id, s.cls, count(c.i) / 64 AS fraction FROM spine s LEFT JOIN cell c ON c.vec_id = s.vec_id AND c.cls = s.cls GROUP BY ALL)
     SELECT record_id, 'frac:node' || cls AS feature, round(fraction, 6) AS value FROM fr UNION ALL SELECT record_id, 'n_regions:node' || cls, n_regions::DOUBLE FROM st
     UNION ALL SELECT record_id, 'mean_region_area:node' || cls, mean_area FROM st UNION ALL SELECT record_id, 'max_region_area:node' || cls, max_area::DOUBLE FROM st"""
