@@ -1,4 +1,4 @@
-"""Leave-one-out evaluation, baselines, centroids and neighbours."""
+"""Leave-one-out evaluation, baselines and centroids."""
 
 from __future__ import annotations
 
@@ -9,10 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ferrolith.functions.vectors import dot, doubles, norm, squared_distance
-
-#: Vectors of the gallery that a neighbour task holds at a time.
-GALLERY_BLOCK = 4096
+from ferrolith.functions.vectors import dot, doubles, squared_distance
 
 
 def leave_block_out_mean(rows: DataFrame, block: str, value: str) -> DataFrame:
@@ -50,35 +47,6 @@ def nearest_mean(distances: Column) -> Column:
     return F.array_min(distances)["cls"]
 
 
-def nearest_neighbour(rows: DataFrame, key: str, block: str, vector: str) -> DataFrame:
-    """key, neighbour, similarity: the most similar row of another block, the smaller key among equals.
-
-    Normalised vectors are dealt into blocks of rows; every pair of blocks is one matrix product in one task, and only each
-    row's best is passed on. A stated search of all rows against all: the work is quadratic, the output one row each.
-    """
-    unit = rows.select(F.col(key).alias("key"), F.col(block).alias("block"), doubles(F.col(vector)).alias("v")).withColumn("v", F.transform("v", lambda x: x / norm(F.col("v"))))
-    n_blocks = max(1, -(-rows.count() // GALLERY_BLOCK))
-    dealt = unit.withColumn("tile", F.pmod(F.xxhash64("key"), F.lit(n_blocks)).cast("int"))
-    every = F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))
-    left = dealt.select("key", "block", "v", F.col("tile").alias("row"), every.alias("column"))
-    right = dealt.select("key", "block", "v", every.alias("row"), F.col("tile").alias("column"))
-    kind = dict(rows.dtypes)[key]
-
-    def best(pair: tuple, x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        if not len(x) or not len(y):
-            return pd.DataFrame({"key": [], "neighbour": [], "similarity": []})
-        y = y.sort_values("key")
-        similar = np.round(np.vstack(x.v) @ np.vstack(y.v).T, 9)
-        similar[x.block.to_numpy()[:, None] == y.block.to_numpy()[None, :]] = -np.inf
-        top = similar.argmax(1)
-        out = pd.DataFrame({"key": x.key.to_numpy(), "neighbour": y.key.to_numpy()[top], "similarity": similar[np.arange(len(x)), top]})
-        return out[np.isfinite(out.similarity)]
-
-    found = left.groupBy("row", "column").cogroup(right.groupBy("row", "column")).applyInPandas(best, f"key {kind}, neighbour {kind}, similarity double")
-    top = found.groupBy("key").agg(F.max_by(F.struct("neighbour", "similarity"), F.struct("similarity", -F.col("neighbour"))).alias("best"))
-    return top.select(F.col("key").alias(key), "best.neighbour", "best.similarity")
-
-
 def ridge(x: np.ndarray, y: np.ndarray, alpha: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
     """Mean, population scale, weights and intercept of a standardised ridge with a free intercept."""
     mean, scale = x.mean(0), x.std(0)

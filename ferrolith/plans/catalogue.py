@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ferrolith.functions import text as T
 from ferrolith.functions import vectors as vec
-from ferrolith.operators import aliases, audit, boosting, conformal, evaluation, heads, masks, metrics, prediction, ranking, records, splits, training, validation, vocabulary, weak_labels
+from ferrolith.operators import aliases, audit, boosting, conformal, evaluation, heads, masks, metrics, neighbours, prediction, ranking, records, splits, tiles, training, validation, vocabulary, weak_labels
 from ferrolith.sources import metadata, registry
 from ferrolith.schemas import canonical, evaluation_block, group_or_record, join_key, physical_scale
 
@@ -498,6 +498,21 @@ def q_homology(spark: SparkSession, sf_dir: str) -> DataFrame:
     return masks.persistence(masks.mask_table(embedding_masks(spark, sf_dir), CLASSES))
 
 
+def tiled_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The masks in tiles of 3 x 3, joined over their seams."""
+    return tiles.tiled_mask_table(tiles.cut_tiles(embedding_masks(spark, sf_dir), 3), CLASSES)
+
+
+@query
+def q_tiled_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiled_measures(spark, sf_dir).select("record_id", "cls", "n_regions", r6("mean_area").alias("mean_area"), F.col("max_area").cast("int").alias("max_area"))
+
+
+@query
+def q_tiled_homology(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return masks.persistence(tiled_measures(spark, sf_dir))
+
+
 @query
 def q_topological_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     features = masks.topological_features(embedding_masks(spark, sf_dir), [f"node{i}" for i in range(CLASSES)])
@@ -656,7 +671,7 @@ def q_predict_abstain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def q_knn_exclude_block(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluation.nearest_neighbour(read(spark, sf_dir, "embeddings"), "vec_id", "label", "embedding").select("vec_id", "neighbour", r6("similarity").alias("similarity"))
+    return neighbours.nearest_neighbour(read(spark, sf_dir, "embeddings"), "vec_id", "label", "embedding").select("vec_id", "neighbour", r6("similarity").alias("similarity"))
 
 
 # --- regressors ----------------------------------------------------------------------------------

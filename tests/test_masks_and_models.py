@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ferrolith.operators import conformal, evaluation as E, masks as M, metrics, prediction as P
+from ferrolith.operators import conformal, evaluation as E, masks as M, metrics, neighbours, prediction as P
 
 
 def flood(mask, steps):
@@ -106,13 +106,13 @@ def test_leave_block_out(spark):
 
 
 def test_neighbours_over_several_tiles(spark, monkeypatch):
-    monkeypatch.setattr(E, "GALLERY_BLOCK", 16)
+    monkeypatch.setattr(neighbours, "TILE_NUMBERS", 200)
     v = np.random.default_rng(3).normal(size=(50, 5))
     df = spark.createDataFrame([(i, i % 4, r.tolist()) for i, r in enumerate(v)], "k long, b int, v array<double>")
     unit = v / np.linalg.norm(v, axis=1)[:, None]
     s = unit @ unit.T
     s[np.equal.outer(np.arange(50) % 4, np.arange(50) % 4)] = -9
-    assert {r.k: r.neighbour for r in E.nearest_neighbour(df, "k", "b", "v").collect()} == dict(enumerate(s.argmax(1)))
+    assert {r.k: r.neighbour for r in neighbours.nearest_neighbour(df, "k", "b", "v").collect()} == dict(enumerate(s.argmax(1)))
 
 
 def test_pca_ridge_folds_match_direct_fits(spark):
