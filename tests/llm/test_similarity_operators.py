@@ -428,3 +428,20 @@ def test_fingerprints_of_a_hot_id(spark):
     got = fingerprints.fingerprint_documents(frame(spark, rows)).groupBy("doc_id", "n_chars", "edited_sha256").count().collect()
     sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
     assert sorted(map(tuple, got), key=str) == sorted([(None, 5, sha("a. g."[:3] + "g."), 2500), (7, 5, sha("c. " + "a."), 1), (7, 8, sha("c. e" + "a. b"), 1), (9, 2, sha("gc"), 1)], key=str)
+
+
+@pytest.mark.parametrize("most", [1, 2000])
+def test_rows_of_one_doc_id_are_no_earlier_places(spark, monkeypatch, most):
+    """A place is a doc_id and a start: rows that repeat one take nothing from each other there, but both lose what starts earlier."""
+    monkeypatch.setattr(suffix_dedup, "MOST_RUNS", most)
+    rnd = random.Random(5)
+    letters = lambda n: "".join(rnd.choice("abcdefgh") for _ in range(n))
+    p, q = letters(300), letters(140)
+    first, last = letters(50) + p + letters(200), letters(120) + p[50:290] + letters(30)
+    unique = [(1, first), (5, letters(150) + p[:160]), (9, last)]
+    want = {i: tuple(r) for i, r in remove(unique).items()}
+    got = suffix_dedup.remove_repeats(frame(spark, [*unique, unique[0], unique[2]]).repartition(3)).collect()
+    assert len(got) == 5 and {(r.doc_id, *tuple(r)[1:]) for r in got} == {(i, *r) for i, r in want.items()}
+    several = [(3, q + "x"), (3, q + "y" * 30), (3, letters(7) + q), (4, q[20:])]
+    got = suffix_dedup.remove_repeats(frame(spark, several).repartition(3)).collect()
+    assert sorted((r.doc_id, r.n_bytes, r.n_removed) for r in got) == [(3, 141, 0), (3, 147, 140), (3, 170, 0), (4, 120, 120)]
