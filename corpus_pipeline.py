@@ -25,7 +25,10 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked at a Jaccard similarity of 0.8 over five-word shingles, the one with the smallest doc_id."""
+    """Of documents linked at a Jaccard similarity of 0.8 over five-word shingles, the one with the smallest doc_id.
+
+    SimHash fingerprints find pairs first, and each is compared by its shingles; lists of minima find the pairs whose fingerprints are further apart.
+    """
     return simhash.one_of_each_similar(docs, words=5, similarity=0.8)
 
 

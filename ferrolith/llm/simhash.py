@@ -281,6 +281,8 @@ def one_of_each(docs: DataFrame, words: int = 5, most_bits: int = 4) -> DataFram
 
 # --- groups by similarity ------------------------------------------------------------------------
 
+#: Bits in which fingerprints of sets differ at most that the SimHash index links. Alike sets may differ in more: they meet in lists.
+MOST_BITS = 4
 #: A text stands in BANDS lists, each under BAND_ROWS minima of its shingles' hashes. Two texts of similarity s share one list at
 #: least with a probability of 1 - (1 - s**BAND_ROWS)**BANDS: all but three in a million at 0.8.
 BANDS, BAND_ROWS = 32, 5
@@ -327,7 +329,7 @@ def shared_bytes(a, b):
 
 
 def set_prints(docs: DataFrame, words: int, tagged: bool = False) -> DataFrame:
-    """doc_id, if tagged the text's digest, id (of the set of shingles), shingles (their number), keys and marks (the signature) of every row."""
+    """doc_id, if tagged the text's digest, id (of the set of shingles), shingles (their number), fp (the set's SimHash), keys and marks (the signature) of every row."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         take_worker("simhash")
@@ -335,10 +337,11 @@ def set_prints(docs: DataFrame, words: int, tagged: bool = False) -> DataFrame:
             sets = [shingle_set(t, words) for t in batch.column(0).to_pylist()]
             found = [list_keys(h) for h in sets]
             keys, marks = (pa.array([f[i] for f in found], pa.list_(pa.int64())) for i in (0, 1))
-            columns = [*batch.columns[1:], pa.array([set_id(h) for h in sets], pa.int64()), pa.array([len(h) for h in sets], pa.int64()), keys, marks]
-            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[1:], "id", "shingles", "keys", "marks"])
+            fps = pa.array(np.array(fold(sets), np.uint64).view(np.int64))
+            columns = [*batch.columns[1:], pa.array([set_id(h) for h in sets], pa.int64()), pa.array([len(h) for h in sets], pa.int64()), fps, keys, marks]
+            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[1:], "id", "shingles", "fp", "keys", "marks"])
 
-    return hashable(docs, tagged).mapInArrow(hashed, "doc_id bigint, " + ("digest binary, " if tagged else "") + "id bigint, shingles bigint, keys array<bigint>, marks array<bigint>")
+    return hashable(docs, tagged).mapInArrow(hashed, "doc_id bigint, " + ("digest binary, " if tagged else "") + "id bigint, shingles bigint, fp bigint, keys array<bigint>, marks array<bigint>")
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
@@ -369,10 +372,21 @@ def alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return materialize(met.filter(both >= similarity * (F.size("a_set") + F.size("b_set") - both) - 1e-9).select("a", "b"), "alike")
 
 
+def print_pairs(groups: DataFrame, most_bits: int) -> DataFrame:
+    """id, shingles, end (id, shingles): pairs of groups (id, shingles, fp) that the SimHash index finds, one for each member of a fingerprint and each link."""
+    chiefs = materialize(groups.groupBy("fp").agg(F.min(F.struct("id", "shingles")).alias("end"), F.count("*").alias("n")), "print-chiefs")
+    total = chiefs.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    same = join_groups(groups.select("id", "shingles", "fp"), chiefs.filter("n > 1"), ["fp"], total, "n", "inner").filter(F.col("id") != F.col("end.id"))
+    near = links(chiefs.select("fp"), most_bits)
+    a, b = (chiefs.select(F.col("fp").alias(c), F.col("end").alias(f"{c}_end")) for c in ("a", "b"))
+    linked = near.join(a, "a").join(b, "b").select("a_end.*", F.col("b_end").alias("end"))
+    return materialize(same.select("id", "shingles", "end").unionByName(linked), "print-pairs")
+
+
 def similar_links(docs: DataFrame, groups: DataFrame, words: int, similarity: float) -> DataFrame:
-    """a, b: links whose components are those of all pairs of groups (id, shingles, keys) that share a list and are alike.
+    """a, b: links whose components are those of all pairs of groups (id, shingles, fp, keys) that are alike and share a list or are near by SimHash.
 
-    Every member of a list is compared with the one that stands in the longest lists and with the first, which connects large groups by
+    Sets whose fingerprints differ in MOST_BITS bits at most are compared as the SimHash index links them. Every member of a list is compared with the one that stands in the longest lists and with the first, which connects large groups by
     few pairs. Then all pairs that aren't connected yet tally the positional bytes of their signatures, each in the first list that they
     share, and those that reach the minimum are compared.
     """
@@ -386,10 +400,13 @@ def similar_links(docs: DataFrame, groups: DataFrame, words: int, similarity: fl
     weight = listed.groupBy("id").agg(F.sum("n").alias("weight"))
     ends = listed.join(weight, "id").groupBy("key").agg(F.count("*").alias("n"), F.array(F.max(F.struct("weight", "id", "shingles")), F.min(F.struct(F.lit(0).cast("bigint").alias("weight"), "id", "shingles"))).alias("ends"))
     ends = materialize(ends, "ends")
-    sets = materialize(shingle_sets(docs, listed.select("id").distinct(), words), "shingle-sets")
+    near = print_pairs(groups, MOST_BITS).filter(able(F.col("shingles"), F.col("end.shingles")))
+    wanted = listed.select("id").unionByName(near.select("id")).unionByName(near.select("end.id")).distinct()
+    sets = materialize(shingle_sets(docs, wanted, words), "shingle-sets")
 
     to_ends = join_groups(listed.drop("n"), ends, ["key"], total, "n", "inner").select("id", "shingles", F.explode("ends").alias("end")).filter(F.col("id") != F.col("end.id"))
-    first = alike(to_ends.filter(able(F.col("shingles"), F.col("end.shingles"))).select(*pair("id", "end.id")), sets, similarity)
+    to_ends = to_ends.filter(able(F.col("shingles"), F.col("end.shingles"))).select(*pair("id", "end.id"))
+    first = alike(near.select(*pair("id", "end.id")).unionByName(to_ends), sets, similarity)
     roots = materialize(components(first), "roots")
     labelled = listed.select("key", "id", "shingles").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     labelled = materialize(labelled, "labelled")
@@ -414,10 +431,10 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, tag
     empty tables are treated as near_groups does.
     """
     prints = materialize(set_prints(docs, words, tagged), "set-prints")
-    groups = prints.groupBy("id").agg(F.min(first_row(tagged)).alias("first"), F.count("*").alias("n"), F.first("shingles").alias("shingles"), F.first(F.struct("keys", "marks")).alias("lists")).select("id", "first", "n", "shingles", "lists.*")
+    groups = prints.groupBy("id").agg(F.min(first_row(tagged)).alias("first"), F.count("*").alias("n"), F.first(F.struct("shingles", "fp", "keys", "marks")).alias("lists")).select("id", "first", "n", "lists.*")
     groups = materialize(groups, "set-groups")
     total = groups.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    found = reach_groups(prints.drop("keys", "marks", "shingles"), groups, components(similar_links(docs, groups, words, similarity)), "id", total)
+    found = reach_groups(prints.drop("keys", "marks", "shingles", "fp"), groups, components(similar_links(docs, groups, words, similarity)), "id", total)
     return found.select("doc_id", "component_id", *(decided(found) if tagged else []))
 
 

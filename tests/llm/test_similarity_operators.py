@@ -445,3 +445,17 @@ def test_rows_of_one_doc_id_are_no_earlier_places(spark, monkeypatch, most):
     several = [(3, q + "x"), (3, q + "y" * 30), (3, letters(7) + q), (4, q[20:])]
     got = suffix_dedup.remove_repeats(frame(spark, several).repartition(3)).collect()
     assert sorted((r.doc_id, r.n_bytes, r.n_removed) for r in got) == [(3, 141, 0), (3, 147, 140), (3, 170, 0), (4, 120, 120)]
+
+
+def test_similar_groups_go_through_the_simhash_index(spark, monkeypatch):
+    """Near fingerprints are linked by the index, and their sets are compared; without lists these pairs alone are left."""
+    rnd = random.Random(21)
+    words = [f"w{i}" for i in range(3000)]
+    text = [rnd.choice(words) for _ in range(900)]
+    changed = [*text[:450], "other", *text[451:]]
+    rows = [(1, " ".join(text)), (2, " ".join(changed)), (3, " ".join(rnd.choice(words) for _ in range(900)))]
+    index, asked = simhash.links, []
+    monkeypatch.setattr(simhash, "links", lambda prints, bits: asked.append(bits) or index(prints, bits))
+    groups = simhash.set_prints(frame(spark, rows), 5).select("id", "shingles", "fp")
+    assert simhash.print_pairs(groups, 4).count() == 1
+    assert {r.doc_id: r.component_id for r in simhash.similar_groups(frame(spark, rows)).collect()} == {1: 1, 2: 1, 3: 3} and asked == [4, 4]
