@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -30,15 +32,20 @@ def squared_distance(a: Column, b: Column) -> Column:
     return total(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)))
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once a row however often it is used: expressions inside the functions of arrays aren't shared."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def softmax(v: Column) -> Column:
-    top = F.array_max(v)
-    powers = F.transform(v, lambda x: F.exp(x - top))
-    return F.transform(powers, lambda x: x / total(powers))
+    powers = lambda v, top: F.transform(v, lambda x: F.exp(x - top))
+    shares = lambda p: once(total(p), lambda whole: F.transform(p, lambda x: x / whole))
+    return once(v, lambda v: once(F.array_max(v), lambda top: once(powers(v, top), shares)))
 
 
 def argmax(v: Column) -> Column:
     """0-based; the first of equals."""
-    return F.array_position(v, F.array_max(v)).cast("int") - 1
+    return once(v, lambda v: F.array_position(v, F.array_max(v)).cast("int") - 1)
 
 
 def cross_entropy(probabilities: Column, index: Column) -> Column:
