@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ferrolith.functions.vectors import argmax, dot, doubles, softmax
+from ferrolith.functions.vectors import argmax, dot, doubles, once, softmax
 from ferrolith.operators import conformal, records, splits
 
 #: Penalties of the linear head; the first with the best validation accuracy is kept.
@@ -38,7 +38,7 @@ def fit_linear(rows: DataFrame, vector: str, cls: str, classes: int, penalty: fl
 
 def linear_probabilities(head: dict, vector: Column) -> Column:
     rows = F.array(*[F.struct(F.array(*[F.lit(float(w)) for w in ws]).alias("w"), F.lit(float(b)).alias("b")) for ws, b in zip(head["weights"], head["intercepts"])])
-    return softmax(F.transform(rows, lambda r: dot(doubles(vector), r["w"]) + r["b"]))
+    return once(doubles(vector), lambda v: softmax(F.transform(rows, lambda r: dot(v, r["w"]) + r["b"])))
 
 
 def train_router(rows: DataFrame, vector: str, family: str, group: str, calibration_share: float = 0.25, alpha: float = 0.1, seed: int = 42, split: Callable = splits.hashed_group_split) -> dict:
