@@ -12,6 +12,8 @@ from ferrolith.operators.dictionary import resolve_fields
 # Cooling codes, and flags that block a sample.
 KNOWN_COOLING = ("WQ", "AR", "FC", "Q")
 NON_BLOCKING = ("duplicate_sample_label",)
+#: Samples of one group that are given its name together: a name holds all ids of its group, so that one group's rows are many tasks' work.
+NAMED_TOGETHER = 500
 
 
 def image_counts(samples: DataFrame, images: DataFrame, key: str, foreign: str, image: str) -> DataFrame:
@@ -96,7 +98,11 @@ def split_groups(meta: DataFrame, prefix: str = "uhcs") -> DataFrame:
     ids = named.groupBy("label").agg(F.array_sort(F.collect_list("sample_key")).alias("ids"))  # a name holds all ids of its label
     joined = F.array_join(F.transform("ids", lambda i: i.cast("string")), "-")
     name = F.concat(F.lit(prefix), F.when(F.size("ids") > 1, "-samples-").otherwise("-sample-"), joined)
-    return ids.select(F.explode("ids").alias("sample_key"), name.alias("group_id")).unionByName(blank.crossJoin(F.broadcast(least)))  # one row
+    # A name is made once for a group, and goes with slices of its ids to as many tasks as a shuffle has.
+    steps = F.sequence(F.lit(1), F.size("ids"), F.lit(NAMED_TOGETHER))
+    parts = ids.withColumn("group_id", name).select("group_id", F.explode(F.transform(steps, lambda i: F.slice("ids", i, NAMED_TOGETHER))).alias("part"))
+    spread = parts.repartition(int(meta.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("part"))
+    return spread.select(F.explode("part").alias("sample_key"), "group_id").unionByName(blank.crossJoin(F.broadcast(least)))  # one row
 
 
 def report_sections(audited: DataFrame, images: DataFrame) -> dict[str, DataFrame]:
