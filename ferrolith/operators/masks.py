@@ -14,7 +14,7 @@ FOUR = ((0, 1), (1, 0), (0, -1), (-1, 0))
 EIGHT = FOUR + ((1, 1), (1, -1), (-1, 1), (-1, -1))
 
 #: Pixels, times classes, that are measured at a time.
-STACK_PIXELS = 4_000_000
+STACK_PIXELS = 500_000
 
 
 def class_fraction(px: Column, cls: Column | int) -> Column:
@@ -38,16 +38,22 @@ def label_stack(inside: np.ndarray, neighbours=FOUR) -> np.ndarray:
     """
     m, h, w = inside.shape
     none = m * h * w + 1
-    label = np.where(inside, np.arange(1, none).reshape(m, h, w), none)
-    spread = np.full((m, h + 2, w + 2), none)
+    kind = np.int32 if none < 2**31 else np.int64
+    spread = np.full((m, h + 2, w + 2), none, kind)
+    grid = np.full((m, h, w), none, kind)
+    grid[inside] = np.flatnonzero(inside) + 1
     while True:
-        spread[:, 1:-1, 1:-1] = label
-        low = np.minimum.reduce([label, *(spread[:, 1 + dy : 1 + dy + h, 1 + dx : 1 + dx + w] for dy, dx in neighbours)])
-        new = np.where(inside, low, none)
-        new = np.where(inside, np.concatenate(([0], new.ravel(), [none]))[new], none)
-        if np.array_equal(new, label):
-            return np.where(inside, label, 0)
-        label = new
+        spread[:, 1:-1, 1:-1] = grid
+        low = grid.copy()
+        for dy, dx in neighbours:
+            np.minimum(low, spread[:, 1 + dy : 1 + dy + h, 1 + dx : 1 + dx + w], out=low)
+        low[~inside] = none
+        new = low.ravel()[np.minimum(low, none - 1) - 1] if none > 1 else low
+        new[~inside] = none
+        if np.array_equal(new, grid):
+            grid[~inside] = 0
+            return grid
+        grid = new
 
 
 def label_regions(mask: np.ndarray, neighbours=FOUR) -> tuple[np.ndarray, int]:
