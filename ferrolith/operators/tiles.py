@@ -9,10 +9,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ferrolith.operators.components import components
+from ferrolith.operators.components import grouped_components
 from ferrolith.operators.masks import EIGHT, FOUR, STACK_PIXELS, label_stack
 from ferrolith.session import materialize
 
+#: Pixels of images whose tiles are passed on together.
+CUT_PIXELS = 200_000
 #: What is labelled: a class's 4-connected regions, its 8-connected regions, and the 4-connected parts of all else.
 REGION, WIDE, BACKGROUND = 0, 1, 2
 
@@ -21,15 +23,22 @@ def cut_tiles(masks: DataFrame, side: int) -> DataFrame:
     """record_id, height, width, top, left, h, w, px: masks (record_id, h, w, px) in tiles of up to side x side pixels. Masks without pixels stay as one tile without."""
     kind = dict(masks.dtypes)["record_id"]
 
+    columns = ["record_id", "height", "width", "top", "left", "h", "w", "px"]
+
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            out, pixels = [], 0
             for record, h, w, px in zip(batch.record_id, batch.h, batch.w, batch.px):
-                grid, out = np.asarray(px).reshape(h, w), []
+                grid = np.asarray(px).reshape(h, w)
                 for top in range(0, max(h, 1), side):
                     for left in range(0, max(w, 1), side):
                         part = grid[top : top + side, left : left + side]
                         out.append((record, h, w, top, left, *part.shape, part.ravel()))
-                yield pd.DataFrame(out, columns=["record_id", "height", "width", "top", "left", "h", "w", "px"])
+                pixels += grid.size
+                if pixels >= CUT_PIXELS:  # small images' tiles travel together
+                    yield pd.DataFrame(out, columns=columns)
+                    out, pixels = [], 0
+            yield pd.DataFrame(out, columns=columns)
 
     return masks.select("record_id", "h", "w", "px").mapInPandas(cut, f"record_id {kind}, height int, width int, top int, left int, h int, w int, px array<int>")
 
@@ -82,7 +91,7 @@ def tiled_mask_table(tiles: DataFrame, classes: int) -> DataFrame:
 
     A region's name is the place of a pixel of it. Each tile passes on its regions' areas, and for pixels at its edge the pairs with
     their neighbours beyond it: pairs that both sides name are links, whose number goes with the length of the seams, not with the area.
-    Regions that touch no seam meet nothing; the others are joined by a components step.
+    Regions that touch no seam meet nothing; the others are joined image by image, those of images with very many links in rounds.
     """
     key = dict(tiles.dtypes)["record_id"]
     columns = ["record_id", "kind", "cls", "node", "area", "border", "low", "high"]
@@ -102,16 +111,13 @@ def tiled_mask_table(tiles: DataFrame, classes: int) -> DataFrame:
     chosen = tiles.select("record_id", "height", "width", "top", "left", "h", "w", "px")
     found = materialize(chosen.mapInPandas(regions, f"record_id {key}, kind int, cls int, node bigint, area bigint, border boolean, low bigint, high bigint"), "tile-regions")
     scope = ["record_id", "kind", "cls"]
-    named = F.struct(*scope, "node")
-    areas = found.filter("area IS NOT NULL").select(named.alias("node"), "area", "border")
+    # A null record_id is an image of its own: its name isn't null.
+    name = F.to_json(F.struct(*scope), {"ignoreNullFields": "false"}).alias("name")
+    areas = found.filter("area IS NOT NULL").select(*scope, name, "node", "area", "border")
     halves = found.filter("area IS NULL").groupBy(*scope, "low", "high").agg(F.min("node").alias("one"), F.max("node").alias("other"), F.count("*").alias("n"))
-    ends = lambda end: F.struct(*scope, F.col(end).alias("node"))
-    links = halves.filter("n = 2 AND one <> other").select(ends("one").alias("a"), ends("other").alias("b"))  # one region is on both sides where it surrounds a tile
-    # A struct of a null record_id is itself not null, and equal to itself in the grouping; the join says so with a null-safe name.
-    text = lambda c: F.to_json(c, {"ignoreNullFields": "false"})
-    roots = components(links.select(text(F.col("a")).alias("a"), text(F.col("b")).alias("b")))
-    whole = areas.withColumn("name", text(F.col("node"))).join(roots.withColumnRenamed("node", "name"), "name", "left")
-    joined = whole.groupBy("node.record_id", "node.kind", "node.cls", F.coalesce("root", "name").alias("root")).agg(F.sum("area").alias("area"), F.max("border").alias("border"))
+    links = halves.filter("n = 2 AND one <> other").select(name, "one", "other")  # one region is on both sides where it surrounds a tile
+    whole = areas.join(grouped_components(links), ["name", "node"], "left")
+    joined = whole.groupBy(*scope, F.coalesce("root", "node").alias("root")).agg(F.sum("area").alias("area"), F.max("border").alias("border"))
     of = lambda kind, value: F.when(F.col("kind") == kind, value)
     measured = joined.groupBy("record_id", "cls").agg(
         F.count(of(REGION, 1)).alias("n"), F.sum(of(REGION, F.col("area"))).alias("pixels"), F.max(of(REGION, F.col("area"))).alias("largest"),
