@@ -6,8 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ferrolith.functions.vectors import doubles, norm
 from ferrolith.session import materialize
@@ -15,13 +18,16 @@ from ferrolith.session import materialize
 #: Numbers of vectors that a tile holds at most on average; a task holds one tile of the gallery and one group of queries of that size.
 TILE_NUMBERS = 2_000_000
 #: Most pivots, and numbers in one matrix of bounds or similarities.
-MOST_PIVOTS, MATRIX = 512, 4_000_000
+MOST_PIVOTS, MATRIX = 512, 1_000_000
+#: Rows that are handed on together.
+HANDED = 5_000
 #: Similarities are compared to nine digits. Angles near 0 are known to 2e-8 only; bounds give way by more than both.
 DIGITS, SLACK = 9, 1e-6
 
 
 def _angles(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
-    return np.arccos(np.clip(x @ pivots.T, -1, 1))
+    found = x @ pivots.T
+    return np.arccos(np.clip(found, -1, 1, out=found), out=found)
 
 
 class Tiles:
@@ -81,6 +87,12 @@ def tiled_gallery(unit: DataFrame, wanted: int) -> tuple[DataFrame, Tiles]:
     return gallery, Tiles(known, pivots)
 
 
+def _vectors(rows: pa.Table) -> np.ndarray:
+    """v as a matrix; vectors of one chunk aren't copied."""
+    parts = [c.flatten().to_numpy() for c in rows["v"].chunks]
+    return (parts[0] if len(parts) == 1 else np.concatenate(parts)).reshape(len(rows), -1)
+
+
 def _compare(asked: DataFrame, gallery: DataFrame, kind: str, most: int) -> DataFrame:
     """key, neighbour, similarity: of each asked row (key, block, v, tile) the best of its tile. A tile that many rows ask for is copied to several tasks."""
     demand = asked.groupBy("tile").agg(F.ceil(F.count("*") / most).cast("int").alias("parts"))
@@ -88,22 +100,30 @@ def _compare(asked: DataFrame, gallery: DataFrame, kind: str, most: int) -> Data
     renamed = gallery.select(*[F.col(c).alias(c) for c in ("key", "block", "v", "tile")])  # asked may be the same table
     copies = renamed.join(demand, "tile").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
 
-    def best(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        found = [pd.DataFrame({"key": [], "neighbour": [], "similarity": []})]
+    arrow_kind = to_arrow_type(asked.schema["key"].dataType)
+    schema = pa.schema([("key", arrow_kind), ("neighbour", arrow_kind), ("similarity", pa.float64())])
+
+    def best(x: pa.Table, y: pa.Table) -> pa.Table:
+        found = [pa.table({c: pa.array([], schema.field(c).type) for c in schema.names})]
         if len(x) and len(y):
-            y = y.sort_values("key")
-            codes, _ = pd.factorize(pd.concat([x.block, y.block]))
-            x, right, right_codes = x.assign(code=codes[: len(x)]), np.vstack(y.v).T, codes[len(x) :]
-            for part in _chunks(x, len(y)):
-                similar = np.round(np.vstack(part.v) @ right, DIGITS)
-                similar[part.code.to_numpy()[:, None] == right_codes[None, :]] = -np.inf
+            y = y.take(pc.sort_indices(y, sort_keys=[("key", "ascending")]))
+            blocks, right = pc.unique(y["block"]), _vectors(y).T
+            right_codes = pc.index_in(y["block"], blocks).to_numpy()
+            step = max(1, MATRIX // len(y))
+            for i in range(0, len(x), step):
+                part = x.slice(i, step)
+                codes = pc.fill_null(pc.index_in(part["block"], blocks), -1).to_numpy()
+                similar = _vectors(part) @ right
+                np.round(similar, DIGITS, out=similar)
+                similar[codes[:, None] == right_codes[None, :]] = -np.inf
                 top = similar.argmax(1)
-                out = pd.DataFrame({"key": part.key.to_numpy(), "neighbour": y.key.to_numpy()[top], "similarity": similar[np.arange(len(part)), top]})
-                found.append(out[np.isfinite(out.similarity)])
-        return pd.concat(found[1:] or found)
+                value = similar[np.arange(len(part)), top]
+                at = np.flatnonzero(np.isfinite(value))
+                found.append(pa.table([part["key"].take(at), y["key"].take(top[at]), value[at]], schema.names).cast(schema))
+        return pa.concat_tables(found)
 
     on = ["tile", "part"]
-    return dealt.select("key", "block", "v", *on).groupBy(*on).cogroup(copies.groupBy(*on)).applyInPandas(best, f"key {kind}, neighbour {kind}, similarity double")
+    return dealt.select("key", "block", "v", *on).groupBy(*on).cogroup(copies.select("key", "block", "v", *on).groupBy(*on)).applyInArrow(best, f"key {kind}, neighbour {kind}, similarity double")
 
 
 def _best(found: DataFrame) -> DataFrame:
@@ -145,8 +165,8 @@ def nearest_neighbour(rows: DataFrame, key: str, block: str, vector: str, counte
                 bound = tiles.most_similar(np.vstack(part.v), part.block.to_numpy(object))
                 open_ = (bound >= part.similarity.fillna(-2.0).to_numpy()[:, None] - SLACK) & (tiles.ids[None, :] != part.tile.to_numpy()[:, None])
                 at, tile = np.nonzero(open_)
-                for i in range(0, len(at), 50_000):
-                    yield part.iloc[at[i : i + 50_000]][["key", "block", "v"]].assign(tile=tiles.ids[tile[i : i + 50_000]])
+                for i in range(0, len(at), HANDED):
+                    yield part.iloc[at[i : i + HANDED]][["key", "block", "v"]].assign(tile=tiles.ids[tile[i : i + HANDED]])
 
     begun = gallery.select("key", "block", "v").mapInPandas(first, asked)
     found = materialize(_compare(begun, gallery, kind, most), "first-neighbours")

@@ -52,3 +52,10 @@ def test_one_block_and_none(spark):
     assert N.nearest_neighbour(spark.createDataFrame([], kinds), "k", "b", "v").count() == 0
     two = N.nearest_neighbour(spark.createDataFrame([(1, "a", [1.0, 0.0]), (2, None, [0.0, 1.0])], kinds), "k", "b", "v")
     assert {(r.k, r.neighbour, r.similarity) for r in two.collect()} == {(1, 2, 0.0), (2, 1, 0.0)}
+
+
+def test_a_task_holds_a_tile_as_arrow_and_small_matrices(spark):
+    rows = spark.createDataFrame([(i, i % 2, [1.0, float(i)]) for i in range(40)], "k bigint, b int, v array<double>")
+    found = N.nearest_neighbour(rows, "k", "b", "v")
+    assert "FlatMapCoGroupsInArrow" in found._jdf.queryExecution().toString() and N.MATRIX * 8 <= 8_000_000 and N.HANDED <= 5_000
+    assert {r.k: r.neighbour for r in found.collect()} == {k: j for k, (j, _) in brute([[1.0, float(i)] for i in range(40)], [i % 2 for i in range(40)], list(range(40))).items()}
