@@ -207,6 +207,16 @@ def test_encoded_documents(docs):
     assert sentencepiece_bpe.encode_documents(nothing(docs), queries.piece_model()).count() == 0
 
 
+def test_a_worker_holds_little():
+    model = sentencepiece_bpe.load_model(queries.piece_model())
+    assert all(s.isascii() for s in model.segments("a plain▁text,  with 2 spaces"))
+    assert max(sum(map(len, g)) for g in sentencepiece_bpe.grouped(["x" * 1000] * 3000)) <= 300_000
+    cache = sentencepiece_bpe.SegmentCache(model)
+    for i in range(0, 400_000, 20_000):
+        cache.encode_batch([" ".join(f"{j:x}z" for j in range(i, i + 20_000))])
+    assert len(cache.young) + len(cache.old) <= 350_000
+
+
 def test_a_wrong_merge_is_noticed():
     model = sentencepiece_bpe.BpeModel(queries.piece_model())
     model.ranks.pop("▁the")
