@@ -9,6 +9,7 @@ guaranteed minimum of four, which are verified bit by bit. Each posting list giv
 from __future__ import annotations
 
 from collections.abc import Iterator
+from fractions import Fraction
 from itertools import combinations
 
 import numpy as np
@@ -383,12 +384,64 @@ def print_pairs(groups: DataFrame, most_bits: int) -> DataFrame:
     return materialize(same.select("id", "shingles", "end").unionByName(linked), "print-pairs")
 
 
+def ratio(similarity: float) -> tuple[int, int]:
+    """similarity as a ratio of whole numbers, so that bounds are exact."""
+    found = Fraction(round(similarity * 10**4), 10**4)
+    if abs(found - similarity) > 1e-9 or not 0 < found < 1:
+        raise ValueError("similarity must lie between 0 and 1 and have four decimals at most")
+    return found.numerator, found.denominator
+
+
+def differences(posts: DataFrame, chiefs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """around, id, shingles, root, pivot, size (how many shingles the set and its group's chief don't share), excess (0 or less: the two are
+    alike) and first (those of these shingles of which an alike pair shares at least one), of posts: around (its group), id, shingles, root.
+
+    Let x and y differ from the chief P in the shingles X and Y. They differ from each other in |X| + |Y| - 2 |X and Y| shingles, and are
+    alike if that is at most (1 - s) / (1 + s) of |x| + |y|. So a pair of which x is not alike with P needs shingles in common in X and Y. With
+    a common order of shingles, one of them stands among the first of either: in all but its least number of common ones, less one. Shingles
+    that P hasn't come first: a text's own changes are rarely another's, what it lost of P often is.
+    """
+    p, q = ratio(similarity)
+    own = posts.groupBy("around").agg(F.count("*").alias("n")).join(chiefs, "around").select("around", "n", F.col("chief.id").alias("pivot"), F.col("chief.shingles").alias("pivot_shingles"))
+    own = materialize(own.join(sets.select(F.col("id").alias("pivot"), F.col("hashes").alias("pivot_hashes")), "pivot"), "pivots")
+    total = own.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    met = join_groups(posts, own, ["around"], total, "n", "inner").filter("id <> pivot").join(sets, "id")
+    met = met.withColumn("differ", F.concat(F.array_except("hashes", "pivot_hashes"), F.array_except("pivot_hashes", "hashes"))).withColumn("size", F.size("differ").cast("bigint"))
+    met = met.withColumn("excess", (p + q) * F.col("size") - (q - p) * (F.col("shingles") + F.col("pivot_shingles")))
+    alone = F.floor(((p + q) * F.col("size") + (q - p) * (F.col("pivot_shingles") - F.col("shingles"))) / (2 * (p + q))) + 1  # its partner has an excess
+    least = F.greatest(F.lit(1), F.when(F.col("excess") > 0, F.ceil(F.col("excess") / (2 * q))).otherwise(alone))
+    first = F.slice("differ", F.lit(1), F.greatest(F.lit(0), F.col("size") - least + 1).cast("int"))
+    return materialize(met.select("around", "id", "shingles", "root", "pivot", "size", "excess", first.alias("first")), "differences")
+
+
+def differing_pairs(differ: DataFrame, similarity: float) -> DataFrame:
+    """a, b: of each group (around) the pairs with different roots, one of them with an excess, that may be alike by their common differences."""
+    p, q = ratio(similarity)
+    posted = differ.select("id", "shingles", "root", "size", "excess", F.xxhash64("around").alias("around"), F.posexplode("first").alias("place", "shingle"))
+    posted = posted.select(F.xxhash64("around", "shingle").alias("key"), "id", "shingles", "root", (F.col("excess") > 0).alias("outer"), "size", (F.col("size") - F.col("place")).alias("left"))
+    shared = posted.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high"), F.max("outer").alias("outer")).filter("n > 1 AND low <> high AND outer")
+    shared = materialize(shared.select("key", "n"), "shared-differences")
+    total = shared.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    kept = materialize(join_groups(posted, shared, ["key"], total, "n", "inner"), "differing")
+    blocks = F.ceil(F.col("n") / BLOCK)
+    own, each = F.pmod(F.xxhash64("id"), blocks), F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1))
+    fields = ["id", "shingles", "root", "outer", "size", "left"]
+    one = kept.filter("outer").select("key", own.alias("block"), each.alias("other_block"), *fields)
+    other = kept.select("key", each.alias("block"), own.alias("other_block"), *[F.col(c).alias(f"other_{c}") for c in fields])
+    once = ~F.col("other_outer") | (F.col("id") < F.col("other_id"))
+    common = (p + q) * (F.col("size") + F.col("other_size")) - (q - p) * (F.col("shingles") + F.col("other_shingles")) <= 2 * (p + q) * F.least("left", "other_left")
+    able = q * F.least("shingles", "other_shingles") >= p * F.greatest("shingles", "other_shingles")
+    met = one.join(other, ["key", "block", "other_block"]).filter((F.col("root") != F.col("other_root")) & once & common & able)
+    return materialize(met.select(F.least("id", "other_id").alias("a"), F.greatest("id", "other_id").alias("b")).distinct(), "differing-pairs")
+
+
 def similar_links(docs: DataFrame, groups: DataFrame, words: int, similarity: float) -> DataFrame:
     """a, b: links whose components are those of all pairs of groups (id, shingles, fp, keys) that are alike and share a list or are near by SimHash.
 
     Sets whose fingerprints differ in MOST_BITS bits at most are compared as the SimHash index links them. Every member of a list is compared with the one that stands in the longest lists and with the first, which connects large groups by
-    few pairs. Then all pairs that aren't connected yet tally the positional bytes of their signatures, each in the first list that they
-    share, and those that reach the minimum are compared.
+    few pairs. A list with members that aren't connected yet is handed to the group of its weightiest member, and the sets of all
+    lists of that group are described by what they differ in from its chief: pairs that differ in too little of the same are left out
+    without loss, the others tally the positional bytes of their signatures, and those that reach the minimum are compared.
     """
     able = lambda x, y: F.least(x, y) >= similarity * F.greatest(x, y) - 1e-9  # noqa: E731  sets of other sizes can't be alike
     pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
@@ -397,8 +450,8 @@ def similar_links(docs: DataFrame, groups: DataFrame, words: int, similarity: fl
     total = lists.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     listed = materialize(join_groups(posted, lists, ["key"], total, "n", "inner"), "listed")
     # What stands in the longest lists lies in the middle of its group, and is alike with most of it.
-    weight = listed.groupBy("id").agg(F.sum("n").alias("weight"))
-    ends = listed.join(weight, "id").groupBy("key").agg(F.count("*").alias("n"), F.array(F.max(F.struct("weight", "id", "shingles")), F.min(F.struct(F.lit(0).cast("bigint").alias("weight"), "id", "shingles"))).alias("ends"))
+    weights = materialize(listed.groupBy("id").agg(F.sum("n").alias("weight")), "weights")
+    ends = listed.join(weights, "id").groupBy("key").agg(F.count("*").alias("n"), F.array(F.max(F.struct("weight", "id", "shingles")), F.min(F.struct(F.lit(0).cast("bigint").alias("weight"), "id", "shingles"))).alias("ends"))
     ends = materialize(ends, "ends")
     near = print_pairs(groups, MOST_BITS).filter(able(F.col("shingles"), F.col("end.shingles")))
     wanted = listed.select("id").unionByName(near.select("id")).unionByName(near.select("end.id")).distinct()
@@ -408,20 +461,18 @@ def similar_links(docs: DataFrame, groups: DataFrame, words: int, similarity: fl
     to_ends = to_ends.filter(able(F.col("shingles"), F.col("end.shingles"))).select(*pair("id", "end.id"))
     first = alike(near.select(*pair("id", "end.id")).unionByName(to_ends), sets, similarity)
     roots = materialize(components(first), "roots")
-    labelled = listed.select("key", "id", "shingles").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    labelled = listed.select("key", "id", "shingles").join(weights, "id").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     labelled = materialize(labelled, "labelled")
-    apart = materialize(labelled.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key", "n"), "apart")
-    mixed = materialize(join_groups(labelled, apart, ["key"], total, "n", "inner"), "mixed")
-    blocks = F.ceil(F.col("n") / BLOCK)
-    own, each = F.pmod(F.xxhash64("id"), blocks), F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1))
-    mixed = mixed.join(groups.select("id", "marks", "keys"), "id")
-    left = mixed.select("key", own.alias("block"), each.alias("other_block"), "id", "shingles", "root", "marks", "keys")
-    right = mixed.select("key", each.alias("block"), own.alias("other_block"), F.col("id").alias("other"), F.col("shingles").alias("other_shingles"), F.col("root").alias("other_root"), F.col("marks").alias("other_marks"), F.col("keys").alias("other_keys"))
-    first_list = F.get("keys", (F.array_position(F.zip_with("keys", "other_keys", lambda x, y: x == y), F.lit(True)) - 1).cast("int")) == F.col("key")
-    enough = shared_bytes("marks", "other_marks") >= int(LEAST_SHARE * similarity * 8 * SIGNATURE)
-    met = left.join(right, ["key", "block", "other_block"]).filter((F.col("root") < F.col("other_root")) & able(F.col("shingles"), F.col("other_shingles")) & first_list & enough)
-    rest = alike(met.select(*pair("id", "other")), sets, similarity)
-    return roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(rest)
+    apart = labelled.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high"), F.max(F.struct("weight", "id", "root")).alias("top")).filter("low <> high")
+    apart = materialize(apart.select("key", "n", F.col("top.root").alias("around")), "apart")
+    posts = materialize(join_groups(labelled, apart, ["key"], total, "n", "inner").select("around", "id", "shingles", "root").distinct(), "posts")
+    chiefs = labelled.groupBy("root").agg(F.max(F.struct("weight", "id", "shingles")).alias("chief")).select(F.col("root").alias("around"), "chief")
+    differ = differences(posts, chiefs, sets, similarity)
+    met = differing_pairs(differ, similarity).join(groups.select(F.col("id").alias("a"), F.col("marks").alias("a_marks")), "a").join(groups.select(F.col("id").alias("b"), F.col("marks").alias("b_marks")), "b")
+    enough = shared_bytes("a_marks", "b_marks") >= int(LEAST_SHARE * similarity * 8 * SIGNATURE)
+    rest = alike(met.filter(enough).select("a", "b"), sets, similarity)
+    direct = differ.filter("excess <= 0 AND root <> around").select(*pair("id", "pivot"))
+    return roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(direct).unionByName(rest)
 
 
 def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, tagged: bool = False) -> DataFrame:

@@ -1,6 +1,7 @@
 """Fingerprints, substring dedup, SimHash, licenses: against brute force, with edge cases."""
 
 import hashlib
+import itertools
 import random
 import re
 from collections import Counter
@@ -459,3 +460,50 @@ def test_similar_groups_go_through_the_simhash_index(spark, monkeypatch):
     groups = simhash.set_prints(frame(spark, rows), 5).select("id", "shingles", "fp")
     assert simhash.print_pairs(groups, 4).count() == 1
     assert {r.doc_id: r.component_id for r in simhash.similar_groups(frame(spark, rows)).collect()} == {1: 1, 2: 1, 3: 3} and asked == [4, 4]
+
+
+def test_outliers_of_a_large_group_are_not_compared_with_all_of_it(spark, monkeypatch):
+    """Changed copies of one text, some too far from all others: a small part of their pairs is compared, and no link is lost."""
+    rnd = random.Random(33)
+    words = [f"w{i}" for i in range(150)]
+
+    def changed(edits):
+        text = list(words)
+        for at in rnd.sample(range(2, 148), edits):
+            text[at] = f"e{rnd.randrange(10**9)}"
+        return " ".join(text)
+
+    texts = [changed(2) for _ in range(60)] + [changed(6) for _ in range(60)]
+    compared, exact = [], simhash.alike
+    monkeypatch.setattr(simhash, "alike", lambda pairs, sets, similarity: compared.append(pairs.distinct().count()) or exact(pairs, sets, similarity))
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(frame(spark, list(enumerate(texts)))).collect()}
+    wanted = list(range(len(texts)))
+    for a, b in itertools.combinations(range(len(texts)), 2):
+        if jaccard(texts[a], texts[b]) >= 0.8:
+            low, high = sorted((wanted[a], wanted[b]))
+            wanted = [low if c == high else c for c in wanted]
+    assert got == dict(enumerate(wanted)) and len(set(wanted)) > 20
+    pairs = 60 * 60 + 60 * 59 // 2  # those with an outlier
+    assert len(compared) == 2 and compared[1] < pairs / 8
+
+
+@pytest.mark.parametrize("similarity", [0.5, 0.8, 0.9])
+def test_common_differences_lose_no_pair(spark, similarity):
+    """Of random sets around a chief, all alike pairs that aren't alike with it are met."""
+    rng = np.random.default_rng(34)
+    sets = {1: np.arange(0, 60)}
+    while len(sets) < 120:
+        base = sets[int(rng.choice(list(sets)))]
+        kept = base[rng.random(len(base)) > rng.choice([0.03, 0.1, 0.2])]
+        sets[len(sets) + 1] = np.union1d(kept, rng.integers(60, 200, rng.integers(0, 12)))
+    table = spark.createDataFrame([(i, s.tolist()) for i, s in sets.items()], "id bigint, hashes array<bigint>")
+    posts = spark.createDataFrame([(1, i, len(s), i) for i, s in sets.items()], "around bigint, id bigint, shingles bigint, root bigint")
+    chiefs = spark.createDataFrame([(1, (9, 1, 60))], "around bigint, chief struct<weight bigint, id bigint, shingles bigint>")
+    differ = simhash.differences(posts, chiefs, table, similarity)
+    met = {(r.a, r.b) for r in simhash.differing_pairs(differ, similarity).collect()}
+    near = {1} | {r.id for r in differ.filter("excess <= 0").collect()}
+    own = {i: set(s.tolist()) for i, s in sets.items()}
+    alike = {(a, b) for a, b in itertools.combinations(own, 2) if len(own[a] & own[b]) >= similarity * len(own[a] | own[b]) - 1e-9}
+    assert {i for i in own if i == 1 or (1, i) in alike} == near
+    wanted = {(a, b) for a, b in alike if not (a in near and b in near)}
+    assert wanted and wanted <= met
