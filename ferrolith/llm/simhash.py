@@ -294,6 +294,8 @@ FACTORS, SUMMANDS = np.random.default_rng(20240611).integers(0, 2**63, (2, BANDS
 SIGNATURE, LEAST_SHARE = BANDS * BAND_ROWS // 8, 0.78
 #: Rows of a list that one task compares with as many others: a longer list is dealt out by pairs of blocks, without loss.
 BLOCK = 500
+#: A group with more members is described by what they differ in from what most of them have: its chief may have changes of its own.
+LARGE_GROUP = 200
 #: Shingles whose hashes are mixed at a time.
 MIX_HASHES = 2000
 
@@ -392,46 +394,86 @@ def ratio(similarity: float) -> tuple[int, int]:
     return found.numerator, found.denominator
 
 
+def frame_changes(raw: DataFrame) -> DataFrame | None:
+    """around, n, gained, dropped: in what the frame of a large group differs from its chief, in shingles that over half of the group has gained or dropped."""
+    kinds = F.explode(F.array(F.struct(F.lit(True).alias("new"), F.col("added").alias("own")), F.struct(F.lit(False).alias("new"), F.col("lost").alias("own"))))
+    each = raw.filter(F.col("n") > LARGE_GROUP).select("around", "n", kinds.alias("kind")).select("around", "n", "kind.new", F.explode("kind.own").alias("shingle"))
+    most = each.groupBy("around", "n", "new", "shingle").agg(F.count("*").alias("held")).filter(2 * F.col("held") > F.col("n"))
+    gathered = lambda new: F.array_sort(F.collect_list(F.when(F.col("new") == new, F.col("shingle"))))
+    changes = materialize(most.groupBy("around", "n").agg(gathered(True).alias("gained"), gathered(False).alias("dropped")), "frame-changes")
+    return changes if changes.limit(1).count() else None
+
+
 def differences(posts: DataFrame, chiefs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """around, id, shingles, root, pivot, size (how many shingles the set and its group's chief don't share), excess (0 or less: the two are
-    alike) and first (those of these shingles of which an alike pair shares at least one), of posts: around (its group), id, shingles, root.
+    """What each of posts (around: its group, id, shingles, root) has unlike its group's frame: the chief, changed in large groups as most members are.
 
-    Let x and y differ from the chief P in the shingles X and Y. They differ from each other in |X| + |Y| - 2 |X and Y| shingles, and are
-    alike if that is at most (1 - s) / (1 + s) of |x| + |y|. So a pair of which x is not alike with P needs shingles in common in X and Y. With
-    a common order of shingles, one of them stands among the first of either: in all but its least number of common ones, less one. Shingles
-    that P hasn't come first: a text's own changes are rarely another's, what it lost of P often is.
+    excess: 0 or less if the set and the chief (pivot) are alike. central: the set is sure to be alike with the center, the member nearest to the
+    frame. joined: the root after these links. outer: not central. first: those shingles unlike the frame of which an alike pair, not both
+    central, shares one at least. size: all of them; over: by how much they pass the set's share of what an alike pair may differ in; reach: see below.
+
+    Let x and y differ from the frame C in X and Y. They differ from each other in |X| + |Y| - 2 |X and Y| shingles, and are alike if that is at
+    most (1 - s) / (1 + s) of |x| + |y|. Where |X| + |Y| is small enough they are alike for sure: the center has such a link, if any has. Other pairs
+    need shingles in common in X and Y. With a common order of shingles, one of them stands among the first of either: in all but its least number
+    of common ones, less one. Shingles that C hasn't come first: a text's own changes are rarely another's, what it lost of C often is. A pair that has
+    none of the former in common needs a short y: 2 p |y| <= reach of x, and the reverse.
     """
     p, q = ratio(similarity)
     own = posts.groupBy("around").agg(F.count("*").alias("n")).join(chiefs, "around").select("around", "n", F.col("chief.id").alias("pivot"), F.col("chief.shingles").alias("pivot_shingles"))
     own = materialize(own.join(sets.select(F.col("id").alias("pivot"), F.col("hashes").alias("pivot_hashes")), "pivot"), "pivots")
     total = own.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    met = join_groups(posts, own, ["around"], total, "n", "inner").filter("id <> pivot").join(sets, "id")
-    met = met.withColumn("differ", F.concat(F.array_except("hashes", "pivot_hashes"), F.array_except("pivot_hashes", "hashes"))).withColumn("size", F.size("differ").cast("bigint"))
-    met = met.withColumn("excess", (p + q) * F.col("size") - (q - p) * (F.col("shingles") + F.col("pivot_shingles")))
-    alone = F.floor(((p + q) * F.col("size") + (q - p) * (F.col("pivot_shingles") - F.col("shingles"))) / (2 * (p + q))) + 1  # its partner has an excess
-    least = F.greatest(F.lit(1), F.when(F.col("excess") > 0, F.ceil(F.col("excess") / (2 * q))).otherwise(alone))
-    first = F.slice("differ", F.lit(1), F.greatest(F.lit(0), F.col("size") - least + 1).cast("int"))
-    return materialize(met.select("around", "id", "shingles", "root", "pivot", "size", "excess", first.alias("first")), "differences")
+    raw = join_groups(posts, own, ["around"], total, "n", "inner").filter("id <> pivot").join(sets, "id")
+    raw = raw.withColumn("added", F.array_except("hashes", "pivot_hashes")).withColumn("lost", F.array_except("pivot_hashes", "hashes")).drop("hashes", "pivot_hashes")
+    raw = raw.withColumn("excess", (p + q) * (F.size("added") + F.size("lost")).cast("bigint") - (q - p) * (F.col("shingles") + F.col("pivot_shingles")))
+    raw = materialize(raw, "raw-differences")
+    raw = raw.withColumn("frame", F.col("pivot_shingles")).withColumn("off", F.lit(0).cast("bigint"))  # off: shingles in which chief and frame differ
+    if (changes := frame_changes(raw)) is not None:
+        raw = join_groups(raw.drop("n"), changes, ["around"], total, "n")
+        kept = lambda c: F.coalesce(c, F.array().cast("array<bigint>"))
+        raw = raw.withColumn("gained", kept(F.col("gained"))).withColumn("dropped", kept(F.col("dropped"))).withColumn("was", F.col("added"))
+        raw = raw.withColumn("added", F.concat(F.array_except("added", "gained"), F.array_except("dropped", "lost")))
+        raw = raw.withColumn("lost", F.concat(F.array_except("lost", "dropped"), F.array_except("gained", "was")))
+        raw = raw.withColumn("frame", F.col("frame") + F.size("gained") - F.size("dropped")).withColumn("off", (F.size("gained") + F.size("dropped")).cast("bigint"))
+        raw = materialize(raw.drop("gained", "dropped", "was", "n"), "framed-differences")
+    met = raw.withColumn("size", (F.size("added") + F.size("lost")).cast("bigint")).withColumn("over", (p + q) * F.col("size") - (q - p) * F.col("shingles"))
+    chief = F.struct(((p + q) * F.col("off") - (q - p) * F.col("pivot_shingles")).alias("over"), F.col("pivot").alias("id"), F.col("around").alias("root"), F.lit(True).alias("bridge"))
+    if changes is None:  # the chief is each group's frame and center
+        met = met.withColumn("center", chief).withColumn("shortest", F.lit(0).cast("bigint"))
+    else:
+        member = F.struct("over", "id", "root", (F.col("excess") <= 0).alias("bridge"))
+        centers = met.groupBy("around").agg(F.count("*").alias("n"), F.least(F.min(member), F.min(chief)).alias("center"), F.min("shingles").alias("shortest"))
+        met = join_groups(met, materialize(centers, "centers"), ["around"], total, "n", "inner").drop("n")
+    met = met.withColumn("central", F.col("over") + F.col("center.over") <= 0).withColumn("outer", ~F.col("central")).withColumn("reach", (p + q) * F.col("frame") - F.col("over"))
+    joined = F.when(F.col("central") & ~F.col("center.bridge"), F.col("center.root")).when(F.col("central") | (F.col("excess") <= 0), F.col("around")).otherwise(F.col("root"))
+    beyond = F.greatest(F.ceil((F.col("over") - (q - p) * F.col("frame")) / (2 * q)), F.ceil((F.col("over") + F.col("center.over")) / (2 * (p + q))))
+    alone = F.floor((F.col("over") - F.col("center.over")) / (2 * (p + q))) + 1  # its partner is an outer one
+    least = F.greatest(F.lit(1), F.when(F.col("outer"), beyond).otherwise(alone))
+    short = (2 * p * F.col("shortest") <= F.col("reach")) & (2 * p * p * F.col("shingles") <= q * F.col("reach"))
+    number = F.least(F.col("size") - least + 1, F.when(short, F.col("size")).otherwise(F.size("added")))
+    first = F.slice(F.concat("added", "lost"), F.lit(1), F.greatest(F.lit(0), number).cast("int"))
+    fields = ["around", "id", "shingles", "root", "pivot", "excess", F.col("center.id").alias("center"), "central", "outer", joined.alias("joined"), "size", "over", "reach", F.size("added").alias("own"), first.alias("first")]
+    return materialize(met.select(*fields), "differences")
 
 
 def differing_pairs(differ: DataFrame, similarity: float) -> DataFrame:
-    """a, b: of each group (around) the pairs with different roots, one of them with an excess, that may be alike by their common differences."""
+    """a, b: of each group (around) the pairs that are not joined yet and may be alike by what they have in common unlike the group's frame."""
     p, q = ratio(similarity)
-    posted = differ.select("id", "shingles", "root", "size", "excess", F.xxhash64("around").alias("around"), F.posexplode("first").alias("place", "shingle"))
-    posted = posted.select(F.xxhash64("around", "shingle").alias("key"), "id", "shingles", "root", (F.col("excess") > 0).alias("outer"), "size", (F.col("size") - F.col("place")).alias("left"))
+    fields = ["id", "shingles", "root", "outer", "over", "reach"]
+    posted = differ.select("id", "shingles", F.col("joined").alias("root"), "outer", "over", "reach", "size", "own", F.xxhash64("around").alias("around"), F.posexplode("first").alias("place", "shingle"))
+    posted = posted.select(F.xxhash64("around", "shingle").alias("key"), *fields, (F.col("size") - F.col("place")).alias("left"), (F.col("place") >= F.col("own")).alias("loss"))
     shared = posted.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high"), F.max("outer").alias("outer")).filter("n > 1 AND low <> high AND outer")
     shared = materialize(shared.select("key", "n"), "shared-differences")
     total = shared.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     kept = materialize(join_groups(posted, shared, ["key"], total, "n", "inner"), "differing")
     blocks = F.ceil(F.col("n") / BLOCK)
     own, each = F.pmod(F.xxhash64("id"), blocks), F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1))
-    fields = ["id", "shingles", "root", "outer", "size", "left"]
-    one = kept.filter("outer").select("key", own.alias("block"), each.alias("other_block"), *fields)
+    fields.append("left")
+    one = kept.filter("outer").select("key", own.alias("block"), each.alias("other_block"), "loss", *fields)
     other = kept.select("key", each.alias("block"), own.alias("other_block"), *[F.col(c).alias(f"other_{c}") for c in fields])
     once = ~F.col("other_outer") | (F.col("id") < F.col("other_id"))
-    common = (p + q) * (F.col("size") + F.col("other_size")) - (q - p) * (F.col("shingles") + F.col("other_shingles")) <= 2 * (p + q) * F.least("left", "other_left")
+    common = F.col("over") + F.col("other_over") <= 2 * (p + q) * F.least("left", "other_left")
+    short = ~F.col("loss") | ((2 * p * F.col("other_shingles") <= F.col("reach")) & (2 * p * F.col("shingles") <= F.col("other_reach")))
     able = q * F.least("shingles", "other_shingles") >= p * F.greatest("shingles", "other_shingles")
-    met = one.join(other, ["key", "block", "other_block"]).filter((F.col("root") != F.col("other_root")) & once & common & able)
+    met = one.join(other, ["key", "block", "other_block"]).filter((F.col("root") != F.col("other_root")) & once & common & short & able)
     return materialize(met.select(F.least("id", "other_id").alias("a"), F.greatest("id", "other_id").alias("b")).distinct(), "differing-pairs")
 
 
@@ -440,7 +482,7 @@ def similar_links(docs: DataFrame, groups: DataFrame, words: int, similarity: fl
 
     Sets whose fingerprints differ in MOST_BITS bits at most are compared as the SimHash index links them. Every member of a list is compared with the one that stands in the longest lists and with the first, which connects large groups by
     few pairs. A list with members that aren't connected yet is handed to the group of its weightiest member, and the sets of all
-    lists of that group are described by what they differ in from its chief: pairs that differ in too little of the same are left out
+    lists of that group are described by what they differ in from its chief, or from what most of a large group has: pairs that differ in too little of the same are left out
     without loss, the others tally the positional bytes of their signatures, and those that reach the minimum are compared.
     """
     able = lambda x, y: F.least(x, y) >= similarity * F.greatest(x, y) - 1e-9  # noqa: E731  sets of other sizes can't be alike
@@ -471,7 +513,7 @@ def similar_links(docs: DataFrame, groups: DataFrame, words: int, similarity: fl
     met = differing_pairs(differ, similarity).join(groups.select(F.col("id").alias("a"), F.col("marks").alias("a_marks")), "a").join(groups.select(F.col("id").alias("b"), F.col("marks").alias("b_marks")), "b")
     enough = shared_bytes("a_marks", "b_marks") >= int(LEAST_SHARE * similarity * 8 * SIGNATURE)
     rest = alike(met.filter(enough).select("a", "b"), sets, similarity)
-    direct = differ.filter("excess <= 0 AND root <> around").select(*pair("id", "pivot"))
+    direct = differ.filter("excess <= 0 AND root <> around").select(*pair("id", "pivot")).unionByName(differ.filter("central AND id <> center").select(*pair("id", "center")))
     return roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(direct).unionByName(rest)
 
 

@@ -507,3 +507,55 @@ def test_common_differences_lose_no_pair(spark, similarity):
     assert {i for i in own if i == 1 or (1, i) in alike} == near
     wanted = {(a, b) for a, b in alike if not (a in near and b in near)}
     assert wanted and wanted <= met
+
+
+def linked_around(spark, sets, chief, similarity):
+    """The number of pairs met around a chief, and the components of all links that are alike, by the stage's steps and by brute force."""
+    own = {i: set(s.tolist()) for i, s in sets.items()}
+    alike = lambda a, b: len(own[a] & own[b]) >= similarity * len(own[a] | own[b]) - 1e-9
+    table = spark.createDataFrame([(i, s.tolist()) for i, s in sets.items()], "id bigint, hashes array<bigint>")
+    posts = spark.createDataFrame([(chief, i, len(s), i) for i, s in sets.items()], "around bigint, id bigint, shingles bigint, root bigint")
+    chiefs = spark.createDataFrame([(chief, (9, chief, len(sets[chief])))], "around bigint, chief struct<weight bigint, id bigint, shingles bigint>")
+    differ = simhash.differences(posts, chiefs, table, similarity)
+    met = [(r.a, r.b) for r in simhash.differing_pairs(differ, similarity).collect()]
+    rows = differ.collect()
+    direct = [(r.id, chief) for r in rows if r.excess <= 0] + [(r.id, r.center) for r in rows if getattr(r, "central", False) and r.id != r.center]
+    assert all(alike(a, b) for a, b in direct)
+
+    def components(links):
+        root = {i: i for i in own}
+        for a, b in links:
+            low, high = sorted((root[a], root[b]))
+            root = {i: low if r == high else r for i, r in root.items()}
+        return root
+
+    return len(met), components(direct + [p for p in met if alike(*p)]), components([p for p in itertools.combinations(own, 2) if alike(*p)])
+
+
+def test_changes_of_a_chief_do_not_join_its_group(spark, monkeypatch):
+    """All members lack what the chief alone has changed; that they have in common, and yet few pairs of them are met."""
+    monkeypatch.setattr(simhash, "LARGE_GROUP", 20, raising=False)
+    rng = np.random.default_rng(35)
+
+    def changed(lost):
+        kept = np.delete(np.arange(100), rng.choice(100, lost, False))
+        return np.union1d(kept, rng.integers(1000, 10**9, lost))
+
+    sets = {1: changed(8)} | {i: changed(4 if i < 60 else 14) for i in range(2, 122)}
+    met, got, wanted = linked_around(spark, sets, 1, 0.8)
+    assert got == wanted and len(set(wanted.values())) > 20
+    assert met < 60 * 60 / 8  # 6,987 around the chief alone
+
+
+@pytest.mark.parametrize("similarity", [0.5, 0.8, 0.9])
+@pytest.mark.parametrize("chief", [1, 7, 90])
+def test_frames_of_large_groups_lose_no_link(spark, monkeypatch, similarity, chief):
+    monkeypatch.setattr(simhash, "LARGE_GROUP", 20)
+    rng = np.random.default_rng(36)
+    sets = {1: np.arange(0, 60)}
+    while len(sets) < 120:
+        base = sets[int(rng.integers(1, min(len(sets), 12) + 1))]
+        kept = base[rng.random(len(base)) > rng.choice([0.03, 0.1, 0.2])]
+        sets[len(sets) + 1] = np.union1d(kept, rng.integers(60, 200, rng.integers(0, 12)))
+    met, got, wanted = linked_around(spark, sets, chief, similarity)
+    assert got == wanted
