@@ -164,14 +164,27 @@ def pca_ridge_folds(rows: DataFrame, key: str, block: str, vector: str, target:
     return with_y.join(table, block).select(key, "y", score.alias("p"))
 
 
-def fit_tree_head(rows: DataFrame, features: list[str], target: str, seed: int = 0):
+#: Rows that a task of the trees' fit holds in memory, about 180 bytes each.
+TREE_ROWS = 250_000
+
+
+def dealt_rows(rows: DataFrame, key: str) -> DataFrame:
+    """rows in partitions of about TREE_ROWS, the same ones in the same order on every run; a table of up to so many stays as it is.
+
+    MLlib samples its split candidates by partition, so a small table's trees depend on how it is read alone.
+    """
+    n = rows.count()
+    return rows.repartition(-(-n // TREE_ROWS), key).sortWithinPartitions(key) if n > TREE_ROWS else rows
+
+
+def fit_tree_head(rows: DataFrame, key: str, features: list[str], target: str, seed: int = 0):
     """Gradient-boosted trees over a feature table."""
     from pyspark.ml import Pipeline
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import GBTRegressor
 
     stages = [VectorAssembler(inputCols=features, outputCol="features_vector"), GBTRegressor(featuresCol="features_vector", labelCol=target, predictionCol="p", maxIter=20, maxDepth=3, stepSize=0.1, seed=seed)]
-    return Pipeline(stages=stages).fit(rows)
+    return Pipeline(stages=stages).fit(dealt_rows(rows.select(key, *features, target), key))
 
 
 def better_model(scores: DataFrame, name: str, error: str, order: str) -> DataFrame:

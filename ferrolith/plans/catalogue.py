@@ -762,7 +762,7 @@ def q_pca_ridge(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def q_gbt_head(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = part_values(spark, sf_dir)
-    return evaluation.fit_tree_head(rows, ["x1", "x2"], "y").transform(rows).select("p_partkey", r6("p").alias("p"))
+    return evaluation.fit_tree_head(rows, "p_partkey", ["x1", "x2"], "y").transform(rows).select("p_partkey", r6("p").alias("p"))
 
 
 @query

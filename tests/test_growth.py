@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ferrolith.functions import vectors as vec
-from ferrolith.operators import audit, components, masks
+from ferrolith.operators import audit, components, evaluation, masks
 
 
 def test_softmax_computes_its_argument_once(spark):
@@ -44,3 +44,15 @@ def test_links_are_joined_by_group(spark, monkeypatch, most):
     got = {(r.name, r.node): r.root for r in components.grouped_components(spark.createDataFrame(rows, "name string, one long, other long")).collect()}
     want = {("a", i): 0 for i in range(31)} | {("b", 9): 4, ("b", 4): 4, ("b", 30): 30, ("b", 31): 30}
     assert got == want
+
+
+def test_trees_are_fitted_in_tasks_of_bounded_size(spark, monkeypatch):
+    monkeypatch.setattr(evaluation, "TREE_ROWS", 300, raising=False)
+    rows = spark.range(0, 1000, 1, 1).select(F.col("id").alias("k"), (F.col("id") % 7).cast("double").alias("x1"), (F.col("id") % 11).cast("double").alias("x2"), ((F.col("id") % 7) * 3.0).alias("y"))
+    dealt = evaluation.dealt_rows(rows, "k")
+    sizes = [r["count"] for r in dealt.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) == 4 and sum(sizes) == 1000 and max(sizes) < 400
+    assert evaluation.dealt_rows(rows.limit(300), "k").count() == 300 and evaluation.dealt_rows(rows.filter("k < 300"), "k").rdd.getNumPartitions() == 1
+    model = evaluation.fit_tree_head(rows, "k", ["x1", "x2"], "y")
+    got = model.transform(rows).agg(F.count("*").alias("n"), F.max(F.abs(F.col("p") - F.col("y"))).alias("error")).first()
+    assert got.n == 1000 and got.error < 2.5
